@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archgraph.functions import ids
+from archgraph.operators.graph import degree, graph_stats, relationships
+from archgraph.operators.ranking import top_per_group
+
 
 def with_labels(nodes: DataFrame) -> DataFrame:
     """Add ``label``: the name, qualified by namespace where it is shared.
@@ -18,3 +22,157 @@ def with_labels(nodes: DataFrame) -> DataFrame:
         .withColumn("label", F.when((F.col("_n") > 1) & (F.coalesce("namespace", F.lit("")) != ""),
                                     F.concat_ws(".", "name", "namespace")).otherwise(F.col("name")))
         .drop("_lname", "_n"))
+
+
+def list_nodes(nodes: DataFrame, kind: str | None = None, layer: str | None = None, namespace: str | None = None,
+               text: str | None = None) -> DataFrame:
+    for column, wanted in (("kind", kind), ("layer", layer), ("namespace", namespace)):
+        if wanted:
+            nodes = nodes.where(F.lower(column) == wanted.lower())
+    if text:
+        needle = F.lit(text.lower())
+        tech = ids.tech_string(F.col("tech.language"), F.col("tech.framework"), F.col("tech.runtime"))
+        nodes = nodes.where(F.contains(F.lower("name"), needle) | F.contains(F.lower("id"), needle) | F.contains(F.lower(tech), needle))
+    return nodes
+
+
+def counts(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, diags: DataFrame) -> DataFrame:
+    """Labelled counts per repo: kinds, layers, relationship kinds, severities,
+    and edges per rule (an edge counts once for each rule it carries)."""
+
+    def count(df: DataFrame, what: str, column: str) -> DataFrame:
+        return df.groupBy("repo", F.lit(what).alias("what"), F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+    return (count(nodes, "kind", "kind").unionByName(count(nodes, "layer", "layer"))
+            .unionByName(count(edges, "edge_kind", "kind")).unionByName(count(diags, "severity", "severity"))
+            .unionByName(count(evidence.select("repo", "edge_id", "rule").distinct(), "rule", "rule")))
+
+
+def project_counts(nodes: DataFrame) -> DataFrame:
+    per = nodes.where("kind <> 'boundary'").groupBy("repo", "project").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("repo").orderBy(F.desc("n"), "project")  # one row per project
+    return per.withColumn("position", F.row_number().over(w))
+
+
+def duplicated_names(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("repo", "name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def redundant_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("repo", "name").agg(F.count("*").alias("n")).groupBy("repo").agg(
+        F.sum(F.col("n") - 1).alias("redundant"))
+
+
+def most_connected(degrees: DataFrame, k: int = 8) -> DataFrame:
+    total = F.col("n_in") + F.col("n_out")
+    ranked = top_per_group(degrees.where((F.col("kind") != "boundary") & (total > 0)), ["repo"], [total.desc(), F.col("id")], k)
+    return ranked.select("repo", "id", "n_in", "n_out", "rank")
+
+
+def resolve_refs(asks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What people mean by a name: an id, else a name, else name.namespace,
+    else a part of a name; one answer or a count of how many.
+
+    ``asks``: repo, ask_id, ref. The first three tiers are equi-joins against
+    counted names. Only references that none of them answers are compared with
+    names as substrings: both sides are cut into three-letter pieces, the
+    reference is joined on the piece that the fewest names have, and the hit is
+    checked in full.
+    """
+    asks = asks.withColumn("ref", F.trim("ref"))
+    low = F.lower("ref")
+    named = nodes.select("repo", "id", F.lower("name").alias("lname"), F.lower("namespace").alias("lns"))
+    by_id = named.select("repo", F.col("id").alias("form"), F.lit(0).alias("tier"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("lo"))
+    by_name = named.groupBy("repo", F.col("lname").alias("form")).agg(F.count("*").alias("n"), F.min("id").alias("lo")).select(
+        "repo", "form", F.lit(1).alias("tier"), "n", "lo")
+    by_full = named.groupBy("repo", F.concat_ws(".", "lname", "lns").alias("form")).agg(
+        F.count("*").alias("n"), F.min("id").alias("lo")).select("repo", "form", F.lit(2).alias("tier"), "n", "lo")
+    forms = by_id.unionByName(by_name).unionByName(by_full)
+    probes = asks.where("ref <> ''").select("repo", "ask_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("tier"), F.col("ref").alias("form")), F.struct(F.lit(1).alias("tier"), low.alias("form")),
+        F.struct(F.lit(2).alias("tier"), low.alias("form")))).alias("p")).select("repo", "ask_id", "p.*")
+    exact = probes.join(forms, ["repo", "tier", "form"]).groupBy("repo", "ask_id").agg(
+        F.min_by(F.struct("n", "lo"), "tier").alias("hit"))
+    rest = asks.where("ref <> ''").join(exact, ["repo", "ask_id"], "left_anti").select("repo", low.alias("needle")).distinct()
+    partial = _containing(rest, named.select("repo", "id", "lname"))
+    out = asks.join(exact, ["repo", "ask_id"], "left").join(
+        partial.select("repo", F.col("needle"), F.struct("n", "lo").alias("loose")),
+        (asks["repo"] == partial["repo"]) & (low == F.col("needle")), "left").drop(partial["repo"])
+    hit = F.coalesce("hit", "loose")
+    return out.select(asks["repo"], "ask_id", "ref", F.coalesce(hit["n"], F.lit(0)).cast("int").alias("n_matches"),
+                      F.when(hit["n"] == 1, hit["lo"]).alias("node_id"))
+
+
+def _pieces(c: Column) -> Column:
+    size = 3
+    return F.array_distinct(F.when(
+        F.length(c) >= size,
+        F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
+        .otherwise(F.array().cast("array<string>")))
+
+
+def _containing(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, needle, n, lo): names that contain a needle."""
+    spread = names.groupBy("repo", "lname").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    pieces = spread.select("repo", "lname", F.explode(_pieces(F.col("lname"))).alias("piece"))
+    sizes = pieces.groupBy("repo", "piece").agg(F.count("*").alias("size"))
+    long_ = needles.where(F.length("needle") >= 3)
+    rarest = (long_.select("repo", "needle", F.explode(_pieces(F.col("needle"))).alias("piece"))
+              .join(sizes, ["repo", "piece"], "left").groupBy("repo", "needle")
+              .agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "piece")).alias("r"))
+              .where("r.size > 0").select("repo", "needle", F.col("r.piece").alias("piece")))
+    hits = rarest.join(pieces, ["repo", "piece"]).where(F.contains("lname", F.col("needle"))).select("repo", "needle", "lname")
+    # one or two letters: every distinct run of that length is its own key
+    short = needles.where(F.length("needle") < 3)
+    runs = spread.select("repo", "lname", F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(
+        F.sequence(F.lit(1), F.length("lname")), lambda i, s=s: F.substring(F.col("lname"), i, F.lit(s))) for s in (1, 2)])))).alias("needle"))
+    hits = hits.unionByName(short.join(runs, ["repo", "needle"]).select("repo", "needle", "lname"))
+    return hits.distinct().join(spread, ["repo", "lname"]).groupBy("repo", "needle").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"))
+
+
+def describe_nodes(nodes: DataFrame, edges: DataFrame, diags: DataFrame) -> DataFrame:
+    """Degrees, strongest edge each way, diagnostics of its file, and why a
+    component stands alone."""
+    rel = relationships(edges)
+    strongest = lambda peer: F.min(F.struct((-F.col("conf_pct")).alias("neg"), peer, "kind", "protocol", "id"))
+    best_out = rel.groupBy("repo", F.col("src").alias("nid")).agg(strongest("dst").alias("b")).select(
+        "repo", F.col("nid"), F.col("b.id").alias("best_out"))
+    best_in = rel.groupBy("repo", F.col("dst").alias("nid")).agg(strongest("src").alias("b")).select(
+        "repo", F.col("nid"), F.col("b.id").alias("best_in"))
+    n_diag = diags.groupBy("repo", "path").agg(F.count_distinct("line", "code").alias("n_diagnostics"))
+    out = (degree(nodes, edges).join(nodes.select("repo", "id", "path"), ["repo", "id"]).withColumnRenamed("id", "nid")
+           .join(best_out, ["repo", "nid"], "left").join(best_in, ["repo", "nid"], "left").join(n_diag, ["repo", "path"], "left"))
+    n = F.coalesce("n_diagnostics", F.lit(0))
+    return out.select("repo", F.col("nid").alias("id"), "n_in", "n_out", "best_out", "best_in", n.alias("n_diagnostics"),
+                      F.when(F.col("n_in") + F.col("n_out") > 0, F.lit("")).when(F.col("kind") == "boundary", F.lit("grouping"))
+                      .when(n > 0, F.lit("unread")).otherwise("isolated").alias("why_isolated"))
+
+
+def overview(nodes: DataFrame, edges: DataFrame, diags: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per repo."""
+    stats = graph_stats(nodes, edges, labels).select("repo", "components", "connected", "clusters")
+    rel = relationships(edges).groupBy("repo").agg(F.count("*").alias("relationships"))
+    gaps = diags.where("severity <> 'info'").groupBy("repo").agg(F.count("*").alias("gaps"))
+    files = nodes.groupBy("repo").agg(F.count_distinct("path").alias("n_files"))
+    top = degree(nodes, edges).where("kind <> 'boundary'").groupBy("repo").agg(
+        F.min(F.struct((-(F.col("n_in") + F.col("n_out"))).alias("neg"), "id")).alias("t")).select("repo", F.col("t.id").alias("top_node"))
+    out = stats
+    for part in (rel, gaps, files, top):
+        out = out.join(part, "repo", "left")
+    return out.na.fill(0, ["relationships", "gaps", "n_files"])
+
+
+def shape_report(nodes: DataFrame, edges: DataFrame, diags: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled sizes per repo, for pinning a repository's shape."""
+    stats = graph_stats(nodes, edges, labels).join(redundant_nodes(nodes), "repo")
+    sizes = stats.select("repo", F.explode(F.array(*[
+        F.struct(F.lit(w).alias("what"), F.col(c).cast("bigint").alias("n")) for w, c in
+        (("nodes", "n_nodes"), ("edges", "n_edges"), ("connected", "connected"), ("clusters", "clusters"), ("redundant", "redundant"))
+    ])).alias("s")).select("repo", "s.what", "s.n")
+
+    def count(df: DataFrame, what: str, column: str) -> DataFrame:
+        return df.groupBy("repo", F.concat(F.lit(what + " "), F.col(column)).alias("what")).agg(F.count("*").alias("n"))
+
+    return (sizes.unionByName(count(nodes, "kind", "kind")).unionByName(count(edges, "relationship", "kind"))
+            .unionByName(count(diags, "diagnostic", "code")))
