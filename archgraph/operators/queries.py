@@ -85,7 +85,7 @@ def resolve_refs(asks: DataFrame, nodes: DataFrame) -> DataFrame:
     by_id = named.select("repo", F.col("id").alias("form"), F.lit(0).alias("tier"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("lo"))
     by_name = named.groupBy("repo", F.col("lname").alias("form")).agg(F.count("*").alias("n"), F.min("id").alias("lo")).select(
         "repo", "form", F.lit(1).alias("tier"), "n", "lo")
-    by_full = named.groupBy("repo", F.concat_ws(".", "lname", "lns").alias("form")).agg(
+    by_full = named.where(~F.contains("lname", F.lit("."))).groupBy("repo", F.concat_ws(".", "lname", "lns").alias("form")).agg(
         F.count("*").alias("n"), F.min("id").alias("lo")).select("repo", "form", F.lit(2).alias("tier"), "n", "lo")
     forms = by_id.unionByName(by_name).unionByName(by_full)
     probes = asks.where("ref <> ''").select("repo", "ask_id", F.explode(F.array(
@@ -95,11 +95,10 @@ def resolve_refs(asks: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min_by(F.struct("n", "lo"), "tier").alias("hit"))
     rest = asks.where("ref <> ''").join(exact, ["repo", "ask_id"], "left_anti").select("repo", low.alias("needle")).distinct()
     partial = _containing(rest, named.select("repo", "id", "lname"))
-    out = asks.join(exact, ["repo", "ask_id"], "left").join(
-        partial.select("repo", F.col("needle"), F.struct("n", "lo").alias("loose")),
-        (asks["repo"] == partial["repo"]) & (low == F.col("needle")), "left").drop(partial["repo"])
+    out = asks.withColumn("needle", low).join(exact, ["repo", "ask_id"], "left").join(
+        partial.select("repo", "needle", F.struct("n", "lo").alias("loose")), ["repo", "needle"], "left")
     hit = F.coalesce("hit", "loose")
-    return out.select(asks["repo"], "ask_id", "ref", F.coalesce(hit["n"], F.lit(0)).cast("int").alias("n_matches"),
+    return out.select("repo", "ask_id", "ref", F.coalesce(hit["n"], F.lit(0)).cast("int").alias("n_matches"),
                       F.when(hit["n"] == 1, hit["lo"]).alias("node_id"))
 
 

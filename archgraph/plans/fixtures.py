@@ -157,7 +157,8 @@ SELECT o_orderkey AS row_id, CASE WHEN o_custkey % 4 = 3 THEN 'b' ELSE 'a' END A
          WHEN 0 THEN 'postgres://svc:pw' || o_custkey || '@db-' || (o_custkey % 40) || ':5432/app'
          WHEN 1 THEN 'db-' || (o_custkey % 40) || '.ns-' || (o_custkey % 5) || '.svc.cluster.local:6379'
          WHEN 2 THEN 'svc-' || (o_custkey % 100)
-         WHEN 3 THEN 'https://api-' || (o_custkey % 7) || '.example.com/v1'
+         WHEN 3 THEN 'https://' || CASE o_custkey % 7 WHEN 5 THEN 'api.stripe.com'
+                     ELSE 'api-' || (o_custkey % 7) || '.example.com' END || '/v1'
          WHEN 4 THEN 'svc-' || (o_custkey % 100) || ':9092, svc-1:9092'
          WHEN 5 THEN 'sk-live' || o_custkey || 'abcdefghij'
          WHEN 6 THEN '127.0.0.1:80'
@@ -224,6 +225,47 @@ SELECT 'a' AS repo, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' TH
 FROM {events}
 """
 
+VIEWS["fx_dir_hints"] = """
+SELECT repo, row_id AS hint_id, key,
+       CASE row_id % 4 WHEN 0 THEN 'services/svc-' || k WHEN 1 THEN './services//shared-' || (k % 20) || '/'
+            WHEN 2 THEN 'services/svc-' || k || '/src/..' ELSE 'nowhere/' || (k % 9) END AS owner_dir,
+       'services/' || (row_id % 300) || '/.env' AS path
+FROM (SELECT *, row_id % (SELECT count(*) FROM {supplier}) AS k FROM {fx_env}) e
+"""
+VIEWS["fx_decls"] = """
+SELECT 'a' AS repo, cast(l_orderkey * 8 + l_linenumber as bigint) AS seq,
+       CASE l_linenumber % 3 WHEN 0 THEN 'context:prod-' || g
+            WHEN 1 THEN CASE WHEN g < 3 THEN 'container:c-' || g || '-' || tt || '-' || (l_partkey % 50)
+                             ELSE 'container:c-' || g || '-' || (l_partkey % 50) END
+            ELSE 'container:root-' || (l_partkey % 20) END AS id,
+       CASE l_linenumber % 3 WHEN 0 THEN 'boundary' ELSE 'service' END AS kind,
+       CASE l_linenumber % 3 WHEN 0 THEN 'prod-' || g WHEN 1 THEN 'c-' || (l_partkey % 50) ELSE 'root-' || (l_partkey % 20) END AS name,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'directory' END AS name_from,
+       CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 2 THEN
+                 CASE WHEN l_partkey % 2 = 0 THEN 'acme/R-' || tt || ':1' END
+            WHEN g = 4 THEN 'acme/img-' || tt || ':1' ELSE 'img-x:1' END AS image,
+       CASE WHEN l_linenumber % 3 = 1 AND g = 5 THEN 'build/' || tt END AS build,
+       CASE l_linenumber % 3 WHEN 0 THEN 'apps/g' || g || '/t' || tt || '/ns.yaml'
+            WHEN 1 THEN 'apps/g' || g || '/t' || tt || '/deploy/x.yaml'
+            ELSE 'top' || tt || '/x.yaml' END AS path
+FROM (SELECT *, l_partkey % 6 AS g, l_suppkey % 3 AS tt FROM {lineitem}) l
+"""
+VIEWS["fx_decl_projects"] = """
+SELECT DISTINCT 'a' AS repo, CASE l_partkey % 6 WHEN 5 THEN ' ./apps/g5/' WHEN 4 THEN '../out' ELSE '.' END AS root FROM {lineitem}
+"""
+VIEWS["fx_sources"] = """
+SELECT 'a' AS repo, 'svc-' || k AS caller,
+       'src/svc-' || k || CASE o_orderkey % 5 WHEN 0 THEN '/vendor/x.go' WHEN 1 THEN '/readme.md'
+          WHEN 2 THEN '/app.PY' ELSE '/main' || o_orderkey || '.go' END AS path,
+       'x := os.Getenv(' || chr(34) || 'SVC_' || (o_custkey % 100) || '_ADDR' || chr(34) || ') + DB_URL_HOST + '
+         || 'MY_SVC_URLS + APP' || (o_custkey % 7) || '_ENDPOINT; lower_host LISTEN_HOST' AS content
+FROM (SELECT o_orderkey, o_custkey, o_orderkey % (SELECT count(*) FROM {supplier}) AS k FROM {orders}) o
+"""
+VIEWS["fx_stems"] = """
+SELECT 'a' AS repo, 'SVC_' || s_suppkey AS stem,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'svc-' || (2 * s_suppkey + 1) ELSE 'svc-' || s_suppkey END AS callee FROM {supplier}
+"""
+
 # ------------------------------------------------------------------ file input
 VIEWS["fx_paths"] = """
 SELECT 'repo-' || (page_id % 3) AS repo,

@@ -394,7 +394,7 @@ def impact_of_dependencies(t):
     WITH c AS (SELECT repo, count(*) AS components FROM {fx_nodes} WHERE kind <> 'boundary' GROUP BY ALL)
     SELECT r.repo, start, count(*) AS affected, min(weakest_pct) AS weakest_pct, max(depth) AS max_depth, components, round(count(*) / components, 4) AS share, """
        + ", ".join(f"count(*) FILTER (depth = {d}) AS depth_{d}" for d in range(1, g.MAX_DEPTH + 1))
-       + " FROM {dk_up} r JOIN c USING (repo) GROUP BY ALL", M)
+       + " FROM {dk_up} r JOIN c ON c.repo = r.repo GROUP BY r.repo, start, components", M)
 def impact_summary(t):
     return g.impact_summary(g.impact_of(merged(t), queues(t)), typed(t))
 
