@@ -1,4 +1,4 @@
 """Import every module that registers queries."""
 
-from archgraph.plans import corrections, graphs, resolution, scalars  # noqa: F401
+from archgraph.plans import corrections, extraction, graphs, resolution, scalars  # noqa: F401
 from archgraph.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -284,10 +284,10 @@ SELECT 'repo-' || (page_id % 3) AS repo,
 FROM {pages}
 """
 VIEWS["fx_ignore_rules"] = """
-SELECT DISTINCT 'repo-' || (page_id % 3) AS repo,
+SELECT DISTINCT 'repo-' || (cast(floor(page_id / 6) as bigint) % 3) AS repo,
        CASE page_id % 6 WHEN 4 THEN 'proj-1' WHEN 5 THEN 'proj-2/src' ELSE '' END AS base,
        cast(page_id % 6 as int) AS line,
-       CASE page_id % 6 WHEN 0 THEN 'build/' WHEN 1 THEN 'docs/**/*.toml' WHEN 2 THEN '*.tf'
+       CASE page_id % 6 WHEN 0 THEN 'build/' WHEN 1 THEN 'proj-0/docs/**/*.toml' WHEN 2 THEN '*.tf'
             WHEN 3 THEN '!proj-3/build/' WHEN 4 THEN '!*.tf' ELSE '/svc-1?/' END AS pattern
 FROM {pages}
 """
@@ -439,7 +439,7 @@ FROM {events}
 VIEWS["fx_manifests"] = (
     "SELECT repo, k, format, 'deploy/' || format || '/' || k || '.json' AS path, doc FROM (\n"
     "SELECT 'repo-' || (k % 2) AS repo, k, 'workload' AS format, CASE WHEN k % 13 = 12 THEN '{broken' ELSE "
-    + _json('{"kind":"', "=CASE k % 4 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'StatefulSet' WHEN 2 THEN 'CronJob' ELSE 'Deployment' END",
+    + _json('{"apiVersion":"v1","kind":"', "=CASE k % 4 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'StatefulSet' WHEN 2 THEN 'CronJob' ELSE 'Deployment' END",
             '","metadata":{"name":"svc-', "=k", '"', "=CASE WHEN k % 3 = 0 THEN '' ELSE ',\"namespace\":\"ns-' || (k % 5) || '\"' END",
             '},"spec":{', "=CASE WHEN k % 4 = 1 THEN '\"serviceName\":\"svc-' || k || '-headless\",' ELSE '' END",
             "=CASE WHEN k % 4 = 2 THEN '\"schedule\":\"0 3 * * *\",' ELSE '' END",
@@ -456,16 +456,16 @@ VIEWS["fx_manifests"] = (
             "=CASE WHEN k % 4 = 2 THEN '}}' ELSE '' END", '}}')
     + " END AS doc FROM (SELECT s_suppkey AS k FROM {supplier}) s\n"
     "UNION ALL SELECT 'repo-' || (k % 2), k, 'service', "
-    + _json('{"kind":"Service","metadata":{"name":"alias-', "=k", '","namespace":"ns-', "=k % 5", '"},"spec":{',
+    + _json('{"apiVersion":"v1","kind":"Service","metadata":{"name":"alias-', "=k", '","namespace":"ns-', "=k % 5", '"},"spec":{',
             "=CASE WHEN k % 10 = 9 THEN '\"type\":\"ExternalName\",\"externalName\":\"db-' || k || '.example.org\"' WHEN k % 10 = 8 THEN '\"ports\":[]' ELSE '\"selector\":{\"app\":\"svc-' || k || '\"},\"ports\":[{\"port\":80},{\"port\":' || (8000 + k % 10) || '}]' END",
             '}}')
     + " FROM (SELECT s_suppkey AS k FROM {supplier}) s\n"
     "UNION ALL SELECT 'repo-' || (k % 2), k, 'configmap', "
-    + _json('{"kind":"ConfigMap","metadata":{"name":"cfg-', "=k", '"', "=CASE WHEN k % 3 = 0 THEN '' ELSE ',\"namespace\":\"ns-' || (k % 5) || '\"' END",
+    + _json('{"apiVersion":"v1","kind":"ConfigMap","metadata":{"name":"cfg-', "=k", '"', "=CASE WHEN k % 3 = 0 THEN '' ELSE ',\"namespace\":\"ns-' || (k % 5) || '\"' END",
             '},"data":{"HOST":"svc-', "=k % 50", '","PAY_URL":"https://api-', "=k % 4", '.example.com","API_TOKEN":"x"}}')
     + " FROM (SELECT s_suppkey AS k FROM {supplier}) s\n"
     "UNION ALL SELECT 'repo-' || (k % 2), k, 'ingress', "
-    + _json('{"kind":"Ingress","metadata":{"name":"ing-', "=k", '","namespace":"ns-', "=k % 5", '"},"spec":{"ingressClassName":"nginx",',
+    + _json('{"apiVersion":"v1","kind":"Ingress","metadata":{"name":"ing-', "=k", '","namespace":"ns-', "=k % 5", '"},"spec":{"ingressClassName":"nginx",',
             "=CASE WHEN k % 2 = 0 THEN '\"defaultBackend\":{\"service\":{\"name\":\"svc-' || k || '\",\"port\":{\"number\":80}}},' ELSE '\"backend\":{\"serviceName\":\"svc-' || k || '\",\"servicePort\":\"8080\"},' END",
             '"tls":[{"hosts":["t', "=k", '.example.com","w', "=k % 3", '.example.com"]}],"rules":[{"host":"w', "=k % 3",
             '.example.com","http":{"paths":[{"path":"/a","backend":{"service":{"name":"svc-', "=k + 1", '","port":{"number":', "=8000 + k % 10",
@@ -490,7 +490,7 @@ VIEWS["fx_manifests"] = (
             '","version":"12"},{"name":"web-', "=k % 9", '","repository":"https://charts.example.com"}]}')
     + " FROM (SELECT s_suppkey AS k FROM {supplier}) s\n"
     "UNION ALL SELECT 'repo-' || (k % 2), k, 'values', "
-    + _json("=CASE WHEN k % 2 = 0 THEN '{\"image\":{\"repository\":\"acme/app-' || k || '\",\"tag\":\"1\"},\"service\":{\"port\":80},\"env\":{\"DB_HOST\":\"db-' || (k % 40) || ':5432\",\"list\":[{\"REDIS_URL\":\"redis://cache-' || k || '\"},\"plain\"]}}' ELSE '{\"global\":{\"x\":1},\"web\":{\"enabled\":true,\"image\":{\"repository\":\"acme/web-' || k || '\"},\"replicaCount\":2},\"worker\":{\"create\":false,\"image\":\"acme/worker\",\"resources\":{}},\"storage\":{\"size\":\"1Gi\",\"storageClass\":\"x\"},\"API_URL\":\"http://svc-' || (k % 50) || ':80\"}' END")
+    + _json("=CASE WHEN k % 2 = 0 THEN '{\"image\":{\"repository\":\"acme/app-' || k || '\",\"tag\":\"1\"},\"service\":{\"port\":80},\"env\":{\"DB_HOST\":\"db-' || (k % 40) || ':5432\",\"list\":[{\"REDIS_URL\":\"redis://cache-' || k || '\"},\"plain\"]}}' ELSE '{\"global\":{\"x\":1},\"web\":{\"name\":\"web-' || k || '\",\"service\":{\"port\":8080},\"enabled\":true,\"image\":{\"repository\":\"acme/web-' || k || '\"},\"replicaCount\":2},\"worker\":{\"name\":\"redis\",\"create\":false,\"image\":\"acme/worker\",\"resources\":{}},\"storage\":{\"name\":\"disk\",\"enabled\":true,\"size\":\"1Gi\",\"storageClass\":\"x\"},\"API_URL\":\"http://svc-' || (k % 50) || ':80\"}' END")
     + " FROM (SELECT s_suppkey AS k FROM {supplier}) s\n) m"
 )
 
