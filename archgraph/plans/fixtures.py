@@ -93,7 +93,8 @@ SELECT DISTINCT repo, 'context:@ns-' || (k % 5) || '/ns-' || (k % 5), 'boundary'
 FROM {fx_suppliers}
 UNION ALL
 SELECT DISTINCT 'a', 'context:api-' || (c_custkey % 3) || '.example.com', 'external', 'context',
-       'api-' || (c_custkey % 3) || '.example.com', 'net', '.', NULL, NULL, NULL,
+       'api-' || (c_custkey % 3) || '.example.com', 'net', '.', NULL,
+       CASE WHEN c_custkey % 3 = 1 THEN 'stripe' END, NULL,
        cast(NULL as int), NULL, NULL, NULL, NULL,
        'api-' || (c_custkey % 3) || '.example.com', 'deploy/external.yaml',
        cast(1 + c_custkey % 3 as int), 80

@@ -192,7 +192,7 @@ def refusal_diagnostics(t):
 
 
 @query("refusal_candidates", """
-    SELECT DISTINCT r.repo, x.form_kind, r.form, CASE WHEN r.is_wide = 0 THEN 's|' || n.project || '|' || from_ns ELSE 'p|' || f.project END AS reach, c.node_id,
+    SELECT DISTINCT r.repo, x.form_kind, r.form, CASE WHEN r.is_wide = 0 THEN 's|' || n.project || '|' || r.from_ns ELSE 'p|' || f.project END AS reach, c.node_id,
            c.label FROM {dk_ranked} r JOIN {dk_decided} d ON d.repo = r.repo AND d.hint_id = r.hint_id
     JOIN {dk_rules} x ON x.rule_rank = r.rule_rank
     JOIN {fx_nodes} f ON f.repo = r.repo AND f.id = r.from_node JOIN {fx_nodes} n ON n.repo = r.repo AND n.id = r.from_node

@@ -53,5 +53,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on few large splits as many tasks as there are
+    slots. A table of many files is left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()

@@ -94,5 +94,8 @@ def unreadable(docs: DataFrame, code_of: dict[str, str]) -> DataFrame:
     """A bad document is a diagnostic row, never a failed job. ``docs``: repo,
     path, format, doc; ``code_of``: format -> diagnostic code."""
     code = F.try_element_at(F.create_map(*[F.lit(x) for kv in code_of.items() for x in kv]), F.col("format"))
-    return docs.where(F.try_parse_json("doc").isNull()).select(
+    # wrapped in a list, text after the document's end is an error too
+    boxed = F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]")))
+    bad = boxed.isNull() | F.try_variant_get(boxed, "$[1]", "variant").isNotNull() | F.try_variant_get(boxed, "$[0]", "variant").isNull()
+    return docs.where(bad).select(
         "repo", "path", F.lit("warn").alias("severity"), code.alias("code"), F.lit("could not read this document").alias("message"))

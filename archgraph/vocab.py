@@ -504,6 +504,12 @@ PREFIXED_TOKEN_PATTERN = (
     r"(?:gh[pousr]_|github_pat_|xox[baprs]-|sk-[A-Za-z0-9-]*|sk_live_|pk_live_"
     r"|rk_live_|glpat-|npm_|dop_v1_|shpat_|AIza)[A-Za-z0-9_\-]{8,}"
 )
+# Literal parts a match of the two patterns above starts with.
+AWS_KEY_STARTS = "AKIA ASIA AGPA AIDA AROA AIPA ANPA ANVA ABIA ACCA"
+TOKEN_STARTS = """
+ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xoxb- xoxa- xoxp- xoxr- xoxs- sk- sk_live_
+pk_live_ rk_live_ glpat- npm_ dop_v1_ shpat_ AIza
+"""
 JWT_PATTERN = r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*"
 
 # Hint kind -> base confidence in hundredths.
