@@ -107,8 +107,11 @@ def impact_of(edges: DataFrame, starts: DataFrame, dependents: bool = True, max_
             .where(F.col("peer") != F.col("start"))
             .groupBy("repo", "start", F.col("peer").alias("id"))
             .agg(F.min(F.struct((-weakest).alias("neg"), F.col("at").alias("via"), "kind", "protocol")).alias("r")))
-        for done in levels:
-            reached = reached.join(done.select("repo", "start", "id"), ["repo", "start", "id"], "left_anti")
+        if levels:  # everything reached earlier keeps its shorter route
+            settled = levels[0].select("repo", "start", "id")
+            for done in levels[1:]:
+                settled = settled.unionByName(done.select("repo", "start", "id"))
+            reached = reached.join(settled, ["repo", "start", "id"], "left_anti")
         level = durable(reached.select("repo", "start", "id", F.lit(depth).alias("depth"), "r.via", "r.kind",
                                        (-F.col("r.neg")).alias("weakest_pct")), "level")
         if is_empty(level):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from archgraph import vocab
 from archgraph.functions import ids, net
+from archgraph.session import durable
 
 _RULES = [(rule, i, int(pct), form) for i, (rule, pct, form) in enumerate(vocab.rows(vocab.MATCH_RULES))]
 
@@ -90,7 +91,8 @@ def match_ladder(hints: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFr
     outcome: matched, ambiguous, out_of_scope or none.
     """
     referred = _referrers(hints, nodes, forms)
-    decided = _decide(referred, _answers(forms, nodes))
+    # read twice below: once for the ties, once for the result
+    decided = durable(_decide(referred, _answers(forms, nodes)), "decided")
     return _tie_break(decided, nodes, forms)
 
 
@@ -99,42 +101,48 @@ def _decide(referred: DataFrame, answers: DataFrame) -> DataFrame:
     reaches = F.array_compact(F.array(
         F.lit("*"), F.concat(F.lit("p|"), "from_project"),
         F.when(scoped, F.concat(F.lit("s|"), "from_project", F.lit("|"), "from_namespace"))))
-    spellings = F.array(
-        F.struct(F.lit(False).alias("normed"), F.lower("token").alias("form")),
-        F.struct(F.lit(True).alias("normed"), ids.normalize_name(F.col("token")).alias("form")))
+    # the referrer itself is never an answer: which rules it answers to under a
+    # spelling is noted as bits, so that the probes stay narrow
+    held = lambda rule, form: F.array_contains("own_forms", F.concat(F.lit(rule + ":"), form)).cast("int")
+    bits = {form: 1 << i for _, i, _, form in _RULES}
+
+    def spelling(normed: bool, form: Column) -> Column:
+        mine = F.lit(0)
+        for rule in bits:
+            if (rule == "norm") == normed:
+                mine = mine + held(rule, form) * bits[rule]
+        return F.struct(F.lit(normed).alias("normed"), form.alias("form"), mine.alias("mine"))
+
+    spellings = F.array(spelling(False, F.lower("token")), spelling(True, ids.normalize_name(F.col("token"))))
     probes = (
-        referred.select("hint_id", "repo", "own_forms", "from_kind",
+        referred.select("hint_id", "repo", "own_forms", scoped.alias("scoped"), (F.col("from_kind") == "external").alias("outer"),
                         F.posexplode("tokens").alias("pos", "token"), reaches.alias("reaches"))
-        .select("hint_id", "repo", "own_forms", "from_kind", "pos", F.explode(spellings).alias("s"), "reaches")
-        .select("hint_id", "repo", "own_forms", "from_kind", "pos", "s.normed", "s.form",
-                F.explode("reaches").alias("reach")))
+        .select("hint_id", "repo", "scoped", "outer", "pos", F.explode(spellings).alias("s"), "reaches")
+        .select("hint_id", "repo", "scoped", "outer", "pos", "s.normed", "s.form", "s.mine", F.explode("reaches").alias("reach")))
     rank = F.create_map(*[x for _, i, _, form in _RULES for x in (F.lit(form), F.lit(i))])
-    # the referrer itself is never an answer: discount it where it is counted
-    own = (F.array_contains("own_forms", F.concat_ws(":", "r.form_kind", "form"))
-           & (F.when(F.col("reach") == "*", F.col("from_kind") == "external").otherwise(F.col("from_kind") != "external"))
-           ).cast("int")
+    bit = F.create_map(*[x for form, b in bits.items() for x in (F.lit(form), F.lit(b))])
+    own = ((F.col("mine").bitwiseAND(bit[F.col("r.form_kind")]) > 0) & ((F.col("reach") == "*") == F.col("outer"))).cast("int")
     hits = (
         probes.join(answers, ["repo", "reach", "normed", "form"])
-        .select("hint_id", "repo", "pos", "form", "reach", "own_forms", "from_kind", F.explode("rules").alias("r"))
-        .select("hint_id", "repo", "pos", "form", "reach", F.col("r.form_kind").alias("form_kind"),
+        .select("hint_id", "repo", "scoped", "pos", "form", "reach", "mine", "outer", F.explode("rules").alias("r"))
+        .select("hint_id", "repo", "scoped", "pos", "form", "reach", F.col("r.form_kind").alias("form_kind"),
                 rank[F.col("r.form_kind")].alias("rule_rank"), (F.col("r.n") - own).alias("n"),
                 "r.lo", "r.hi", own.alias("own"))
         .where("n > 0"))
     local = F.col("reach").startswith("s|") | (F.col("reach") == "*")
     wide = ~F.col("reach").startswith("s|")
-    per_rule = hits.groupBy("repo", "hint_id", "pos", "rule_rank", "form_kind", "form").agg(
+    per_rule = hits.groupBy("repo", "hint_id", "pos", "scoped", "rule_rank", "form_kind", "form").agg(
         *[F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0)).alias(f"n_{tag}") for tag, flag in (("local", local), ("wide", wide))],
         *[F.min(F.when(flag, F.struct("n", "lo", "hi", "own"))).alias(f"one_{tag}") for tag, flag in (("local", local), ("wide", wide))])
     ranked = per_rule.select(
-        "repo", "hint_id", "form_kind", "form",
+        "repo", "hint_id", "scoped", "form_kind", "form",
         F.explode(F.array(
             F.struct("pos", F.lit(0).alias("is_wide"), "rule_rank", F.col("n_local").alias("n"), F.col("one_local").alias("one")),
             F.struct("pos", F.lit(1).alias("is_wide"), "rule_rank", F.col("n_wide").alias("n"), F.col("one_wide").alias("one")))).alias("c"),
     ).where("c.n > 0")
+    # a reference without a scope has no local reading, only the whole project
     return referred.join(
-        ranked.join(referred.select("repo", "hint_id", scoped.alias("scoped")), ["repo", "hint_id"])
-        # a reference without a scope sees the whole project only
-        .where("scoped OR c.is_wide = 1")
+        ranked.where("scoped OR c.is_wide = 1")
         .groupBy("repo", "hint_id")
         .agg(F.min_by(F.struct("c.*", "form_kind", "form"), F.struct("c.pos", "c.is_wide", "c.rule_rank")).alias("best")),
         ["repo", "hint_id"], "left")
