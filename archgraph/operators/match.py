@@ -22,12 +22,15 @@ from archgraph import vocab
 from archgraph.functions import ids, net
 from archgraph.session import durable
 
-_RULES = [(rule, i, int(pct), form) for i, (rule, pct, form) in enumerate(vocab.rows(vocab.MATCH_RULES))]
+# (rule, rank, penalty in hundredths, form kind it looks up)
+Rules = list[tuple[str, int, int, str]]
 
 
-def match_rules() -> list[tuple[str, int, int, str]]:
-    """(rule, rank, penalty, form kind); callers may pass a longer ladder."""
-    return list(_RULES)
+def match_rules(extra: list[tuple[str, int, str]] | None = None) -> Rules:
+    """The ladder, strongest rule first. ``extra`` adds weaker rules (rule,
+    penalty, form kind); their forms are further rows of the forms table."""
+    ladder = [(rule, int(pct), form) for rule, pct, form in vocab.rows(vocab.MATCH_RULES)] + (extra or [])
+    return [(rule, rank, pct, form) for rank, (rule, pct, form) in enumerate(ladder)]
 
 
 def hints_from_values(rows: DataFrame) -> DataFrame:
@@ -54,10 +57,10 @@ def _reach(kind: Column, project: Column, namespace: Column) -> Column:
         F.when(namespace != "", F.concat(F.lit("s|"), project, F.lit("|"), namespace)))))
 
 
-def _referrers(hints: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
+def _referrers(hints: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Rules) -> DataFrame:
     """Hints with what the decision needs to know about their own component:
     where it lives, and the forms it answers to itself (to be discounted)."""
-    own = forms.where(F.col("form_kind").isin(*[r[3] for r in _RULES])).groupBy("repo", "node_id").agg(
+    own = forms.where(F.col("form_kind").isin(*[r[3] for r in rules])).groupBy("repo", "node_id").agg(
         F.collect_set(F.concat_ws(":", "form_kind", "form")).alias("own_forms"))
     referrer = nodes.select(
         "repo", F.col("id").alias("from_node"), F.col("namespace").alias("from_namespace"),
@@ -67,10 +70,10 @@ def _referrers(hints: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFram
         "own_forms", F.coalesce("own_forms", F.array().cast("array<string>")))
 
 
-def _answers(forms: DataFrame, nodes: DataFrame) -> DataFrame:
+def _answers(forms: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
     """Who answers to a form, per reach: how many, and the least and greatest
     id, with one array entry per rule."""
-    rank = {form: i for _, i, _, form in _RULES}
+    rank = {form: i for _, i, _, form in rules}
     attrs = nodes.select("repo", F.col("id").alias("node_id"),
                          F.explode(_reach(F.col("kind"), F.col("project"), F.col("namespace"))).alias("reach"))
     per_rule = (
@@ -83,20 +86,21 @@ def _answers(forms: DataFrame, nodes: DataFrame) -> DataFrame:
         F.collect_list(F.struct("form_kind", "n", "lo", "hi")).alias("rules"))  # at most one entry per rule
 
 
-def match_ladder(hints: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
+def match_ladder(hints: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Decide every hint: adds outcome, rule, node_id, match_pct, n_candidates
     and the deciding form (rule kind, form, reach), by which the candidates of
     a refusal can be listed.
 
     outcome: matched, ambiguous, out_of_scope or none.
     """
-    referred = _referrers(hints, nodes, forms)
+    rules = rules or match_rules()
+    referred = _referrers(hints, nodes, forms, rules)
     # read twice below: once for the ties, once for the result
-    decided = durable(_decide(referred, _answers(forms, nodes)), "decided")
-    return _tie_break(decided, nodes, forms)
+    decided = durable(_decide(referred, _answers(forms, nodes, rules), rules), "decided")
+    return _tie_break(decided, nodes, forms, rules)
 
 
-def _decide(referred: DataFrame, answers: DataFrame) -> DataFrame:
+def _decide(referred: DataFrame, answers: DataFrame, rules: Rules) -> DataFrame:
     scoped = F.col("from_namespace") != ""
     reaches = F.array_compact(F.array(
         F.lit("*"), F.concat(F.lit("p|"), "from_project"),
@@ -104,7 +108,7 @@ def _decide(referred: DataFrame, answers: DataFrame) -> DataFrame:
     # the referrer itself is never an answer: which rules it answers to under a
     # spelling is noted as bits, so that the probes stay narrow
     held = lambda rule, form: F.array_contains("own_forms", F.concat(F.lit(rule + ":"), form)).cast("int")
-    bits = {form: 1 << i for _, i, _, form in _RULES}
+    bits = {form: 1 << i for _, i, _, form in rules}
 
     def spelling(normed: bool, form: Column) -> Column:
         mine = F.lit(0)
@@ -119,7 +123,7 @@ def _decide(referred: DataFrame, answers: DataFrame) -> DataFrame:
                         F.posexplode("tokens").alias("pos", "token"), reaches.alias("reaches"))
         .select("hint_id", "repo", "scoped", "outer", "pos", F.explode(spellings).alias("s"), "reaches")
         .select("hint_id", "repo", "scoped", "outer", "pos", "s.normed", "s.form", "s.mine", F.explode("reaches").alias("reach")))
-    rank = F.create_map(*[x for _, i, _, form in _RULES for x in (F.lit(form), F.lit(i))])
+    rank = F.create_map(*[x for _, i, _, form in rules for x in (F.lit(form), F.lit(i))])
     bit = F.create_map(*[x for form, b in bits.items() for x in (F.lit(form), F.lit(b))])
     own = ((F.col("mine").bitwiseAND(bit[F.col("r.form_kind")]) > 0) & ((F.col("reach") == "*") == F.col("outer"))).cast("int")
     hits = (
@@ -148,12 +152,11 @@ def _decide(referred: DataFrame, answers: DataFrame) -> DataFrame:
         ["repo", "hint_id"], "left")
 
 
-def _tie_break(decided: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
+def _tie_break(decided: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Rules) -> DataFrame:
     """Narrow a tied answer by namespace, then port, then implied kind, each
     only if somebody is left; count candidates per narrowing key, never list."""
-    rules = {i: (rule, pct) for rule, i, pct, _ in _RULES}
-    rule_name = F.create_map(*[x for i, (rule, _) in rules.items() for x in (F.lit(i), F.lit(rule))])
-    penalty = F.create_map(*[x for i, (_, pct) in rules.items() for x in (F.lit(i), F.lit(pct))])
+    rule_name = F.create_map(*[x for rule, i, _, _ in rules for x in (F.lit(i), F.lit(rule))])
+    penalty = F.create_map(*[x for _, i, pct, _ in rules for x in (F.lit(i), F.lit(pct))])
     scoped = F.col("from_namespace") != ""
     d = decided.select(
         "*", F.col("best.n").alias("n_candidates"), F.col("best.rule_rank").alias("rule_rank"),

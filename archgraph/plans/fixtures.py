@@ -374,8 +374,8 @@ VIEWS["fx_deps"] = """
 SELECT 'a' AS repo, 'container:services/svc-' || (p_partkey % 60) AS component,
        CASE p_partkey % 12 WHEN 0 THEN 'psycopg2-binary' WHEN 1 THEN 'github.com/jackc/pgx/v5'
          WHEN 2 THEN '@supabase/supabase-js' WHEN 3 THEN 'Flask' WHEN 4 THEN 'uvicorn[standard]'
-         WHEN 5 THEN '@nestjs/core' WHEN 6 THEN 'google_cloud_storage' WHEN 7 THEN 'github.com/IBM/sarama'
-         WHEN 8 THEN 'stripe' WHEN 9 THEN '@aws-sdk/client-s3' WHEN 10 THEN 'google-cloud-pubsub'
+         WHEN 5 THEN '@nestjs/core' WHEN 6 THEN 'google_cloud_storage' WHEN 7 THEN 'stripe'
+         WHEN 8 THEN 'github.com/IBM/sarama' WHEN 9 THEN '@aws-sdk/client-s3' WHEN 10 THEN 'google-cloud-pubsub'
          ELSE 'lib-' || p_partkey END AS dependency,
        'services/svc-' || (p_partkey % 60) || '/package.json' AS path
 FROM {part}

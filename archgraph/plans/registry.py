@@ -22,10 +22,6 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-# derived tables that stand for data at rest
-INPUTS = tuple(VIEWS)
-
-
 def forget_stages() -> None:
     """Drop the memo of everything computed from the input tables."""
     for key in [k for k in _TABLES if k[2] not in VIEWS]:

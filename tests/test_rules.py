@@ -235,3 +235,26 @@ def test_no_pairing_join_in_the_core_plans(spark):
     for df in (decided, match.refusal_diagnostics(decided, n, forms), match.external_synthesis(decided)[1]):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "EvalPython" not in plan
+
+
+def test_a_job_plugs_in(spark):
+    from archgraph.sources.jobs import Jobs
+
+    files = spark.createDataFrame([("r", "a/x.toml", 3, 1, "k=v"), ("r", "a/y.md", 3, 1, "-"), ("r", "a/z.toml", 9, 1, "big")],
+                                  "repo string, path string, size bigint, mtime bigint, content string")
+    jobs = Jobs(limit=5)
+    jobs.register("toml", F.col("ext") == ".toml", lambda f: {"nodes": f.select("repo", "path", F.lit("n").alias("id"))})
+    jobs.register("count", F.lit(True), lambda f: {"nodes": f.select("repo", "path"), "diagnostics": f.select("repo", "path")})
+    out = jobs.run(files)
+    assert sorted((r["extractor"], r["path"]) for r in out["nodes"].collect()) == [("count", "a/x.toml"), ("count", "a/y.md"), ("toml", "a/x.toml")]
+
+
+def test_the_ladder_can_be_extended(spark):
+    n = nodes_of(spark, svc("me"), svc("orders"))
+    forms = identity_forms(n).unionByName(spark.createDataFrame([("r", "nick", "bestellung", "container:orders")],
+                                                                "repo string, form_kind string, form string, node_id string"))
+    values = spark.createDataFrame([("r", 1, "container:me", "f", 1, "B_HOST", "bestellung")],
+                                   "repo string, row_id bigint, from_node string, path string, line int, key string, value string")
+    rules = match.match_rules([("nickname", 30, "nick")])
+    got = match.match_ladder(match.hints_from_values(values), n, forms, rules).first()
+    assert (got["node_id"], got["rule"], got["match_pct"]) == ("container:orders", "nickname", 50)
