@@ -3,8 +3,10 @@ connected components, and vectorised word hashing inside Arrow tasks."""
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,16 @@ from archgraph.session import shared_dir
 HOT = 1000
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package where only the driver's path names it."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = root + (os.pathsep + known if known else "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ready(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/archgraph/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -142,16 +154,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between ASCII white space, of every row.
+def words(raw: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE,
+          heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between the bytes that ``space`` marks, of every row; A-Z read as a-z.
 
     Returns 64-bit hashes, byte lengths, and for each row the index of its
-    first word (one entry more than rows).
+    first word (one entry more than rows). With ``heads`` the hashes have one
+    more row for each, of the words' first so many bytes.
     """
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    space = SPACE[raw]
+        none = np.zeros((1 + len(heads), 0), np.uint64)
+        return none if heads else none[0], np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    space = space[raw]
     first, last = np.empty(n, bool), np.empty(n, bool)
     first[0], first[1:] = True, space[:-1]
     last[-1], last[:-1] = True, space[1:]
@@ -160,7 +175,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.n
     last[inner - 1] = True
     starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
     del first, last, space
-    hashes = np.empty(len(starts), np.uint64)
+    hashes = np.empty((1 + len(heads), len(starts)), np.uint64)
     longest = int((ends - starts).max(initial=0))
     up, down = _powers(_P, min(n, PIECE + longest)), _powers(_PINV, min(n, PIECE + longest))
     i = 0
@@ -168,14 +183,18 @@ def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.n
         lo = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
         hi = ends[j - 1]
-        values = _BYTE[LOWER[raw[lo:hi]] if lower else raw[lo:hi]] * up[:hi - lo]
+        values = _BYTE[LOWER[raw[lo:hi]]] * up[:hi - lo]
         total = np.empty(hi - lo + 1, np.uint64)
         total[0] = 0
         np.cumsum(values, dtype=np.uint64, out=total[1:])
-        hashes[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * down[starts[i:j] - lo]
+        at = starts[i:j] - lo
+        hashes[0, i:j] = (total[ends[i:j] - lo] - total[at]) * down[at] + (ends[i:j] - starts[i:j]).astype(np.uint64)
+        for k, head in enumerate(heads):
+            upto = np.minimum(at + head, ends[i:j] - lo)
+            hashes[k + 1, i:j] = (total[upto] - total[at]) * down[at] + np.uint64((head << 32) + k)
         i = j
-    lengths = ends - starts
-    return mix(hashes + lengths.astype(np.uint64)), lengths, np.searchsorted(starts, bounds)
+    hashes = mix(hashes)
+    return hashes if heads else hashes[0], ends - starts, np.searchsorted(starts, bounds)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

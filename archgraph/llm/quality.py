@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import SPACE, row_groups, text_bytes, words
+from archgraph.llm.common import SPACE, Scratch, row_groups, text_bytes, words
 
 #: Names of the statistics, in order.
 STATISTICS = ["words", "word_length", "word_length_spread", "upper", "punctuation", "symbols", "digits", "lines",
@@ -82,11 +82,25 @@ def statistics(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
-        raw, bounds = text_bytes(batch.column(batch.schema.names.index("text")))
-        for i, j in row_groups(bounds):
-            yield batch.slice(i, j - i), statistics(raw[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the statistics of each text, small rows that training and scoring share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bounds = text_bytes(batch.column(1))
+            for i, j in row_groups(bounds):
+                x = statistics(raw[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _rows(x)], ["doc_id", "x"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+
+
+def _rows(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * _P, pa.int32()), pa.array(x.ravel()))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values)[offsets[0]:offsets[-1]].reshape(-1, _P)
 
 
 class Discriminant:
@@ -121,15 +135,15 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, floor: float = 1e-4) -> Discriminant:
-    """Learn from all rows of ``labels`` (doc_id, quality)."""
+def fit(found: DataFrame, labels: DataFrame, shrinkage: float = 0.1, floor: float = 1e-4) -> Discriminant:
+    """Learn from all rows of ``labels`` (doc_id, quality), by the statistics in ``found``."""
     agreed = (labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
               .agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other"))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for part, x in _chunks(batches):
-            kind = np.asarray(part.column(part.schema.names.index("quality")))
+        for batch in batches:
+            kind, x = np.asarray(batch.column(0)), _matrix(batch.column(1))
             for c in (0, 1):
                 one = np.concatenate([np.ones((int((kind == c).sum()), 1)), x[kind == c]], 1)
                 if len(one):
@@ -139,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, floor: float
              "place": pa.array([i for _ in sums for i in range((_P + 1) ** 2)], pa.int32()),
              "value": pa.array(np.concatenate([s.ravel() for s in sums.values()]) if sums else [], pa.float64())})
 
-    rows = docs.select("doc_id", "text").join(agreed.select("doc_id", "quality"), "doc_id")
+    rows = found.join(agreed.select("doc_id", "quality"), "doc_id").select(F.col("quality").cast("int"), "x")
     found = (rows.mapInArrow(moments, "quality int, place int, value double")
              .groupBy("quality", "place").agg(F.sum("value").alias("value")).collect())  # 2 x 196 numbers
     sums: dict[int, np.ndarray] = {}
@@ -148,13 +162,19 @@ def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, floor: float
     return Discriminant(sums, shrinkage, floor)
 
 
-def score(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) of every document."""
+def score(found: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted) of every row of statistics."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in _chunks(batches):
-            value = model.score(x)
+        for batch in batches:
+            value = model.score(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32))],
+                [batch.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return found.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Learn from ``labels`` and score all ``docs``; each text is read once."""
+    found = Scratch(docs.sparkSession, "quality").save(features(docs), "statistics")
+    return score(found, fit(found, labels), threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm import embedding_dedup, packing, quality, warc
+from archgraph.llm import (embedding_dedup, line_dedup, mixing, outliers, packing, pii, quality, toxicity, trie_join, warc)
 from archgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,11 +32,39 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(table(spark, sf_dir, "documents"), min_words=10)
+
+
+@query()
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = outliers.base_counts(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
+    return outliers.reject_outliers(counted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query()
+def op4_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.cluster(table(spark, sf_dir, "documents"), k=3, part=90, of=100)
+
+
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+@query(mixing.SQL)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"), share=0.8, alpha=0.7)
+
+
 @query(warc.SQL)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -47,10 +75,14 @@ def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = quality.fit(docs, labels.where(~held_out).select("doc_id", "quality"))
-    found = quality.score(docs, model, threshold=0.7)
+    found = quality.classify(docs, labels.where(~held_out).select("doc_id", "quality"), threshold=0.7)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -6,18 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import packing
+from archgraph.llm import mixing, packing, pii, toxicity, trie_join
 from archgraph.llm.common import Scratch, table
 from archgraph.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go; it learns from ``docs`` and their labels."""
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    return trie_join.keep_one(docs, k=5, part=80, of=100)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn by probabilities raked to tempered shares of source, language and topic."""
+    return mixing.sample(docs, share=0.8, alpha=0.7)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row per piece."""
     return packing.pack(docs, tokenizer_path(), 2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing", mix),
     ("best-fit packing", pack),
 ]
 
