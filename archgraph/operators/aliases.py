@@ -59,6 +59,24 @@ def selector_alias_join(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(F.col("n") > 1, F.lit("service_selects_many")).alias("code"))
 
 
+def selector_counts(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many components of the repository each alias's selector matches,
+    whatever its entries: equal selectors are solved once, by their rarest entry."""
+    entry = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    wanted = aliases.select("repo", "alias_key", F.array_sort(F.transform(F.map_entries("selector"), entry)).alias("entries"))
+    has = nodes.where(F.size("labels") > 0).select("repo", "id", F.transform(F.map_entries("labels"), entry).alias("has"))
+    members = has.select("repo", "id", "has", F.explode("has").alias("entry"))
+    counts = members.groupBy("repo", "entry").agg(F.count("*").alias("n"))
+    probes = wanted.select("repo", "entries").distinct().select("repo", "entries", F.explode("entries").alias("entry"))
+    rarest = probes.join(counts, ["repo", "entry"], "left").groupBy("repo", "entries").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")).alias("r")).where("r.n > 0")
+    single = rarest.where(F.size("entries") == 1).select("repo", "entries", F.col("r.n").alias("n"))
+    several = rarest.where(F.size("entries") > 1).select("repo", "entries", F.col("r.entry").alias("entry")).join(
+        members, ["repo", "entry"]).where(F.size(F.array_except("entries", "has")) == 0)
+    solved = single.unionByName(several.groupBy("repo", "entries").agg(F.count("*").alias("n")))
+    return wanted.join(solved, ["repo", "entries"], "left").select("repo", "alias_key", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def named_alias_join(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
     """Aliases that name their target: attached only where one component has
     the name, after narrowing to the alias's namespace if that leaves any."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from archgraph.session import durable, is_empty
 
+#: Default depth; callers may ask for any other.
 MAX_DEPTH = 8
-MAX_PATHS = 25
 
 
 def relationships(edges: DataFrame) -> DataFrame:
@@ -91,9 +91,10 @@ def impact_of(edges: DataFrame, starts: DataFrame, dependents: bool = True, max_
     Shortest distance first; among shortest routes the one whose weakest link
     is strongest, then the least ``via``, then canonical edge order. ``starts``
     is (repo, start): many starts share one frontier, so each round is a single
-    join for all of them.
+    join for all of them. ``unfinished`` names the starts that go on beyond
+    ``max_depth``, which is as deep as the caller asks.
     """
-    max_depth = min(max(max_depth, 1), MAX_DEPTH)
+    max_depth = max(max_depth, 1)
     near, far = ("dst", "src") if dependents else ("src", "dst")
     steps = durable(
         relationships(edges).groupBy("repo", F.col(near).alias("at"), F.col(far).alias("peer"), "kind", "protocol")
@@ -125,13 +126,27 @@ def impact_of(edges: DataFrame, starts: DataFrame, dependents: bool = True, max_
     return out
 
 
-def impact_summary(reach: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per start: how many components, their share, the weakest link, depths."""
+def unfinished(edges: DataFrame, reach: DataFrame, dependents: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(repo, start) whose reach does not end at ``max_depth``: something not reached yet is one edge further."""
+    near, far = ("dst", "src") if dependents else ("src", "dst")
+    last = reach.where(F.col("depth") == max_depth).select("repo", "start", F.col("id").alias("at"))
+    beyond = last.join(relationships(edges).select("repo", F.col(near).alias("at"), F.col(far).alias("id")), ["repo", "at"])
+    beyond = beyond.where(F.col("id") != F.col("start")).select("repo", "start", "id").distinct()
+    return beyond.join(reach.select("repo", "start", "id"), ["repo", "start", "id"], "left_anti").select("repo", "start").distinct()
+
+
+def impact_summary(reach: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Per start: how many components, their share, the weakest link, depths up
+    to ``max_depth``. A start that nothing was reached from has a row too."""
     components = nodes.where("kind <> 'boundary'").groupBy("repo").agg(F.count("*").alias("components"))
-    depth = [F.sum((F.col("depth") == d).cast("int")).alias(f"depth_{d}") for d in range(1, MAX_DEPTH + 1)]
-    return reach.groupBy("repo", "start").agg(
-        F.count("*").alias("affected"), F.min("weakest_pct").alias("weakest_pct"), F.max("depth").alias("max_depth"), *depth,
-    ).join(components, "repo").withColumn("share", F.round(F.col("affected") / F.col("components"), 4))
+    depth = [F.sum((F.col("depth") == d).cast("int")).alias(f"depth_{d}") for d in range(1, max_depth + 1)]
+    summed = reach.groupBy("repo", "start").agg(
+        F.count("*").alias("affected"), F.min("weakest_pct").alias("weakest_pct"), F.max("depth").alias("max_depth"), *depth)
+    counts = ["affected", *(f"depth_{d}" for d in range(1, max_depth + 1))]
+    out = starts.select("repo", "start").distinct().join(summed, ["repo", "start"], "left").na.fill(0, counts)
+    return out.join(components, "repo").withColumns({
+        "share": F.round(F.col("affected") / F.col("components"), 4),
+        "note": F.when(F.col("affected") == 0, "nothing reached").otherwise("")})
 
 
 def trace_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -145,7 +160,6 @@ def trace_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_dep
     ranks first, a pair is finished as soon as a round leaves it with
     ``max_paths`` routes; longer ones could not be listed any more.
     """
-    max_paths = min(max_paths, MAX_PATHS)
     rel = durable(relationships(edges).select("repo", "src", "dst", "kind", "protocol", "conf_pct"), "routes")
     pairs = pairs.where("start <> goal").distinct()
     goals = pairs.select("repo", F.col("goal").alias("start")).distinct()

@@ -91,7 +91,8 @@ def kind_conflicts(readings: DataFrame) -> DataFrame:
 def edge_evidence(edges: DataFrame) -> DataFrame:
     """The distinct pieces of evidence of every edge, as a fact table. Evidence
     is kept one row each, never nested: an edge may have any amount of it."""
-    return edges.select("repo", _edge_id().alias("edge_id"), *EVIDENCE).distinct()
+    known = edges.withColumn("protocol", F.coalesce("protocol", F.lit("")))
+    return known.select("repo", _edge_id().alias("edge_id"), *EVIDENCE).distinct()
 
 
 def _edge_id() -> Column:
@@ -99,11 +100,17 @@ def _edge_id() -> Column:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge per (src, dst, kind, protocol) with its best confidence and its
-    first piece of evidence in canonical order."""
+    """One edge per (src, dst, kind, protocol) with its best confidence."""
     return edges.groupBy("repo", "src", "dst", "kind", F.coalesce("protocol", F.lit("")).alias("protocol")).agg(
-        F.max("conf_pct").alias("conf_pct"), F.min(F.struct(*EVIDENCE)).alias("top_evidence"),
-    ).withColumn("id", _edge_id())
+        F.max("conf_pct").alias("conf_pct")).withColumn("id", _edge_id())
+
+
+def top_evidence(edges: DataFrame) -> DataFrame:
+    """The first piece of evidence of every edge in canonical order, from the
+    distinct evidence rows; apart from ``merge_edges``, which stays a hash
+    aggregation of numbers."""
+    first = edge_evidence(edges).groupBy("repo", "edge_id").agg(F.min(F.struct(*EVIDENCE)).alias("e"))
+    return first.select("repo", "edge_id", "e.*")
 
 
 def collapse_generic_edges(edges: DataFrame) -> DataFrame:
@@ -158,15 +165,31 @@ def contribute(nodes: DataFrame, merges: DataFrame, fields: dict[str, Column]) -
 
 def follow_merges(merges: DataFrame) -> DataFrame:
     """Merge map with chains followed to their end; each round doubles the
-    length already followed, three rounds reach eight links."""
-    out = merges
-    for _ in range(3):
-        nxt = out.select("repo", F.col("absorbed").alias("survivor"), F.col("survivor").alias("end"))
-        out = out.join(nxt, ["repo", "survivor"], "left").select(
-            "repo", "absorbed", F.coalesce("end", "survivor").alias("survivor"))
-        if is_empty(out.join(merges.select("repo", F.col("absorbed").alias("survivor")), ["repo", "survivor"], "left_semi")):
+    length already followed. Merges that run into a circle have no end and are
+    left out (``merge_circles`` lists them)."""
+    out, open_ = _followed(merges)
+    return out.join(open_.select("repo", "absorbed"), ["repo", "absorbed"], "left_anti")
+
+
+def merge_circles(merges: DataFrame) -> DataFrame:
+    """(repo, absorbed) of merges that never reach a component that stays."""
+    return _followed(merges)[1].select("repo", "absorbed")
+
+
+def _followed(merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merge map after as many doublings as its longest possible chain
+    needs, and those of its rows whose survivor is absorbed itself."""
+    out = durable(merges.select("repo", "absorbed", "survivor"), "merges")
+    absorbed = out.select("repo", F.col("absorbed").alias("survivor")).distinct()
+    open_ = out.join(absorbed, ["repo", "survivor"], "left_semi")
+    for _ in range(out.count().bit_length()):
+        if is_empty(open_):
             break
-    return out
+        nxt = out.select("repo", F.col("absorbed").alias("survivor"), F.col("survivor").alias("end"))
+        out = durable(out.join(nxt, ["repo", "survivor"], "left").select(
+            "repo", "absorbed", F.coalesce("end", "survivor").alias("survivor")), "merges")
+        open_ = out.join(absorbed, ["repo", "survivor"], "left_semi")
+    return out, open_
 
 
 def apply_merges(edges: DataFrame, merges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +27,24 @@ def found_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("repo", "src_name", "dst_name").distinct())
 
 
-def _patterns(src: Column, dst: Column) -> Column:
-    """The four ways an expectation may be written that cover a pair."""
-    return F.array(*[F.struct(a.alias("want_src"), b.alias("want_dst"))
-                     for a in (src, F.lit(ANY)) for b in (dst, F.lit(ANY))])
+def _by_form(wants: DataFrame, src: str, dst: str) -> list[tuple[DataFrame, list[str]]]:
+    """Expectations by the sides they leave open, with the columns each form is
+    matched on. Pairs are never repeated for forms that nobody wrote."""
+    any_src, any_dst = F.col(src) == ANY, F.col(dst) == ANY
+    return [(wants.where(~any_src & ~any_dst), ["repo", src, dst]), (wants.where(any_src & ~any_dst).drop(src), ["repo", dst]),
+            (wants.where(~any_src & any_dst).drop(dst), ["repo", src]), (wants.where(any_src & any_dst).drop(src, dst), ["repo"])]
 
 
 def judge_pairs(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Found pairs with is_expected and is_allowed. Wildcards are equi-joins on
-    the four patterns a pair satisfies."""
-    wants = expected.select("repo", F.col("src_name").alias("want_src"), F.col("dst_name").alias("want_dst"),
-                            (F.col("mode") == "expected").alias("e")).groupBy("repo", "want_src", "want_dst").agg(
-        F.max("e").alias("e"), F.max(~F.col("e")).alias("a"))
-    hits = found.select("*", F.explode(_patterns(F.col("src_name"), F.col("dst_name"))).alias("w")).select(
-        "repo", "src_name", "dst_name", "w.*").join(wants, ["repo", "want_src", "want_dst"]).groupBy(
-        "repo", "src_name", "dst_name").agg(F.max("e").alias("is_expected"), F.max("a").alias("is_allowed"))
-    f = F.lit(False)
-    return found.join(hits, ["repo", "src_name", "dst_name"], "left").withColumns(
-        {"is_expected": F.coalesce("is_expected", f), "is_allowed": F.coalesce("is_allowed", f)})
+    """Found pairs with is_expected and is_allowed; each form of expectation is
+    one equi-join on the sides it names."""
+    wants = expected.select("repo", "src_name", "dst_name", (F.col("mode") == "expected").alias("e")).groupBy(
+        "repo", "src_name", "dst_name").agg(F.max("e").alias("e"), F.max(~F.col("e")).alias("a"))
+    out, forms = found, _by_form(wants, "src_name", "dst_name")
+    for i, (form, on) in enumerate(forms):
+        out = out.join(form.withColumnsRenamed({"e": f"_e{i}", "a": f"_a{i}"}), on, "left")
+    some = lambda c: F.coalesce(F.greatest(*(f"_{c}{i}" for i in range(len(forms)))), F.lit(False))
+    return out.select(*found.columns, some("e").alias("is_expected"), some("a").alias("is_allowed"))
 
 
 def precision_recall(judged: DataFrame, expected: DataFrame) -> DataFrame:
@@ -51,10 +53,10 @@ def precision_recall(judged: DataFrame, expected: DataFrame) -> DataFrame:
     prec = judged.groupBy("repo").agg(
         F.count("*").alias("found"), F.sum((F.col("is_expected") | F.col("is_allowed")).cast("int")).alias("correct"))
     wants = expected.where("mode = 'expected'").select("repo", "src_name", "dst_name").distinct()
-    met = judged.select("repo", F.explode(_patterns(F.col("src_name"), F.col("dst_name"))).alias("w")).select(
-        "repo", F.col("w.want_src").alias("src_name"), F.col("w.want_dst").alias("dst_name")).distinct()
     rec = wants.groupBy("repo").agg(F.count("*").alias("expected"))
-    hit = wants.join(met, ["repo", "src_name", "dst_name"], "left_semi").groupBy("repo").agg(F.count("*").alias("matched"))
+    met = [form.join(judged.select(*on).distinct(), on, "left_semi").select("repo")
+           for form, on in _by_form(wants, "src_name", "dst_name")]
+    hit = reduce(DataFrame.unionByName, met).groupBy("repo").agg(F.count("*").alias("matched"))
     out = prec.join(rec, "repo", "full_outer").join(hit, "repo", "left").na.fill(0)
     return out.withColumns({
         "precision": F.when(F.col("found") > 0, F.col("correct") / F.col("found")).otherwise(1.0),

@@ -33,22 +33,26 @@ def running(df: DataFrame, group: list[str], order: list[Column], cost: Column |
 
 def page(df: DataFrame, group: list[str], order: list[Column], cursor: int, size: int) -> DataFrame:
     """``size`` rows per group from offset ``cursor``; an offset outside the
-    group starts again at 0."""
+    group starts again at 0. Only the rows up to the page's end are ranked."""
     n = df.groupBy(*group).agg(F.count("*").alias("_n"))
     start = F.when((F.lit(cursor) < 0) | (F.lit(cursor) >= F.col("_n")), F.lit(0)).otherwise(cursor)
-    ranked = running(df, group, order).join(n, group)
+    ranked = top_per_group(df, group, order, max(cursor, 0) + size).withColumnRenamed("rank", "position").join(n, group)
+    ranked = ranked.withColumn("position", F.col("position").cast("bigint"))
     return ranked.where((F.col("position") > start) & (F.col("position") <= start + size)).drop("_n")
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int,
                   header_tokens: int = 0) -> DataFrame:
     """Longest prefix of each group whose token cost fits the budget, with how
-    many rows the group has in all. Costs are at least 1, so the running total
-    is strictly increasing and a filter on it is exactly the prefix."""
+    many rows the group has in all. A row costs at least 1, so the prefix has
+    at most ``budget`` rows; only so many are ranked and summed up."""
     from archgraph.functions.text import estimate_tokens
 
     total = df.groupBy(*group).agg(F.count("*").alias("total"))
-    spent = running(df.withColumn("cost", estimate_tokens(F.col(text))), group, order, F.col("cost"), "spent")
+    costs = df.withColumn("cost", F.greatest(F.coalesce(estimate_tokens(F.col(text)), F.lit(1)), F.lit(1)))
+    first = top_per_group(costs, group, order, max(budget - header_tokens, 0))
+    upto = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    spent = first.withColumn("spent", F.sum(F.col("cost").cast("bigint")).over(upto)).drop("rank")
     return spent.where(F.col("spent") + header_tokens <= budget).join(total, group)
 
 

@@ -97,7 +97,8 @@ C["dk_deplib"] = """
     SELECT dependency, tech, kind, edge FROM (SELECT d.dependency, l.*, row_number() OVER (PARTITION BY d.dependency ORDER BY l.dep = d.name DESC, length(l.dep) DESC) AS rn
       FROM {dk_depnames} d JOIN {dk_libraries} l ON l.dep = d.name OR ((contains(l.dep, '/') OR ends_with(l.dep, '-')) AND starts_with(d.name, l.dep))) WHERE rn = 1"""
 C["dk_implied"] = """
-    SELECT f.repo, f.component AS from_node, l.tech, min(f.dependency) AS dependency, min(f.path) AS path, any_value(l.edge) AS edge
+    SELECT f.repo, f.component AS from_node, l.tech, min(f.dependency) AS dependency, arg_min(f.path, (f.dependency, f.path)) AS path,
+           arg_min(l.edge, (f.dependency, f.path)) AS edge
     FROM {fx_deps} f JOIN {dk_deplib} l USING (dependency) GROUP BY f.repo, f.component, l.tech"""
 
 

@@ -69,7 +69,7 @@ def kind_conflicts(t):
 
 @query("merge_edges", "SELECT id, repo, src, dst, kind, protocol, conf_pct FROM {dk_edges}", M)
 def merge_edges(t):
-    return mg.merge_edges(t.fx_edges).drop("top_evidence")
+    return mg.merge_edges(t.fx_edges)
 
 
 @query("dedupe_evidence", f"""
@@ -89,8 +89,7 @@ def dedupe_sources(t):
              row_number() OVER (PARTITION BY repo, src, dst, kind, protocol ORDER BY rule, path, line, detail, extractor) AS rn
       FROM {fx_edges}) WHERE rn = 1""")
 def top_evidence_per_edge(t):
-    return merged(t).select("repo", F.col("id").alias("edge_id"), "top_evidence.rule", "top_evidence.path",
-                            "top_evidence.line", "top_evidence.detail")
+    return mg.top_evidence(t.fx_edges).drop("extractor")
 
 
 M["dk_folds"] = """
@@ -149,14 +148,21 @@ def list_diagnostics(t):
     return dg.list_diagnostics(t.fx_diagnostics, severity="WARN", code="purchase")
 
 
+@query("diagnostic_details", """
+    SELECT DISTINCT repo, code, path, message FROM {fx_diagnostics}
+    WHERE message <> '' AND code IN (""" + ", ".join(f"'{c}'" for c in dg.AGGREGATED) + ")")
+def diagnostic_details(t):
+    return dg.folded_details(t.fx_diagnostics)
+
+
 @query("code_breakdown", """
     WITH c AS (SELECT repo, code, count(*) AS n FROM {fx_diagnostics} GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, code) AS rn, count(*) OVER (PARTITION BY repo) AS k,
                  max(n) OVER (PARTITION BY repo) AS mx FROM c)
-    SELECT repo, CASE WHEN rn <= 3 THEN code ELSE 'other' END AS code, sum(n)::BIGINT AS n, min(rn)::INTEGER AS position
-    FROM r WHERE k >= 2 AND mx > 1 GROUP BY repo, CASE WHEN rn <= 3 THEN code ELSE 'other' END""")
+    SELECT repo, CASE WHEN rn <= 12 THEN code ELSE 'other' END AS code, sum(n)::BIGINT AS n, min(rn)::INTEGER AS position
+    FROM r WHERE k >= 2 AND mx > 1 GROUP BY repo, CASE WHEN rn <= 12 THEN code ELSE 'other' END""")
 def code_breakdown(t):
-    return dg.code_breakdown(t.fx_diagnostics, shown=3)
+    return dg.code_breakdown(t.fx_diagnostics)
 
 
 @query("counts_by_kind", """
@@ -355,7 +361,7 @@ def cohesion(t):
     return g.graph_stats(typed(t), merged(t), labels(t))
 
 
-def _levels(start_sql: str, near: str, far: str, tag: str) -> None:
+def _levels(start_sql: str, near: str, far: str, tag: str, rel: str = "dk_rel") -> None:
     """Unrolled breadth-first search: one piece per depth."""
     M[f"dk_{tag}0"] = start_sql
     for d in range(1, g.MAX_DEPTH + 1):
@@ -364,7 +370,7 @@ def _levels(start_sql: str, near: str, far: str, tag: str) -> None:
             SELECT repo, start, id, {d} AS depth, via, kind, w AS weakest_pct FROM (
               SELECT f.repo, f.start, e.{far} AS id, f.id AS via, e.kind, e.protocol, least(f.weakest_pct, e.conf_pct) AS w,
                      row_number() OVER (PARTITION BY f.repo, f.start, e.{far} ORDER BY least(f.weakest_pct, e.conf_pct) DESC, f.id, e.kind, e.protocol) AS rn
-              FROM {{dk_{tag}{d - 1}}} f JOIN {{dk_rel}} e ON e.repo = f.repo AND e.{near} = f.id
+              FROM {{dk_{tag}{d - 1}}} f JOIN {{{rel}}} e ON e.repo = f.repo AND e.{near} = f.id
               WHERE e.{far} <> f.start {settled}) WHERE rn = 1"""
     M[f"dk_{tag}"] = " UNION ALL ".join(f"SELECT * FROM {{dk_{tag}{d}}}" for d in range(1, g.MAX_DEPTH + 1))
 
@@ -392,11 +398,13 @@ def impact_of_dependencies(t):
 
 @query("impact_summary", """
     WITH c AS (SELECT repo, count(*) AS components FROM {fx_nodes} WHERE kind <> 'boundary' GROUP BY ALL)
-    SELECT r.repo, start, count(*) AS affected, min(weakest_pct) AS weakest_pct, max(depth) AS max_depth, components, round(count(*) / components, 4) AS share, """
-       + ", ".join(f"count(*) FILTER (depth = {d}) AS depth_{d}" for d in range(1, g.MAX_DEPTH + 1))
-       + " FROM {dk_up} r JOIN c ON c.repo = r.repo GROUP BY r.repo, start, components", M)
+    SELECT s.repo, s.start, count(r.id) AS affected, min(r.weakest_pct) AS weakest_pct, max(r.depth) AS max_depth, components,
+           round(count(r.id) / components, 4) AS share, CASE WHEN count(r.id) = 0 THEN 'nothing reached' ELSE '' END AS note, """
+       + ", ".join(f"count(*) FILTER (r.depth = {d}) AS depth_{d}" for d in range(1, g.MAX_DEPTH + 1))
+       + """ FROM {dk_up0} s JOIN c ON c.repo = s.repo LEFT JOIN {dk_up} r ON r.repo = s.repo AND r.start = s.start
+           GROUP BY s.repo, s.start, components""", M)
 def impact_summary(t):
-    return g.impact_summary(g.impact_of(merged(t), queues(t)), typed(t))
+    return g.impact_summary(g.impact_of(merged(t), queues(t)), typed(t), queues(t))
 
 
 M["dk_pairs"] = """
@@ -489,7 +497,12 @@ def shape_report(t):
     return q.shape_report(typed(t), merged(t), t.fx_diagnostics, labels(t))
 
 
-@query("blast_radius", None)
+M["dk_reach_rel"] = """SELECT repo, src, dst, kind, coalesce(protocol, '') AS protocol, max(conf_pct) AS conf_pct
+    FROM {dk_resolved} WHERE kind <> 'contains' GROUP BY ALL"""
+_levels(_START.replace("WHERE kind =", "WHERE kind = 'datastore' OR kind =") + "'queue'", "dst", "src", "blast", "dk_reach_rel")
+
+
+@query("blast_radius", "SELECT * FROM {dk_blast}", M)
 def blast_radius(t):
     """References to edges to dependents: which components lose something if a
     queue fails, from environment rows alone."""

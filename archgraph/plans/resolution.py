@@ -136,17 +136,10 @@ def named_alias_join(t):
 @query("label_selector_match", """
     SELECT a.alias_key, a.repo, count(n.id)::INTEGER AS n_matching
     FROM {fx_aliases} a LEFT JOIN {fx_nodes} n ON n.repo = a.repo AND n.labels IS NOT NULL AND a.selector <> ''
-      AND starts_with(a.selector, 'app=') AND string_split(a.selector, ';')[1] = string_split(n.labels, ';')[1]
       AND list_has_all(string_split(n.labels, ';'), string_split(a.selector, ';')) GROUP BY ALL""")
 def label_selector_match(t):
-    aliases, nodes = al.typed_aliases(t.fx_aliases), typed(t)
-    app = lambda c: F.try_element_at(F.col(c), F.lit("app")).alias("app")
-    left = aliases.select("repo", "alias_key", "selector", app("selector"))
-    right = nodes.select("repo", "id", "labels", app("labels"))
-    pairs = left.join(right, ["repo", "app"]).where(al.selector_matches(F.col("selector"), F.col("labels")))
-    counted = pairs.groupBy("repo", "alias_key").agg(F.count("*").alias("n"))
-    return aliases.select("repo", "alias_key").join(counted, ["repo", "alias_key"], "left").select(
-        "repo", "alias_key", F.coalesce("n", F.lit(0)).cast("int").alias("n_matching"))
+    return al.selector_counts(al.typed_aliases(t.fx_aliases), typed(t)).select(
+        "repo", "alias_key", F.col("n").cast("int").alias("n_matching"))
 
 
 @query("match_ladder", """

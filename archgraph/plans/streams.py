@@ -68,7 +68,7 @@ def refresh_affected(t):
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, repo, count(*) AS changes, count(*) FILTER (deleted) AS deletions FROM {fx_changes} GROUP BY ALL""")
 def drift_stream(t):
     where = _place(t, "drift")
-    _finish(fd.start_drift_stream(_feed(t), where, _place(t, "ckpt"), lateness="60 days"))
+    _finish(fd.start_drift_stream(_feed(t), where, _place(t, "ckpt")))
     return fd.drift(t.spark, where).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "repo", "changes", "deletions")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,15 @@ def build_session(name: str = "archgraph", master: str | None = None, **extra: s
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach. The cluster names it in
-    ``spark.checkpoint.dir``; only where nothing is set (tests on one machine)
-    a temporary folder is chosen."""
+    ``spark.checkpoint.dir``; only on one machine may it be left unset, and a
+    temporary folder is chosen."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -54,10 +57,11 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on few large splits as many tasks as there are
-    slots. A table of many files is left alone."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """Deal the rows of a table to ``archgraph.input.partitions`` tasks, where
+    that is set: for single files whose rows take long to work on. Unset, the
+    splits of the input stand."""
+    wanted = df.sparkSession.conf.get("archgraph.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def is_empty(df: DataFrame) -> bool:

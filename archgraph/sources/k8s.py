@@ -69,6 +69,14 @@ def _with_pod(objs: DataFrame) -> DataFrame:
     return w.withColumn("best", best)
 
 
+def selector_labels(selector: Column) -> Column:
+    """What a selector asks for: its ``matchLabels`` where it has some, else its
+    plain entries; nested values read as JSON text and are no labels."""
+    nested = F.from_json(F.try_element_at(selector, F.lit("matchLabels")), "map<string,string>")
+    plain = F.map_filter(selector, lambda k, v: ~k.isin("matchLabels", "matchExpressions") & (v != ""))
+    return F.when(F.size(F.coalesce(nested, F.create_map().cast("map<string,string>"))) > 0, nested).otherwise(plain)
+
+
 def workloads(objs: DataFrame) -> DataFrame:
     """Running components. A controller without a pod template is a patch and
     gives none."""
@@ -80,7 +88,7 @@ def workloads(objs: DataFrame) -> DataFrame:
         lambda p: p > 0)))
     some = lambda m: F.when(F.size(m) > 0, m)
     labels = F.coalesce(some(F.col("spec.template.metadata.labels")), some(F.col("spec.jobTemplate.spec.template.metadata.labels")),
-                        some(F.col("spec.selector")), F.col("metadata.labels"))
+                        some(selector_labels(F.col("spec.selector"))), F.col("metadata.labels"))
     return w.select(
         "repo", "path", ids.node_id(kind, scope_of(F.col("namespace")), F.col("name")).alias("id"), kind.alias("kind"), "name", "namespace",
         F.col("kind").alias("workload"), F.coalesce("best.tech", F.lit("")).alias("framework"), pics.alias("images"), ports.alias("ports"),
@@ -109,7 +117,7 @@ def service_aliases(objs: DataFrame) -> DataFrame:
     name."""
     s = objs.where("kind = 'Service'")
     external = F.when((F.col("spec.type") == "ExternalName") & (F.col("spec.externalName") != ""), F.col("spec.externalName"))
-    selector = F.map_filter("spec.selector", lambda k, v: (k != "matchExpressions") & (v != ""))
+    selector = selector_labels(F.col("spec.selector"))
     ports = F.array_sort(F.array_distinct(F.filter(F.transform("spec.ports", lambda p: p["port"]), lambda p: p > 0)))
     services = s.select(
         "repo", "path", "name", "namespace", net.dns_names(F.col("name"), F.col("namespace")).alias("dns"),

@@ -86,8 +86,8 @@ def implied_infrastructure(dependencies: DataFrame) -> DataFrame:
     dependency, path."""
     lib = dependencies.withColumn("lib", deps.library_of(F.col("dependency"))).where("lib IS NOT NULL")
     return lib.groupBy("repo", F.col("component").alias("from_node"), F.col("lib.tech").alias("tech")).agg(
-        F.min("dependency").alias("dependency"), F.min("path").alias("path"), F.min("lib.edge").alias("suggested_edge"),
-    ).withColumn("vendor", deps.is_vendor(F.col("tech")))
+        F.min(F.struct("dependency", "path", F.col("lib.edge").alias("suggested_edge"))).alias("first"),
+    ).select("repo", "from_node", "tech", "first.*").withColumn("vendor", deps.is_vendor(F.col("tech")))
 
 
 def unreadable(docs: DataFrame, code_of: dict[str, str]) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from archgraph.session import durable
+
 FEED = T.StructType([
     T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()), T.StructField("ts", T.TimestampType()),
     T.StructField("event_id", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("content", T.StringType())])
@@ -67,35 +69,42 @@ def compact(spark: SparkSession, location: str, target: str, below: int) -> None
 def refresh_affected(changed: DataFrame, state: DataFrame, resolve: Callable[[DataFrame], DataFrame], target: str) -> None:
     """Recompute the repositories a batch touched, all others stay as they are.
     ``resolve`` turns the touched repositories' files into a table with
-    ``repo``, which replaces just those partitions."""
+    ``repo``, which replaces just those partitions; a repository that has
+    nothing left loses its partition."""
     repos = changed.select("repo").distinct()
-    fresh = resolve(state.join(repos, "repo", "left_semi"))
+    fresh = durable(resolve(state.join(repos, "repo", "left_semi")), "refreshed")
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(target)
-
-
-def drift_counts(feed: DataFrame, width: str = "1 day", lateness: str = "7 days") -> DataFrame:
-    """Changes per repo and tumbling window. The watermark bounds the state."""
-    return (feed.withWatermark("ts", lateness)
-            .groupBy(F.window("ts", width), "repo")
+    spark = changed.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    # one name at a time: a batch may empty any number of repositories
+    for row in repos.join(fresh.select("repo").distinct(), "repo", "left_anti").toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(f"{target}/repo={escape(row.repo)}")
+        place.getFileSystem(conf).delete(place, True)
+
+
+def drift_counts(changes: DataFrame, width: str = "1 day") -> DataFrame:
+    """Changes per repo and tumbling window."""
+    return (changes.groupBy(F.window("ts", width), "repo")
             .agg(F.count("*").alias("changes"), F.sum(F.col("deleted").cast("int")).alias("deletions"))
             .select(F.col("window.start").alias("window_start"), "repo", "changes", "deletions"))
 
 
-def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, lateness: str = "7 days") -> StreamingQuery:
-    """Write the updated counts of each batch; ``drift`` reads the newest. A
-    change later than ``lateness`` is not counted any more: choose it to cover
-    how far apart the feed's files may lie."""
+def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
+    """Log each batch's counts under the batch's number. Counts add up, so no
+    state is kept between batches, a change counts however late it comes, and a
+    batch that is retried replaces its own counts."""
 
     def log(batch: DataFrame, number: int) -> None:
-        _log(batch, location, number)
+        _log(drift_counts(batch, width), location, number)
 
-    return (drift_counts(feed, lateness=lateness).writeStream.outputMode("update").foreachBatch(log)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (feed.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def drift(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location).groupBy("window_start", "repo").agg(
-        F.max_by("changes", "batch").alias("changes"), F.max_by("deletions", "batch").alias("deletions"))
+        F.sum("changes").alias("changes"), F.sum("deletions").alias("deletions"))
 
 
 def unique_deliveries(feed: DataFrame, lateness: str = "7 days") -> DataFrame:

@@ -31,7 +31,7 @@ def main() -> None:
     from archgraph.session import build_session
 
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "archgraph.input.partitions": cpus, "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     # the derived input tables stand for data at rest; writing them is reported
     # on its own and not charged to the first query that reads them

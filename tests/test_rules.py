@@ -258,3 +258,89 @@ def test_the_ladder_can_be_extended(spark):
     rules = match.match_rules([("nickname", 30, "nick")])
     got = match.match_ladder(match.hints_from_values(values), n, forms, rules).first()
     assert (got["node_id"], got["rule"], got["match_pct"]) == ("container:orders", "nickname", 50)
+
+
+def test_depth_is_the_callers_choice(spark):
+    chain = spark.createDataFrame([("r", f"n{i:02}", f"n{i + 1:02}", "calls", "", 90) for i in range(12)], EDGE)
+    starts = spark.createDataFrame([("r", "n12")], "repo string, start string")
+    reach = graph.impact_of(chain, starts, max_depth=20)
+    assert reach.agg(F.max("depth")).first()[0] == 12
+    assert not graph.unfinished(chain, reach, max_depth=20).count()
+    short = graph.impact_of(chain, starts, max_depth=5)
+    assert graph.unfinished(chain, short, max_depth=5).count() == 1
+    pairs = spark.createDataFrame([("r", "n00", "n10")], "repo string, start string, goal string")
+    assert [r["hops"] for r in graph.trace_paths(chain, pairs, max_depth=12).collect()] == [10]
+    nodes = spark.createDataFrame([("r", f"n{i:02}", "service") for i in range(13)], "repo string, id string, kind string")
+    both = spark.createDataFrame([("r", "n12"), ("r", "n00")], "repo string, start string")
+    rows = {r["start"]: r for r in graph.impact_summary(graph.impact_of(chain, both, max_depth=12), nodes, both, 12).collect()}
+    assert (rows["n12"]["affected"], rows["n12"]["depth_12"]) == (12, 1)
+    assert (rows["n00"]["affected"], rows["n00"]["note"]) == (0, "nothing reached")
+
+
+def test_merge_chains_end_and_circles_are_reported(spark):
+    links = [("r", f"m{i:02}", f"m{i + 1:02}") for i in range(20)] + [("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "x", "a")]
+    merges = spark.createDataFrame(links, "repo string, absorbed string, survivor string")
+    assert {r["survivor"] for r in merge.follow_merges(merges).collect()} == {"m20"}
+    assert {r["absorbed"] for r in merge.merge_circles(merges).collect()} == {"a", "b", "c", "x"}
+
+
+def test_match_labels_are_the_selector(spark):
+    from archgraph.sources import k8s
+
+    docs = spark.createDataFrame([
+        ("r", "a.yaml", '{"apiVersion":"apps/v1","kind":"Deployment","metadata":{"name":"web"},"spec":{"selector":{"matchLabels":'
+                        '{"app":"web"}},"template":{"spec":{"containers":[{"name":"c","image":"x/web:1"}]}}}}'),
+        ("r", "b.yaml", '{"apiVersion":"v1","kind":"Service","metadata":{"name":"web"},"spec":{"selector":{"tier":"front"}}}')],
+        "repo string, path string, doc string")
+    objs = k8s.objects(docs)
+    assert k8s.workloads(objs).first()["labels"] == {"app": "web"}
+    assert k8s.service_aliases(objs).first()["selector"] == {"tier": "front"}
+
+
+def test_deep_leaves_are_found(spark):
+    from archgraph.sources.charts import walk_values
+
+    doc = "x"
+    text = '"leaf"'
+    for _ in range(14):
+        text = f'{{"{doc}":{text}}}'
+    docs = spark.createDataFrame([("r", "values.yaml", text)], "repo string, path string, doc string")
+    assert [r["trail"] for r in walk_values(docs).collect()] == [".".join("x" * 14)]
+    assert walk_values(docs, max_depth=5).count() == 0
+
+
+def test_selectors_of_any_label_are_counted(spark):
+    from archgraph.operators import aliases
+
+    nodes = spark.createDataFrame([("r", "a", {"tier": "web", "app": "a"}), ("r", "b", {"tier": "web"})],
+                                  "repo string, id string, labels map<string,string>")
+    asked = spark.createDataFrame([("r", "1", {"tier": "web"}), ("r", "2", {"tier": "web", "app": "a"}), ("r", "3", {"x": "y"}), ("r", "4", {})],
+                                  "repo string, alias_key string, selector map<string,string>")
+    got = {r["alias_key"]: r["n"] for r in aliases.selector_counts(asked, nodes).collect()}
+    assert got == {"1": 2, "2": 1, "3": 0, "4": 0}
+
+
+def test_an_emptied_repository_loses_its_rows(spark, tmp_path):
+    from archgraph.streaming.feed import refresh_affected
+
+    target, where = str(tmp_path / "t"), "repo string, path string"
+    count = lambda files: files.groupBy("repo").agg(F.count("*").alias("n"))
+    both = spark.createDataFrame([("a b", "x"), ("c", "y")], where)
+    refresh_affected(both, both, count, target)
+    refresh_affected(both, both.where("repo = 'c'"), count, target)
+    assert [r["repo"] for r in spark.read.parquet(target).collect()] == ["c"]
+
+
+def test_oversize_files_are_reported_by_the_jobs(spark):
+    from archgraph.sources.jobs import Jobs
+
+    files = spark.createDataFrame([("r", "a/go.mod", 9, 1, "big")], "repo string, path string, size bigint, mtime bigint, content string")
+    out = Jobs(limit=5).run(files)
+    assert [r["code"] for r in out["diagnostics"].collect()] == ["file_too_large"]
+
+
+def test_every_masking_pattern_has_its_start():
+    from archgraph import vocab
+
+    for name in ("TOKEN_STARTS", "AWS_KEY_STARTS"):
+        assert getattr(vocab, name)
