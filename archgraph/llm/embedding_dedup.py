@@ -12,7 +12,8 @@ forest.
 
 Vectors that are null, zero, hold null or non-finite components, or have a null
 label or id, link with nothing (n_links 0, component_id their own id). Vectors
-of different dimensions never link. Repeated rows link with each other. Extra
+of different dimensions never link. Repeated rows link with each other; of different
+vectors under one id the links add up. Extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -175,13 +176,12 @@ def link_sums(signed: DataFrame, scratch: Scratch, tables: int, probes: int, cos
             for i in np.flatnonzero(total).tolist():
                 out[0].append(int(cid[i])), out[1].append(None), out[2].append(int(total[i]))
             if near.any():
-                if same:
-                    forest = [(one[a], one[b]) for a, b in spanning(len(one), lambda i, rest: near[i, rest])]
-                else:
-                    n = len(one)
-                    both = np.concatenate([one, two])
-                    side = lambda i, rest: np.where(rest >= n, near[i, rest - n], False) if i < n else np.where(rest < n, near[np.minimum(rest, n - 1), i - n], False)
-                    forest = [(both[a], both[b]) for a, b in spanning(len(both), side)]
+                rows_, linked = one, near
+                if not same:
+                    n, rows_ = len(one), np.concatenate([one, two])
+                    linked = np.zeros((len(rows_), len(rows_)), bool)
+                    linked[:n, n:], linked[n:, :n] = near, near.T
+                forest = [(rows_[a], rows_[b]) for a, b in spanning(len(rows_), lambda i, rest: linked[i, rest])]
                 for a, b in forest:
                     out[0].append(int(cid[a])), out[1].append(int(cid[b])), out[2].append(0)
             if len(out[0]) > 20_000:
