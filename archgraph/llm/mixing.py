@@ -70,7 +70,7 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | Non
             wanted = F.col(f"t_{c}") * F.col("total") / sums
             after = after.withColumn("step", F.when(sums > 0, wanted)).withColumn(
                 "factor", F.col("factor") * F.coalesce("step", F.lit(1.0))).withColumn(f"off_{c}", F.abs(F.coalesce("step", F.lit(1.0)) - 1))
-        after = after.withColumn("off", F.greatest(*(f"off_{c}" for c in MARGINALS))).select(*now.columns[:len(now.columns)], "off")
+        after = after.withColumn("off", F.greatest(*(f"off_{c}" for c in MARGINALS))).select(*now.columns, "off")
         after = scratch.save(after, "cells")
         off = after.agg(F.max("off")).first()[0]
         scratch.drop(now)
@@ -97,7 +97,7 @@ def rate(cells: DataFrame, share: float) -> float:
 
 
 def calibrate(rows: DataFrame, scratch: Scratch, share: float = 0.8, alpha: float = 0.7,
-              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-10, max_rounds: int = 60) -> DataFrame:
+              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-12, max_rounds: int = 60) -> DataFrame:
     """(cell, n, factor, chance) from the rows of ``measured``."""
     cells = scratch.save(rows.groupBy(*MARGINALS, "cell").agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sums")
