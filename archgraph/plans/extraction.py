@@ -103,19 +103,47 @@ def union_contributions(t):
     return fl.union_contributions([("reader", a), ("nodes", b)]).drop("order_key")
 
 
-@query("write_snapshot", "SELECT repo, id, src, dst, kind, protocol, conf_pct FROM {dk_edges}", X)
-def write_snapshot(t):
+def _saved(t):
+    """Where the snapshot of the graph lies, saved, loaded and saved again."""
     import uuid
 
+    from archgraph.operators import merge as mg
     from archgraph.session import shared_dir
 
-    where = f"{shared_dir(t.spark)}/archgraph/snapshot-{uuid.uuid4().hex}"
-    sn.write_snapshot(typed(t), merged(t), where)
-    return sn.read_snapshot(t.spark, where)[1]
+    root = f"{shared_dir(t.spark)}/archgraph/snapshot-{uuid.uuid4().hex}"
+    sources = t.fx_readings.select("repo", "id", "path", "line", F.lit("reader").alias("extractor"))
+    sn.write_snapshot({"nodes": typed(t), "edges": merged(t), "evidence": mg.edge_evidence(t.fx_edges), "sources": sources,
+                       "diagnostics": t.fx_diagnostics, "stats": scan_stats(t)}, f"{root}/first")
+    sn.write_snapshot({name: sn.read_snapshot(t.spark, f"{root}/first", name) for name in sn.TABLES}, f"{root}/second")
+    return f"{root}/second"
+
+
+@query("write_snapshot", "SELECT repo, id, src, dst, kind, protocol, conf_pct FROM {dk_edges}", X)
+def write_snapshot(t):
+    return sn.read_snapshot(t.spark, _saved(t), "edges")
 
 
-@query("read_snapshot", "SELECT repo, id, src, dst, kind, protocol, conf_pct FROM {dk_edges}", X)
+@query("read_snapshot", f"""
+    SELECT 'node' AS what, repo, id, coalesce(namespace, '') || '|' || coalesce(image, '') || '|' || coalesce(port::VARCHAR, '') || '|' || coalesce(framework, '')
+           || '|' || array_to_string(list_sort(string_split(coalesce(labels, ''), ';')), ',') AS body, path, line FROM {{fx_nodes}}
+    UNION ALL SELECT DISTINCT 'evidence', repo, {D.edge_id('src', 'dst', 'kind', 'protocol')}, rule || '|' || detail || '|' || extractor, path, line FROM {{fx_edges}}
+    UNION ALL SELECT DISTINCT 'source', repo, id, 'reader', path, line FROM {{fx_readings}}
+    UNION ALL SELECT DISTINCT 'diagnostic', repo, code, severity || '|' || message, path, line FROM {{fx_diagnostics}}""", X)
 def read_snapshot(t):
+    where = _saved(t)
+    table = lambda name: sn.read_snapshot(t.spark, where, name)
+    labels = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)).cast("string"), F.lit(""))
+    body = F.concat_ws("|", "namespace", first("images"), first("ports"), "tech.framework", F.array_join(F.array_sort(labels), ","))
+    rows = lambda df, what, key, text: df.select(F.lit(what).alias("what"), "repo", F.col(key).alias("id"), text.alias("body"), "path", "line")
+    return (rows(table("nodes"), "node", "id", body)
+            .unionByName(rows(table("evidence"), "evidence", "edge_id", F.concat_ws("|", "rule", "detail", "extractor")))
+            .unionByName(rows(table("sources"), "source", "id", F.col("extractor")))
+            .unionByName(rows(table("diagnostics"), "diagnostic", "code", F.concat_ws("|", "severity", "message"))))
+
+
+@query("edges_as_json", "SELECT repo, id, src, dst, kind, protocol, conf_pct FROM {dk_edges}", X)
+def edges_as_json(t):
     return sn.parse_graph_json(sn.graph_json(merged(t)))
 
 

@@ -132,7 +132,7 @@ def dns_names(t):
     return s.select("s_suppkey", F.array_join(net.dns_names(F.col("n"), F.col("ns")), " ").alias("names"))
 
 
-_DOC_NAME = "regexp_extract(text, '^([^.]*)', 1)"
+_DOC_NAME = "text"
 _KINDS = "CASE p_partkey % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'service' ELSE 'queue' END"
 _PNAME = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'acme//' || p_name || '/v2/' WHEN 2 THEN ' -' || p_brand || '!!x. ' ELSE '..' END"
 _SCOPE = "CASE WHEN p_partkey % 3 = 1 THEN p_mfgr ELSE '' END".replace("p_mfgr", "p_brand || ' / ' || p_size")

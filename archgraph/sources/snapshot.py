@@ -8,36 +8,50 @@ from pyspark.sql import types as T
 
 from archgraph import vocab
 
-NODE = T.StructType([
-    T.StructField("repo", T.StringType()), T.StructField("id", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("layer", T.StringType()), T.StructField("name", T.StringType()), T.StructField("namespace", T.StringType()),
-    T.StructField("project", T.StringType()), T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType()),
-    T.StructField("conf_pct", T.IntegerType())])
-EDGE = T.StructType([
-    T.StructField("repo", T.StringType()), T.StructField("id", T.StringType()), T.StructField("src", T.StringType()),
-    T.StructField("dst", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("protocol", T.StringType()),
-    T.StructField("conf_pct", T.IntegerType())])
-
-
-def write_snapshot(nodes: DataFrame, edges: DataFrame, location: str, fmt: str = "parquet") -> None:
+#: The tables of a graph with their layouts and row orders. Labels are kept as sorted entries, so that rows compare.
+TABLES = {
+    "nodes": ("repo string, id string, kind string, layer string, name string, namespace string, project string, "
+              "tech struct<language:string,framework:string,runtime:string>, images array<string>, ports array<int>, "
+              "labels array<struct<key:string,value:string>>, directory string, build_context string, name_from string, "
+              "path string, line int, conf_pct int", ["id"]),
+    "edges": ("repo string, id string, src string, dst string, kind string, protocol string, conf_pct int",
+              ["src", "dst", "kind", "protocol", "id"]),
+    "evidence": ("repo string, edge_id string, rule string, path string, line int, detail string, extractor string",
+                 ["edge_id", "rule", "path", "line", "detail", "extractor"]),
+    "sources": ("repo string, id string, path string, line int, extractor string", ["id", "path", "line", "extractor"]),
+    "diagnostics": ("repo string, severity string, code string, path string, line int, message string",
+                    ["path", "line", "code", "message"]),
+    "stats": ("repo string, files_scanned bigint, files_parsed bigint", ["files_scanned"]),
+}
+EDGE = TABLES["edges"][0]
+
+
+def layout_of(name: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[name][0])
+
+
+def write_snapshot(tables: dict[str, DataFrame], location: str, fmt: str = "parquet") -> None:
     """Canonical tables: distinct rows, partitioned by repo, range-sorted so
     that equal graphs give equal files and ids prune."""
-    for name, df, order in (("nodes", nodes, ["id"]), ("edges", edges, ["src", "dst", "kind", "protocol", "id"])):
-        fields = [f.name for f in (NODE if name == "nodes" else EDGE).fields]
-        (df.select(*fields).distinct().repartitionByRange("repo", *order).sortWithinPartitions("repo", *order)
+    for name, df in tables.items():
+        layout, order = layout_of(name), TABLES[name][1]
+        if name == "nodes":
+            df = df.withColumn("labels", F.array_sort(F.map_entries("labels")))
+        (df.select(*[F.col(f.name).cast(f.dataType) for f in layout.fields]).distinct()
+         .repartitionByRange("repo", *order).sortWithinPartitions("repo", *order)
          .write.mode("overwrite").partitionBy("repo").format(fmt).save(f"{location}/{name}"))
 
 
-def read_snapshot(spark: SparkSession, location: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with the declared layout, never an inferred one."""
-    read = lambda name, schema: spark.read.schema(schema).format(fmt).load(f"{location}/{name}").select(
-        *[f.name for f in schema.fields]).distinct()
-    return read("nodes", NODE), read("edges", EDGE)
+def read_snapshot(spark: SparkSession, location: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """One table with its declared layout, never an inferred one."""
+    layout = layout_of(name)
+    df = spark.read.schema(layout).format(fmt).load(f"{location}/{name}").select(*[f.name for f in layout.fields])
+    return df.withColumn("labels", F.map_from_entries("labels")) if name == "nodes" else df
 
 
 def graph_json(edges: DataFrame) -> DataFrame:
     """One JSON document per edge, fields in layout order."""
-    return edges.select("repo", F.to_json(F.struct(*[f.name for f in EDGE.fields])).alias("doc"))
+    return edges.select("repo", F.to_json(F.struct(*[f.name for f in layout_of("edges").fields])).alias("doc"))
 
 
 def parse_graph_json(docs: DataFrame) -> DataFrame:
