@@ -131,6 +131,13 @@ def collapsed(edges: DataFrame) -> DataFrame:
         "best", "conf_pct")
 
 
+def collapsed_evidence(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """Evidence under the edges that are left: what spoke for a folded edge
+    speaks for the one it was folded into."""
+    moved = collapse_generic_edges(edges).select("repo", F.col("id").alias("edge_id"), "target_id")
+    return evidence.join(moved, ["repo", "edge_id"]).select("repo", F.col("target_id").alias("edge_id"), *EVIDENCE).distinct()
+
+
 # --------------------------------------------------------------------- merges
 def fold_directory_duplicates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merge map, refused directories) for codebases that share a directory.

@@ -132,6 +132,15 @@ def collapse_generic_edges(t):
     return mg.collapsed(merged(t)).select("repo", "id", "src", "dst", "kind", "conf_pct", "n_folded")
 
 
+@query("collapsed_evidence", f"""
+    WITH s AS (SELECT repo, src, dst, arg_max(id, (kind, protocol, id)) AS sid FROM {{dk_edges}} WHERE kind NOT IN ('depends_on', 'contains') GROUP BY ALL),
+    m AS (SELECT e.repo, e.id, CASE WHEN kind = 'depends_on' THEN coalesce(sid, id) ELSE id END AS target FROM {{dk_edges}} e LEFT JOIN s USING (repo, src, dst)),
+    v AS (SELECT *, {D.edge_id('src', 'dst', 'kind', 'protocol')} AS edge_id FROM {{fx_edges}})
+    SELECT DISTINCT v.repo, m.target AS edge_id, v.rule, v.path, v.line, v.detail, v.extractor FROM v JOIN m ON m.repo = v.repo AND m.id = v.edge_id""", M)
+def collapsed_evidence(t):
+    return mg.collapsed_evidence(mg.edge_evidence(t.fx_edges), merged(t))
+
+
 @query("aggregate_diagnostics", """
     WITH a AS (SELECT repo, code, path, min(severity) AS severity, count(*) AS n, list_sort(list_distinct(list(message))) AS ds FROM {fx_diagnostics}
                WHERE code IN (""" + ", ".join(f"'{c}'" for c in dg.AGGREGATED) + """) GROUP BY ALL)
@@ -431,11 +440,19 @@ def trace_path(t):
 
 
 @query("weakest_link", """
-    SELECT repo, src, least(100, min(conf_pct))::INTEGER AS weakest_pct FROM {dk_rel} GROUP BY ALL""", M)
+    SELECT repo, start, goal, array_to_string(nodes, ' > ') AS nodes, array_to_string(legs, ' > ') AS legs, w AS weakest_pct
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo, start, goal ORDER BY len(legs), w DESC, array_to_string(nodes, chr(0)), array_to_string(legs, chr(0))) AS rn
+          FROM {dk_paths} WHERE cur = goal) WHERE rn <= 10""", M)
 def weakest_link(t):
-    # a route per source: its edges in confidence order, weakest first
-    legs = g.relationships(merged(t)).groupBy("repo", "src").agg(F.min("conf_pct").alias("lo"), F.max("conf_pct").alias("hi"))
-    return legs.select("repo", "src", g.weakest_link(F.array("lo", "hi")).alias("weakest_pct"))
+    # the routes found, by the confidences of their steps in the edge table
+    route = ["repo", "start", "goal", "nodes", "legs"]
+    routes = trace_path(t).select(*route)
+    n, leg = F.split("nodes", " > "), F.split("legs", " > ")
+    steps = routes.withColumns({"n": n, "leg": leg}).select(*route, F.posexplode("leg").alias("i", "step"), "n")
+    steps = steps.select(*route, F.get("n", "i").alias("src"), F.get("n", F.col("i") + 1).alias("dst"), "step")
+    pct = g.relationships(merged(t)).select("repo", "src", "dst", F.concat_ws(":", "kind", F.coalesce("protocol", F.lit(""))).alias("step"), "conf_pct")
+    met = steps.join(pct, ["repo", "src", "dst", "step"]).groupBy(*route).agg(F.collect_list("conf_pct").alias("pcts"))
+    return met.select(*route, g.weakest_link(F.col("pcts")).alias("weakest_pct"))
 
 
 @query("describe_node", """
