@@ -7,10 +7,13 @@ Exact: every pair of documents whose sets reach the similarity is linked.
    hash. Any fixed order keeps results exact; this one keeps common shingles
    out of prefixes.
 2. Documents with equal sets are one class. Sets that reach the similarity share
-   a shingle within a prefix of each, so classes meet by prefix shingle. Large
-   meetings are split into blocks. Rows there hold a 512-bit parity of the set,
-   whose differing bits bound the overlap from above; what survives is reduced
-   to a spanning forest per meeting, never to pairs.
+   a shingle within a prefix of each, so classes meet by prefix shingle. Rows are
+   first dealt by ranges of (shingle, size), where only those stay that stand
+   beside a row of the same shingle and a size that the similarity allows; then
+   large meetings are split into blocks. Rows there hold a parity of the set, a few
+   bits per allowed difference, whose differing bits bound the overlap from
+   above; what survives is reduced to a spanning forest per meeting, never to
+   pairs.
 3. Each connected group of candidates gets its sets once, in blocks of bounded
    size. A block pair's sets are stored in a trie (commonest first, shared
    beginnings once); every set walks down it level by level with running
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import (Scratch, components, fixed, join_hot, lists, mix, row_groups, shingles, sorted_groups,
+from archgraph.llm.common import (Scratch, components, join_hot, lists, mix, row_groups, shingles, sorted_groups,
                                   spanning, text_bytes, words)
 
 #: Classes of a block where classes meet by shingle, and shingles of a block of sets.
@@ -92,8 +95,7 @@ def signatures(docs: DataFrame, ranks: np.ndarray, k: int, part: int, of: int) -
                 prefixes.append(s[order[:n - -(-part * n // of) + 1]].view(np.int64))
                 with np.errstate(over="ignore"):
                     digests.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()]).tobytes())
-                bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
-                parities.append(np.packbits(bits.astype(bool)).tobytes())
+                parities.append(parity(s, part, of))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())],
@@ -103,6 +105,55 @@ def signatures(docs: DataFrame, ranks: np.ndarray, k: int, part: int, of: int) -
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def parity(s: np.ndarray, part: int, of: int) -> bytes:
+    """Whether each of 2**m classes of hashes holds an odd number of the set: enough that unlike sets differ in more
+    bits than sets at the similarity have different members."""
+    differ = 2 * len(s) * (of - part) / (of + part)
+    bits = 1 << max(9, int(np.ceil(np.log2(max(2.7 * differ, 1)))))
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _folded(rows: np.ndarray, words_: int) -> np.ndarray:
+    """Parities of fewer classes from those of more."""
+    while rows.shape[1] > words_:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+class Parities:
+    """The rows of a meeting, compared by parity: which of them may link."""
+
+    def __init__(self, sizes: np.ndarray, parities: np.ndarray, part: int, of: int):
+        self.sizes, self.part, self.of = sizes, part, of
+        self.words = np.array([len(p) for p in parities])
+        self.place = np.empty(len(parities), np.int64)  # within the rows of equal width
+        self.tables: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            here = np.flatnonzero(self.words == w)
+            self.place[here] = np.arange(len(here))
+            self.tables[w] = np.stack(parities[here])
+        self.narrow: dict[tuple[int, int], np.ndarray] = {}
+
+    def may_link(self, i: int, rest: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rest), bool)
+        size, mine = self.sizes[rest], int(self.sizes[i])
+        near = np.flatnonzero((self.of * np.minimum(size, mine) >= self.part * np.maximum(size, mine)))
+        own = int(self.words[i])
+        for w in np.unique(self.words[rest[near]]).tolist():
+            at = near[self.words[rest[near]] == w]
+            to = min(own, w)
+            if (w, to) not in self.narrow:
+                self.narrow[w, to] = _folded(self.tables[w], to)
+            probe = _folded(self.tables[own][self.place[i]][None], to)
+            differ = np.bitwise_count(self.narrow[w, to][self.place[rest[at]]] ^ probe).sum(1, dtype=np.int64)
+            both = mine + size[at]
+            most = np.minimum((both - differ) // 2, np.minimum(mine, size[at]))
+            out[at] = self.of * most >= self.part * (both - most)
+        return out
+
+
 def _in_blocks(rows: DataFrame, key: str, blocks, *keep: str) -> DataFrame:
     """Rows of a group in ``blocks`` parts, once per pair of parts that theirs belongs to."""
     block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
@@ -113,7 +164,33 @@ def _in_blocks(rows: DataFrame, key: str, blocks, *keep: str) -> DataFrame:
 
 def candidates(classes: DataFrame, scratch: Scratch, part: int, of: int) -> DataFrame:
     """Edges (a, b) that connect all classes of one meeting whose parities allow the similarity."""
-    each = classes.select("cid", F.explode("prefix").alias("shingle"))
+    def accompanied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a neighbour that they may link to; sizes ascend, so the nearest size is beside a row. The first
+        and last row of a range stay: their neighbours may be in another range."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(i)) for i in range(3)]
+            now = [np.concatenate([h, c]) for h, c in zip(held, now)] if held is not None else now
+            shingle, size, cid = now
+            beside = (shingle[1:] == shingle[:-1]) & (of * size[:-1] >= part * size[1:])
+            keep = np.zeros(len(shingle), bool)
+            keep[1:] |= beside
+            keep[:-1] |= beside
+            # Of the two rows carried over the first is settled, the second is not yet; one alone is the range's first.
+            lo = 1 if held is not None and len(held[0]) > 1 else 0
+            keep[0] |= lo == 0
+            out = keep[lo:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[lo:-1][out]), pa.array(cid[lo:-1][out])], ["shingle", "cid"])
+            held = [c[-2:] for c in now]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][-1:]), pa.array(held[2][-1:])], ["shingle", "cid"])
+
+    order = ["shingle", "n_shingles", "cid"]
+    each = classes.select(F.explode("prefix").alias("shingle"), "n_shingles", "cid")
+    each = each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(accompanied, "shingle long, cid long")
+    each = scratch.save(each, "accompanied")
     counts = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingles")
     met = join_hot(each, counts, "shingle", counts)
     met = met.join(classes.select("cid", "n_shingles", "parity"), "cid")
@@ -121,16 +198,9 @@ def candidates(classes: DataFrame, scratch: Scratch, part: int, of: int) -> Data
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], []]
-        for g in sorted_groups(batches, ["shingle", "left", "right"], {"parity": lambda c: fixed(c, "<u8")}):
-            cid, size, parity = g["cid"], g["n_shingles"], g["parity"]
-
-            def may_link(i: int, rest: np.ndarray) -> np.ndarray:
-                both = size[i] + size[rest]
-                most = (both - np.bitwise_count(parity[i] ^ parity[rest]).sum(1, dtype=np.int64)) // 2
-                most = np.minimum(most, np.minimum(size[i], size[rest]))
-                return of * most >= part * (both - most)
-
-            for a, b in spanning(len(cid), may_link):
+        for g in sorted_groups(batches, ["shingle", "left", "right"], {"parity": _words}):
+            cid = g["cid"]
+            for a, b in spanning(len(cid), Parities(g["n_shingles"], g["parity"], part, of).may_link):
                 out[0].append(int(cid[a])), out[1].append(int(cid[b]))
             if len(out[0]) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
@@ -142,6 +212,13 @@ def candidates(classes: DataFrame, scratch: Scratch, part: int, of: int) -> Data
     return scratch.save(edges.distinct(), "candidates")
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    for i in range(len(column)):
+        out[i] = np.frombuffer(column[i].as_buffer(), np.uint64)
+    return out
+
+
 class Trie:
     """Sets as ascending number sequences, shared beginnings stored once, nodes level by level."""
 
@@ -300,6 +377,7 @@ def cluster(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100) -> DataF
     weights = scratch.save(weights.select("component", "n", F.ceil(F.col("weight") / WEIGHT).cast("int").alias("blocks")), "weights")
     grouped = join_hot(groups, weights.select("component", "blocks"), "component", weights.select("component", "n"))
     grouped = scratch.save(grouped.select("cid", F.col("component").alias("grp"), "blocks"), "grouped")
+    scratch.drop(edges, weights)
     links = scratch.save(verified(docs, grouped, ranks, scratch, k, part, of), "links")
     found = components(links, scratch).withColumnRenamed("node", "cid")
     known = classes.select("digest", "cid", "copies").join(found, "cid", "left")
