@@ -83,6 +83,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how
     return out
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """A digest of a set of edges."""
+    return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable over undirected ``edges``; only nodes that have an edge.
 
@@ -92,6 +97,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     now = scratch.save(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
                        .where("u < v").distinct(), "edges")
+    mark = _mark(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = scratch.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
@@ -106,12 +112,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
                  .select(F.col("m").alias("u"), "v").where("u < v")
                  .unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct())
         small = scratch.save(small, "small")
-        same = now.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        more = small.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        done = same.collect() == more.collect()
+        before, mark = mark, _mark(small)
         scratch.drop(near, low, large, now)
         now = small
-        if done:
+        if mark == before:
             roots = now.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
 
