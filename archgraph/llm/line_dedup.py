@@ -49,50 +49,57 @@ def units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def row_key() -> Column:
-    text = F.coalesce("text", F.lit(""))
-    return F.concat_ws(":", F.xxhash64("doc_id", text), F.xxhash64(text, F.coalesce("doc_id", F.lit(-1))))
+    """With the doc_id, the key of a row: rows of one id with different texts stay apart."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, row, start, end, digest."""
+    """doc_id, row, place (of the unit in its text), start, end, digest."""
+    names = ["doc_id", "row", "place", "start", "end", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for start, end, digest in units(text, min_words):
-                    for column, value in zip(out, (doc, row, start, end, digest)):
+                for place, (start, end, digest) in enumerate(units(text, min_words)):
+                    for column, value in zip(out, (doc, row, place, start, end, digest)):
                         column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                             ["doc_id", "row", "start", "end", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     rows = docs.where("text is not null").select("doc_id", row_key().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row string, start int, end int, digest binary")
+    return rows.mapInArrow(run, "doc_id long, row long, place int, start int, end int, digest binary")
 
 
 def removed_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """row, n_units, removed (spans without overlap, in order); rows of documents that have units."""
+    """doc_id, row, n_units, removed (spans without overlap, in order); rows of documents that have units.
+
+    Only occurrences of repeated digests travel on; units are counted where a text's rows lie together.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     found = scratch.save(occurrences(docs, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
     again = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = scratch.save(again, "repeated")
-    met = join_hot(found, again.select("digest", "first"), "digest", again.select("digest", "n"), "left")
-    gone = F.col("first").isNotNull() & ((F.col("first.start") != F.col("start")) | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
-    spans = met.groupBy("row").agg(F.countDistinct("start", "end").alias("n_units"),
-                                   F.sort_array(F.collect_set(F.when(gone, F.struct("start", "end")))).alias("all"))
+    met = join_hot(found.drop("place"), again.select("digest", "first"), "digest", again.select("digest", "n"))
+    gone = met.where((F.col("first.start") != F.col("start")) | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    spans = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
     # A line comes before its first sentence; what an earlier span covers is dropped.
     merged = F.expr("""aggregate(all, struct(-1 AS upto, cast(array() AS array<struct<start: int, end: int>>) AS kept),
         (a, x) -> CASE WHEN x.end <= a.upto THEN a WHEN x.start = try_element_at(a.kept, -1).start
                   THEN struct(x.end AS upto, array_append(slice(a.kept, 1, size(a.kept) - 1), x) AS kept)
                   ELSE struct(x.end AS upto, array_append(a.kept, x) AS kept) END, a -> a.kept)""")
-    return spans.select("row", "n_units", merged.alias("removed"))
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), merged.alias("removed"))
+    counts = found.groupBy("doc_id", "row").agg((F.max("place") + 1).alias("n_units"))
+    out = counts.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+    return out.select("doc_id", "row", "n_units", "removed")
 
 
 def removals(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """doc_id, n_units, n_removed, removed_chars, removed (start:end, comma-joined), one row per document."""
-    spans = removed_spans(docs, min_words)
-    out = docs.select("doc_id", row_key().alias("row")).join(spans, "row", "left")
+    spans = removed_spans(docs, min_words).withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))
+    out = docs.select("doc_id", row_key().alias("row")).join(spans, same, "left")
     none = F.expr("cast(array() AS array<struct<start: int, end: int>>)")
     out = out.withColumn("removed", F.coalesce("removed", none))
     return out.select(
@@ -103,10 +110,12 @@ def removals(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """``docs`` without the removed spans; a line that is left empty goes with its line break."""
-    spans = removed_spans(docs, min_words).where("size(removed) > 0").select(F.col("row").alias("_row"), "removed")
-    rest = F.expr("""aggregate(removed, struct('' AS out, 0 AS at), (a, x) ->
+    spans = removed_spans(docs, min_words).where("size(removed) > 0").select(
+        F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("removed").alias("_removed"))
+    rest = F.expr("""aggregate(_removed, struct('' AS out, 0 AS at), (a, x) ->
         struct(concat(a.out, substring(text, a.at + 1, x.start - a.at)) AS out, x.end AS at),
         a -> concat(a.out, substring(text, a.at + 1)))""")
     rest = F.regexp_replace(F.regexp_replace(rest, r"\n[\x20\x09]*(?=\n)", ""), r"^\n|\n$", "")
-    out = docs.withColumn("_row", row_key()).join(spans, "_row", "left")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
+    out = docs.withColumn("_row", row_key()).hint("merge").join(spans, same, "left")
+    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
