@@ -7,7 +7,10 @@ probabilities as good as those it meets when scoring.
 
 Training takes at most ``per_class`` labelled documents of each class, those
 with the least digests of their ids, equal texts once; that bounds what the
-driver holds. Everything else covers all rows. Besides ``toxic``, which is
+driver holds. Agreed labels of each class are counted over the whole table, and
+every training row weighs its class's labels over those taken, so that the
+links learn the shares of all labels and not those of the sample. Everything
+else covers all rows. Besides ``toxic``, which is
 labelled, two graded categories are set from the training texts: ``severe``
 (toxic, with at least the median number of telling features) and ``pervasive``
 (toxic, with at least their median density).
@@ -48,10 +51,12 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j, hashes.view(np.int64), row, size
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, scratch: Scratch) -> DataFrame:
-    """h (of the text), toxic, n_words, features: the bounded sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int,
+                  scratch: Scratch) -> tuple[DataFrame, dict[int, float]]:
+    """h (of the text), toxic, n_words, features: the bounded sample; and per class, its labels over those taken."""
     agreed = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id")
               .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other"))
+    sizes = {r.toxic: r.n for r in agreed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = agreed.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(
         agreed.where("toxic = 0").orderBy(*order).limit(per_class))
@@ -70,31 +75,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, scratch: S
 
     rows = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "toxic", "text")
     rows = rows.mapInArrow(run, "h long, toxic int, n_words long, features array<bigint>")
-    return scratch.save(rows.dropDuplicates(["h"]), "training")
+    return scratch.save(rows.dropDuplicates(["h"]), "training"), {c: n / min(n, per_class) for c, n in sizes.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, steps: int = 200) -> np.ndarray:
-    """Weights (the last one is the intercept) by accelerated gradient descent; of one class alone, its share."""
+def logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, penalty: float = 0.5, steps: int = 200) -> np.ndarray:
+    """Weights (the last one is the intercept) by accelerated gradient descent; of one class alone, its share.
+
+    ``weigh`` tells how much each row counts.
+    """
     share = y.mean() if len(y) else 0.0
     if share in (0.0, 1.0):
         w = np.zeros(x.shape[1] + 1)
         w[-1] = 12.0 * (2 * share - 1)
         return w
     one = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    weigh = weigh.astype(x.dtype)
     v = np.ones(one.shape[1], x.dtype)
     for _ in range(12):
-        v = one.T @ (one @ v)
+        v = one.T @ (weigh * (one @ v))
         v /= np.linalg.norm(v)
-    rate = 1 / (0.3 * np.linalg.norm(one @ v) ** 2 + penalty)
+    rate = 1 / (0.3 * (weigh * (one @ v) ** 2).sum() + penalty)
     w, z = np.zeros(one.shape[1], x.dtype), np.zeros(one.shape[1], x.dtype)
     ridge = np.full(one.shape[1], penalty, x.dtype)
     ridge[-1] = 0
     for t in range(steps):
-        grad = one.T @ (_sigmoid(one @ z) - y).astype(x.dtype) + ridge * z
+        grad = one.T @ (weigh * (_sigmoid(one @ z) - y)).astype(x.dtype) + ridge * z
         after = z - rate * grad
         z = after + t / (t + 3) * (after - w)
         w = after
@@ -108,15 +117,17 @@ class Chain:
         self.vocabulary, self.weights = vocabulary, weights
 
     @classmethod
-    def fit(cls, vocabulary: np.ndarray, x: np.ndarray, targets: np.ndarray, folds: int = 4) -> Chain:
+    def fit(cls, vocabulary: np.ndarray, x: np.ndarray, targets: np.ndarray, folds: int = 4,
+            weigh: np.ndarray | None = None) -> Chain:
+        weigh = np.ones(len(x)) if weigh is None else weigh
         fold = np.arange(len(x)) % folds
         known, weights = x, []
         for y in targets.T.astype(float):
             out = np.zeros(len(x))
             for k in range(folds):
-                w = logistic(known[fold != k], y[fold != k])
+                w = logistic(known[fold != k], y[fold != k], weigh[fold != k])
                 out[fold == k] = _sigmoid(known[fold == k] @ w[:-1] + w[-1])
-            weights.append(logistic(known, y))
+            weights.append(logistic(known, y, weigh))
             known = np.concatenate([known, out[:, None].astype(known.dtype)], 1)
         return cls(vocabulary, weights)
 
@@ -139,7 +150,7 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, vocabulary: int = 400) -> Chain:
     """Learn from labels (doc_id, toxic)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = training_rows(docs, labels, per_class, scratch)
+    rows, factor = training_rows(docs, labels, per_class, scratch)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(
@@ -168,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, vocabulary: i
     dense = strong / np.maximum([r.n_words for r in sample], 1) if len(sample) else strong
     middle = lambda v: np.median(v[y]) if y.any() else 0.0
     targets = np.stack([y, y & (strong >= middle(strong)), y & (dense >= middle(dense))], 1)
-    return Chain.fit(known, x, targets)
+    weigh = np.array([factor[r.toxic] for r in sample], float)
+    return Chain.fit(known, x, targets, weigh=weigh / weigh.mean() if len(weigh) else weigh)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:

@@ -311,6 +311,21 @@ def test_toxicity_on_held_out_documents(spark, docs_of):
     assert not toxicity.score(docs, none).where("toxic").count()
 
 
+@pytest.mark.parametrize("per_class", [150, 10_000])
+def test_clean_documents_are_rejected_alike_from_samples_and_from_all_labels(spark, docs_of, per_class):
+    rng, rows, truth = random.Random(8), [], {}
+    for i in range(6000):
+        truth[i] = int(rng.random() < 0.1)
+        marks = [w for w in ["grobian", "lump", "vileman", "schuft"] if rng.random() < (0.45 if truth[i] else 0.05)]
+        rows.append((i, " ".join(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)), *marks])))
+    docs = docs_of(*rows).repartition(4)
+    chain = toxicity.fit(docs, labelled(spark, [(i, t) for i, t in truth.items() if i % 2], "toxic"), per_class=per_class)
+    p = {r.doc_id: r.p_toxic for r in toxicity.score(docs, chain).collect()}
+    held = [i for i in truth if i % 2 == 0]
+    assert np.mean([p[i] >= 0.5 for i in held if not truth[i]]) < 0.03  # 18 % at equal shares
+    assert abs(np.mean([p[i] for i in held]) - 0.1) < 0.03  # the share of toxic labels, not that of the sample
+
+
 def test_a_chain_learns_from_out_of_fold_probabilities():
     rng = np.random.Generator(np.random.PCG64(1))
     x = (rng.random((600, 6)) < 0.4).astype(np.float32)
