@@ -1,10 +1,15 @@
 """Substring dedup by hashing of lines: repeated units go, the earliest ranked occurrence stays.
 
-Units are whole lines, and the sentences of lines that have several, each with
-``min_words`` words or more. A unit is normalised (lower case, single spaces,
-no punctuation at its ends) and hashed to 128 bits; digests are counted over the
-whole corpus with their earliest occurrence by (doc_id, offset). All other
-occurrences, also within one document, are removed; results name them by their
+Units are paragraphs (runs of lines between blank lines), whole lines, and the
+sentences of lines that have several, each with ``min_words`` words or more;
+and runs of k = 2 * ``min_words`` words, wherever lines and sentences end, taken
+where their hash is the least of k neighbouring runs. So any 2k - 1 words that
+two texts share have a run in common, and of longer passages all but fewer than
+k words at either end is covered. A unit is normalised (lower case, single
+spaces, no punctuation at its ends, in runs at those of each word) and hashed to
+128 bits; digests are counted over the whole corpus with their earliest
+occurrence by (doc_id, offset). All other occurrences, also within one document
+but where they overlap the earliest, are removed; results name them by their
 offsets in the original text, in code points.
 
 Null and empty texts have no units. Rows of a null doc_id rank last. Rows with
@@ -18,34 +23,80 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import Scratch, join_hot
+from archgraph.llm.common import Scratch, join_hot, shingles
 
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
+_WORD = re.compile(r"\S+")
 _ENDS = " .,;:!?'\"()[]-*#|"
 
 
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of a whole text."""
-    at = 0
-    for line in text.split("\n"):
-        if line.count(" ") + 1 >= min_words or len(line.split()) >= min_words:
-            parts = [(at, line)]
-            ends = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
-            if len(ends) > 1:
-                parts += [(at + a, line[a:b]) for a, b in ends]
-            for start, part in parts:
-                words = part.lower().split()
-                if len(words) < min_words:
-                    continue
-                inner = part.strip()
-                start += part.index(inner)
-                digest = blake2b(" ".join(words).strip(_ENDS).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                yield start, start + len(inner), digest
+def _digest(words: str) -> bytes:
+    return blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _unit(start: int, part: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    words = part.lower().split()
+    if len(words) >= min_words:
+        inner = part.strip()
+        start += part.index(inner)
+        yield start, start + len(inner), _digest(" ".join(words).strip(_ENDS))
+
+
+def chosen(hashes: np.ndarray, width: int) -> list[int]:
+    """Of each ``width`` neighbours one with the least hash: the last one, but no other while the one before still is."""
+    if len(hashes) < width:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], width)[::-1]
+    last = np.arange(len(windows)) + width - 1 - windows.argmin(1)
+    out: list[int] = []
+    for i in np.flatnonzero(np.diff(last, prepend=-1)).tolist():
+        at = int(last[i])
+        if out and out[-1] >= i and hashes[out[-1]] == hashes[at]:
+            # Equal hashes: the next is due when the one before leaves the window.
+            at = int(last[out[-1] + 1]) if out[-1] + 1 < len(last) and hashes[last[out[-1] + 1]] == hashes[at] else out[-1]
+        if not out or at > out[-1]:
+            out.append(at)
+    return out
+
+
+def runs(text: str, k: int, known: dict[str, tuple[str, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of chosen runs of ``k`` words; ``known`` keeps words with their normal form and hash."""
+    raw = text.split()
+    if len(raw) < 2 * k - 1:
+        return
+    for w in set(raw).difference(known):
+        normal = w.lower().strip(_ENDS)
+        known[w] = normal, int.from_bytes(blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    hashes = np.fromiter((known[w][1] for w in raw), np.uint64, len(raw))
+    spans = [m.span() for m in _WORD.finditer(text)]
+    for i in chosen(shingles(hashes, k), k):
+        yield spans[i][0], spans[i + k - 1][1], _digest(" ".join(known[w][0] for w in raw[i:i + k]))
+
+
+def units(text: str, min_words: int, known: dict[str, tuple[str, int]] | None = None) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the units of a whole text, by their start."""
+    at, out, lines = 0, [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            lines.append((at, line))
+            if line.count(" ") + 1 >= min_words or len(line.split()) >= min_words:
+                out += _unit(at, line, min_words)
+                ends = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
+                if len(ends) > 1:
+                    for a, b in ends:
+                        out += _unit(at + a, line[a:b], min_words)
+        else:
+            if len(lines) > 1:
+                out += _unit(lines[0][0], text[lines[0][0]:lines[-1][0] + len(lines[-1][1])], min_words)
+            lines = []
         at += len(line) + 1
+    out += runs(text, 2 * min_words, {} if known is None else known)
+    return sorted(out, key=lambda u: u[:2])
 
 
 def row_key() -> Column:
@@ -61,10 +112,14 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
+            known: dict[str, tuple[str, int]] = {}
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for place, (start, end, digest) in enumerate(units(text, min_words)):
+                for place, (start, end, digest) in enumerate(units(text, min_words, known)):
                     for column, value in zip(out, (doc, row, place, start, end, digest)):
                         column.append(value)
+                if len(out[0]) >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    out, known = [[] for _ in names], {}
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     rows = docs.where("text is not null").select("doc_id", row_key().alias("row"), "text")
@@ -78,16 +133,19 @@ def removed_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     found = scratch.save(occurrences(docs, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
     again = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = scratch.save(again, "repeated")
     met = join_hot(found.drop("place"), again.select("digest", "first"), "digest", again.select("digest", "n"))
-    gone = met.where((F.col("first.start") != F.col("start")) | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    # Where a text repeats itself, what overlaps the earliest occurrence stays with it.
+    gone = met.where((F.col("start") >= F.col("first.end")) | (F.col("start") < F.col("first.start"))
+                     | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
     spans = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
-    # A line comes before its first sentence; what an earlier span covers is dropped.
+    # What an earlier span covers is dropped; a span that starts within an earlier one extends it.
     merged = F.expr("""aggregate(all, struct(-1 AS upto, cast(array() AS array<struct<start: int, end: int>>) AS kept),
-        (a, x) -> CASE WHEN x.end <= a.upto THEN a WHEN x.start = try_element_at(a.kept, -1).start
-                  THEN struct(x.end AS upto, array_append(slice(a.kept, 1, size(a.kept) - 1), x) AS kept)
+        (a, x) -> CASE WHEN x.end <= a.upto THEN a WHEN x.start < a.upto
+                  THEN struct(x.end AS upto, array_append(slice(a.kept, 1, size(a.kept) - 1),
+                      struct(try_element_at(a.kept, -1).start AS start, x.end AS end)) AS kept)
                   ELSE struct(x.end AS upto, array_append(a.kept, x) AS kept) END, a -> a.kept)""")
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), merged.alias("removed"))
     counts = found.groupBy("doc_id", "row").agg((F.max("place") + 1).alias("n_units"))

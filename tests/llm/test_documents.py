@@ -157,6 +157,41 @@ def test_lines_against_a_scan(docs_of):
     assert sum((t or "").count(passages[0]) for t in cleaned.values()) == 1
 
 
+def test_passages_across_lines_and_sentences_against_a_word_scan(docs_of):
+    rng = random.Random(21)
+
+    def wrapped(words):
+        return "\n".join(" ".join(words[i:i + 7]) for i in range(0, len(words), 7))
+
+    def short(words):
+        return ". ".join(" ".join(words[i:i + 6]).capitalize() for i in range(0, len(words), 6)) + "."
+
+    passages = [prose(rng, rng.choice([50, 70, 120])).split(" ") for _ in range(9)]
+    passages.append(("ba " * 3 + "ce di ").split(" ")[:5] * 14)
+    rows = []
+    for i in range(60):
+        shape, host = rng.choice([wrapped, short, " ".join]), lambda: prose(rng, rng.randrange(3, 9))
+        rows.append((i, f"{host()} {shape(rng.choice(passages))} {host()}" if i % 4 else f"{host()}\n\n{shape(rng.choice(passages))}\n\n{host()}"))
+    out = {r.doc_id: r.removed for r in line_dedup.removals(docs_of(*rows)).collect()}
+    seen, repeated = set(), 0
+    for i, text in rows:
+        words = [(m.group().lower().strip("."), m.start()) for m in re.finditer(r"\S+", text)]
+        spans = [tuple(map(int, s.split(":"))) for s in out[i].split(",")] if out[i] else []
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        windows = {j: tuple(w for w, _ in words[j:j + 50]) for j in range(len(words) - 49)}
+        for j, window in windows.items():
+            if window in seen:
+                repeated += 1
+                assert sum(any(a <= at < b for a, b in spans) for _, at in words[j:j + 50]) >= 12
+        seen |= set(windows.values())
+    assert repeated > 100
+    paragraph = [f"{prose(rng, 6)}\n{prose(rng, 7)}", prose(rng, 4)]
+    rows = [(1, f"ba\n\n{paragraph[0]}\n\nce"), (2, f"di\n \n{paragraph[0]}\n\n{paragraph[1]}"), (3, paragraph[0].replace("\n", " "))]
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs_of(*rows)).collect()}[3] == ""
+    assert {r.doc_id: r.removed_chars for r in line_dedup.removals(docs_of(*rows)).collect()} == {
+        1: 0, 2: len(paragraph[0]), 3: len(paragraph[0])}
+
+
 def test_personal_data(docs_of):
     long_word = "a" * 20_000 + "@x.y " + "9" * 5000
     rows = [*ODD, (1, "a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 00001.2.3.4 99999999999999999999.1.1.1"),
