@@ -12,8 +12,9 @@ occurrence by (doc_id, offset). All other occurrences, also within one document
 but where they overlap the earliest, are removed; results name them by their
 offsets in the original text, in code points.
 
-Null and empty texts have no units. Rows of a null doc_id rank last. Rows with
-equal doc_id and text are one occurrence, so repeated rows lose the same spans.
+Null and empty texts have no units. Rows of a null doc_id rank last. Different
+texts of one doc_id, or of none, rank by a hash of the text. Rows with equal
+doc_id and text are one occurrence, so repeated rows lose the same spans.
 Extra columns are kept by ``clean``; an empty table gives an empty result.
 """
 
@@ -133,12 +134,12 @@ def removed_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     found = scratch.save(occurrences(docs, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "end")
     again = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = scratch.save(again, "repeated")
     met = join_hot(found.drop("place"), again.select("digest", "first"), "digest", again.select("digest", "n"))
     # Where a text repeats itself, what overlaps the earliest occurrence stays with it.
-    gone = met.where((F.col("start") >= F.col("first.end")) | (F.col("start") < F.col("first.start"))
+    gone = met.where((F.col("start") >= F.col("first.end")) | (F.col("row") != F.col("first.row"))
                      | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
     spans = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
     # What an earlier span covers is dropped; a span that starts within an earlier one extends it.

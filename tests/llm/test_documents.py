@@ -192,6 +192,17 @@ def test_passages_across_lines_and_sentences_against_a_word_scan(docs_of):
         1: 0, 2: len(paragraph[0]), 3: len(paragraph[0])}
 
 
+def test_texts_of_one_id_do_not_share_the_first_place(docs_of):
+    rng = random.Random(22)
+    for key in (None, 7):
+        line = prose(rng, 15)
+        rows = [(key, f"{line}\n{prose(rng, 5)}") for _ in range(3)]
+        texts = [r.text for r in line_dedup.clean(docs_of(*rows)).collect()]
+        assert sum(line in t for t in texts) == 1
+        same = line_dedup.clean(docs_of(rows[0], rows[0])).collect()
+        assert all(line in r.text for r in same)
+
+
 def test_personal_data(docs_of):
     long_word = "a" * 20_000 + "@x.y " + "9" * 5000
     rows = [*ODD, (1, "a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 00001.2.3.4 99999999999999999999.1.1.1"),
