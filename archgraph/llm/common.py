@@ -277,3 +277,19 @@ def spanning(n: int, linked) -> list[tuple[int, int]]:
             queue += rest[hit].tolist()
             rest = rest[~hit]
     return edges
+
+
+#: A CTE ``crc(t)``: the table of the reflected checksum polynomial, as SQL.
+CRC_TABLE_SQL = """crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned crc32 of an SQL text beside the table ``crc``."""
+    octet = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: {octet})"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")

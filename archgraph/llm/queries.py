@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm import (embedding_dedup, line_dedup, mixing, outliers, packing, pii, quality, toxicity, trie_join, warc)
+from archgraph.llm import (bpe_automaton, embedding_dedup, line_dedup, mixing, outliers, packing, pii, prefix_trie, quality,
+                           spelling, toxicity, trie_join, warc)
 from archgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     found = quality.classify(docs, labels.where(~held_out).select("doc_id", "quality"), threshold=0.7)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query(prefix_trie.SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query(spelling.SQL)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe_automaton.digest_columns(bpe_automaton.encode(docs, tokenizer_path(), decoded=True))

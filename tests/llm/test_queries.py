@@ -21,7 +21,7 @@ def test_matches_sql(spark, name):
 
 def test_one_query_per_operator():
     names = list(QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(entry.queries())
 
 
