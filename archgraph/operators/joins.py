@@ -35,17 +35,20 @@ def code_keys(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     return base.unionByName(code.join(names, ["repo", "code"]).select("repo", "project", "code", "dir", "key")).distinct()
 
 
-def deployment_keys(nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """Names a workload may share with its code: its own and its images'."""
-    runs = nodes.where((F.coalesce("build_context", F.lit("")) == "") & (F.size("images") > 0)).select(
-        "repo", "project", F.col("id").alias("deployment"), paths.normalize_dir(paths.dir_of(F.col("path"))).alias("dir"))
+def deployment_keys(nodes: DataFrame, forms: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Names a workload may share with its code: its own and its images', from
+    every directory that declares it (``sources``: repo, id, path)."""
+    runs = nodes.where((F.coalesce("build_context", F.lit("")) == "") & (F.size("images") > 0))
+    if sources is not None:
+        runs = runs.drop("path").join(sources.select("repo", "id", "path").distinct(), ["repo", "id"])
+    runs = runs.select("repo", "project", F.col("id").alias("deployment"), paths.normalize_dir(paths.dir_of(F.col("path"))).alias("dir"))
     names = forms.where("form_kind IN ('name', 'image')").select(
         "repo", F.col("node_id").alias("deployment"),
         F.when(F.col("form_kind") == "image", F.substring_index("form", "/", -1)).otherwise(F.col("form")).alias("key"))
     return runs.join(names, ["repo", "deployment"]).select("repo", "project", "deployment", "dir", "key").distinct()
 
 
-def basename_join(nodes: DataFrame, forms: DataFrame) -> DataFrame:
+def basename_join(nodes: DataFrame, forms: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(repo, code, deployment) claims by shared name, where a deployment has
     exactly one candidate in its own project tree.
 
@@ -56,7 +59,7 @@ def basename_join(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     directory, are enough to tell whether there is exactly one. A key like
     'web' therefore costs one row per top directory, however many hold it.
     """
-    codes, deps = code_keys(nodes, forms), deployment_keys(nodes, forms)
+    codes, deps = code_keys(nodes, forms), deployment_keys(nodes, forms, sources)
     key = ["repo", "project", "key"]
     by_segment = codes.groupBy(*key, _segment(F.col("dir")).alias("seg")).agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
     ends = by_segment.groupBy(*key).agg(F.min(F.struct("lo", "seg")).alias("first"), F.max(F.struct("hi", "seg")).alias("last"))
@@ -78,10 +81,10 @@ def basename_join(nodes: DataFrame, forms: DataFrame) -> DataFrame:
             .agg(F.min("lo").alias("code"), F.max("hi").alias("hi")).where("code = hi").select("repo", "code", "deployment"))
 
 
-def code_merges(nodes: DataFrame, forms: DataFrame) -> DataFrame:
+def code_merges(nodes: DataFrame, forms: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(repo, absorbed, survivor, how): claims that are unique both ways."""
     claims = build_context_join(nodes).withColumn("how", F.lit("build_context")).unionByName(
-        basename_join(nodes, forms).withColumn("how", F.lit("basename")))
+        basename_join(nodes, forms, sources).withColumn("how", F.lit("basename")))
     return claims.groupBy("repo", F.col("code").alias("absorbed")).agg(
         F.count("*").alias("n"), F.min("deployment").alias("survivor"), F.min("how").alias("how")).where("n = 1").drop("n")
 

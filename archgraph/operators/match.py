@@ -330,6 +330,11 @@ def refusal_diagnostics(decisions: DataFrame, nodes: DataFrame, forms: DataFrame
                             "from_namespace", F.lit('"'))).alias("message"))
 
 
+def _extractor(decisions: DataFrame) -> Column:
+    """The job a reference came from, where the decisions still know it."""
+    return F.col("extractor") if "extractor" in decisions.columns else F.lit("resolver").alias("extractor")
+
+
 def resolved_edges(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of matched hints, one row per piece of evidence."""
     target = nodes.select("repo", F.col("id").alias("node_id"), F.col("kind").alias("target_kind"),
@@ -338,20 +343,19 @@ def resolved_edges(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
         "repo", F.col("from_node").alias("src"), F.col("node_id").alias("dst"),
         ids.edge_kind_for(F.col("suggested_edge"), F.col("target_kind")).alias("kind"), "protocol",
         F.col("match_pct").alias("conf_pct"), "rule", "path", "line",
-        F.concat("detail", F.lit(" (resolves to "), "target_name", F.lit(")")).alias("detail"),
-        F.lit("resolver").alias("extractor"))
+        F.concat("detail", F.lit(" (resolves to "), "target_name", F.lit(")")).alias("detail"), _extractor(decisions))
 
 
 def external_synthesis(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) for hosts nobody declares: one external per host.
 
-    The host's first hint, in (from, path, line, raw) order, carries the rule
+    The host's first hint, in (from, path, line, raw, detail) order, carries the rule
     that made the component; later ones found it by name.
     """
     host = F.try_element_at("tokens", F.lit(1))
     unmatched = decisions.where("outcome = 'none'").withColumn("host", host).where(
         net.is_external_host(F.col("host")))
-    order = F.struct("from_node", "path", "line", "raw", "hint_id")
+    order = F.struct("from_node", "path", "line", "raw", "detail", "hint_id")
     first = unmatched.groupBy("repo", "host").agg(F.min(order).alias("first"))
     id_ = ids.node_id(F.lit("external"), F.lit(""), F.col("host"))
     nodes = first.select("repo", id_.alias("id"), F.lit("external").alias("kind"), F.lit("context").alias("layer"),
@@ -362,6 +366,5 @@ def external_synthesis(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids.edge_kind_for(F.col("suggested_edge"), F.lit("external")).alias("kind"), "protocol",
         ids.base_confidence(F.col("kind")).alias("conf_pct"),
         F.when(F.col("hint_id") == F.col("first.hint_id"), F.lit("external_host")).otherwise("dns_exact").alias("rule"),
-        "path", "line", F.concat("detail", F.lit(" (resolves to "), "host", F.lit(")")).alias("detail"),
-        F.lit("resolver").alias("extractor"))
+        "path", "line", F.concat("detail", F.lit(" (resolves to "), "host", F.lit(")")).alias("detail"), _extractor(decisions))
     return nodes, edges

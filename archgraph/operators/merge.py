@@ -286,3 +286,74 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.struct(F.lit("target").alias("side"), F.col("dst").alias("node_id")))).alias("e")).select("repo", "id", "e.*").distinct()
     return ends.join(nodes.select("repo", F.col("id").alias("node_id")), ["repo", "node_id"], "left_anti").select(
         "repo", "id", "side", "node_id")
+
+
+# -------------------------------------------------------- whole readings, whole donors
+#: Attributes that a component hands to the one it is folded into.
+CONTRIBUTED = ("module package manifest directory dependencyCount goVersion nodeVersion pythonVersion version dockerfile "
+               "baseImage buildStages").split()
+
+
+def merge_attributes(readings: DataFrame) -> DataFrame:
+    """(repo, id, attrs): the attribute maps of readings, merged key by key by the rule of ``merge_nodes``."""
+    zero = F.char(F.lit(0))
+    rows = readings.where(F.size(F.coalesce("attrs", F.create_map().cast("map<string,string>"))) > 0).select(
+        "repo", "id", "conf_pct", "seq", F.explode("attrs").alias("key", "value"))
+    keyed = rows.withColumn("id", F.concat("id", zero, "key"))
+    parts = merge_nodes(keyed, ["value"]).withColumn("part", F.split("id", "\x00"))
+    # a component has as many rows here as it has attributes
+    return parts.groupBy("repo", F.get("part", F.lit(0)).alias("id")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.get("part", F.lit(1)), "value")))).alias("attrs"))
+
+
+def contribute_all(nodes: DataFrame, merges: DataFrame, attributes: list[str] | None = CONTRIBUTED) -> DataFrame:
+    """All nodes, survivors with every gap filled that an absorbed component can fill.
+
+    Donors are tried in id order, per field and per attribute; nothing known is
+    overwritten. ``attributes`` names those that travel, and what describes the
+    donor's own file (labels, images, build directory) stays behind. With None
+    everything fills gaps, and technologies only where the survivor has none.
+    """
+    donors = nodes.join(merges.select("repo", F.col("absorbed").alias("id"), "survivor"), ["repo", "id"])
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    fields = {"language": blank("tech.language"), "framework": blank("tech.framework"), "runtime": blank("tech.runtime"),
+              "directory": blank("directory"), "ports": F.when(F.size("ports") > 0, F.col("ports"))}
+    if attributes is None:
+        fields |= {"build_context": blank("build_context"), "images": F.when(F.size("images") > 0, F.col("images")),
+                   "labels": F.when(F.size("labels") > 0, F.col("labels"))}
+    plain = donors.groupBy("repo", F.col("survivor").alias("id")).agg(
+        *[F.min_by(e, F.when(e.isNotNull(), F.col("id"))).alias(f"_{f}") for f, e in fields.items()])
+    given = donors.select("repo", "survivor", F.col("id").alias("donor"), F.explode("attrs").alias("key", "value"))
+    if attributes is not None:
+        given = given.where(F.col("key").isin(*attributes))
+    handed = given.groupBy("repo", F.col("survivor").alias("id"), "key").agg(F.min_by("value", "donor").alias("value")).groupBy(
+        "repo", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_attrs"))
+    out = nodes.join(plain, ["repo", "id"], "left").join(handed, ["repo", "id"], "left")
+    own = F.coalesce("attrs", F.create_map().cast("map<string,string>"))
+    more = F.map_filter(F.coalesce("_attrs", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
+    parts = ("language", "framework", "runtime")
+    tech = F.struct(*[F.coalesce(blank(f"tech.{f}"), F.col(f"_{f}"), F.lit("")).alias(f) for f in parts])
+    if attributes is None:
+        tech = F.when(F.concat(*[F.coalesce(f"tech.{f}", F.lit("")) for f in parts]) == "", tech).otherwise(F.col("tech"))
+    filled = {"tech": tech, "attrs": F.map_concat(own, more)}
+    for f in fields:
+        if f not in parts:
+            filled[f] = F.coalesce(fields[f], F.col(f"_{f}"), F.col(f))
+    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in nodes.columns])
+
+
+def rekeyed(rows: DataFrame, merges: DataFrame, column: str = "id") -> DataFrame:
+    """Rows under the component that survives: sources and references move with what was absorbed."""
+    to = merges.select("repo", F.col("absorbed").alias(column), F.col("survivor").alias("_to"))
+    return rows.join(to, ["repo", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to").select(rows.columns)
+
+
+def fold_generic_rows(rows: DataFrame) -> DataFrame:
+    """Evidence rows of edges, those of a generic depends_on moved to the pair's specific relationship, if there is one."""
+    specific = rows.where(~F.col("kind").isin("depends_on", "contains")).groupBy("repo", "src", "dst").agg(
+        F.max(F.struct("kind", F.coalesce("protocol", F.lit("")).alias("protocol"))).alias("_s"))
+    moves = (F.col("kind") == "depends_on") & F.col("_s").isNotNull()
+    out = rows.join(specific, ["repo", "src", "dst"], "left").withColumns({
+        "protocol": F.when(moves, F.col("_s.protocol")).otherwise(F.coalesce("protocol", F.lit(""))),
+        "kind": F.when(moves, F.col("_s.kind")).otherwise(F.col("kind"))})
+    return out.select(rows.columns)

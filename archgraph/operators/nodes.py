@@ -10,6 +10,10 @@ from archgraph.functions.images import parse_image
 from archgraph.functions.net import dns_names
 
 
+#: Attributes that hold a further name of a component.
+NAMING_ATTRS = ["name", "address", "terraformModule"]
+
+
 def labels_map(kv: Column) -> Column:
     """'a=1;b=2' -> map; empty or NULL text gives an empty map."""
     pairs = F.filter(F.split(F.coalesce(kv, F.lit("")), ";"), lambda p: F.contains(p, F.lit("=")))
@@ -50,6 +54,9 @@ def identity_forms(nodes: DataFrame, dns: DataFrame | None = None) -> DataFrame:
         "repo", F.col("id").alias("node_id"),
         F.explode(F.array(F.col("name"), F.substring_index(ids.parse_node_id(F.col("id"))["name"], "/", -1))).alias("form"))
     names = names.unionByName(images.select("repo", "node_id", F.col("image.parts.name").alias("form")))
+    if "attrs" in n.columns:
+        names = names.unionByName(n.select("repo", F.col("id").alias("node_id"), F.explode(F.array_compact(
+            F.array(*[F.try_element_at("attrs", F.lit(a)) for a in NAMING_ATTRS]))).alias("form")))
     external = n.where("kind = 'external'").select("repo", F.col("id").alias("node_id"), F.col("name").alias("form"))
     network = external
     if dns is not None:

@@ -495,6 +495,29 @@ VIEWS["fx_manifests"] = (
     + " FROM (SELECT s_suppkey AS k FROM {supplier}) s\n) m"
 )
 
+# ------------------------------------------------------- whole file trees, for scans
+# Four files of one directory at a time (settings, build file, two dependency lists).
+VIEWS["fx_scan_tree"] = """
+SELECT 'repo-' || (g % 3) AS repo, file_key, 'apps/a' || g AS dir, file_name, content
+FROM (SELECT *, cast(floor(file_key / 4) as bigint) AS g FROM {fx_files}) f
+"""
+VIEWS["fx_scan_manifests"] = """
+SELECT repo, k, format, CASE format WHEN 'workload' THEN 'deploy/svc-' || k || '/workload.yaml'
+         WHEN 'service' THEN 'deploy/svc-' || k || '/service.yaml' WHEN 'configmap' THEN 'deploy/svc-' || k || '/config.yaml'
+         WHEN 'ingress' THEN 'deploy/svc-' || k || '/ingress.yaml' WHEN 'compose' THEN 'stacks/s-' || k || '/docker-compose.yml'
+         WHEN 'package' THEN 'services/svc-' || k || '/package.json' WHEN 'pyproject' THEN 'services/svc-' || k || '/pyproject.toml'
+         WHEN 'chart' THEN 'charts/c-' || k || '/Chart.yaml' ELSE 'charts/c-' || k || '/values.yaml' END AS path, doc
+FROM {fx_manifests}
+"""
+VIEWS["fx_scan_files"] = """
+SELECT repo, dir || '/' || file_name AS path, cast(length(content) as bigint) AS size, cast(1700000000 as bigint) AS mtime, content
+FROM {fx_scan_tree}
+UNION ALL SELECT repo, path, cast(length(doc) as bigint), cast(1700000000 as bigint), doc FROM {fx_scan_manifests}
+UNION ALL SELECT 'repo-' || (page_id % 3), 'apps/p' || page_id || CASE WHEN page_id % 4 = 0 THEN '/big/package.json' WHEN page_id % 4 = 1 THEN '/fly.toml'
+           ELSE '/Procfile' END, cast(CASE WHEN page_id % 4 = 0 THEN 2000000 + page_id ELSE length(html) END as bigint), cast(1700000000 as bigint),
+       'web: x' FROM {pages}
+"""
+
 _TOKEN = re.compile(r"\{(\w+)\}")
 
 

@@ -43,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def durable(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; with ``by``, in one
+    folder per value of that column, so that reading one value prunes the rest.
 
     Loops call this once per round: the lineage ends here, a lost executor
     re-reads files instead of recomputing rounds, and file sizes give the next
@@ -52,7 +53,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/archgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
