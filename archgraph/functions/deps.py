@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from archgraph import vocab
-from archgraph.functions.text import array_first, let, lookup, strip
+from archgraph.functions.text import array_first, constants, let, lookup, strip
 
 
 def normalize_dependency(dep: Column) -> Column:
@@ -17,19 +17,18 @@ def normalize_dependency(dep: Column) -> Column:
     return F.when(go_path, text).otherwise(F.lower(F.translate(text, "_", "-")))
 
 
-def _exact_or_family(name: Column, exact: dict[str, Column], families: list[str]) -> Column:
+def _exact_or_family(name: Column, exact: dict[str, object], families: list[str]) -> Column:
     """Exact entry, else the longest family that prefixes the name. Families
     are tried longest first, so the first hit is the longest."""
     ordered = sorted(families, key=lambda f: (-len(f), f))
-    family = array_first(F.filter(F.array(*[F.lit(f) for f in ordered]), lambda f: F.startswith(name, f)))
+    family = array_first(F.filter(constants(ordered), lambda f: F.startswith(name, f)))
     return F.coalesce(lookup(exact, name), lookup(exact, family))
 
 
 def library_of(dep: Column, extra: dict[str, tuple[str, str, str]] | None = None) -> Column:
     """struct(tech, kind, edge) a dependency implies, else NULL."""
     known = {d: (t, k, e) for d, t, k, e in vocab.rows(vocab.LIBRARIES)} | (extra or {})
-    exact = {d: F.struct(F.lit(t).alias("tech"), F.lit(k).alias("kind"), F.lit(e).alias("edge"))
-             for d, (t, k, e) in known.items()}
+    exact = {d: {"tech": t, "kind": k, "edge": e} for d, (t, k, e) in known.items()}
     families = [d for d in known if "/" in d or d.endswith("-")]
     return let(normalize_dependency(dep), lambda n: _exact_or_family(n, exact, families))
 
@@ -37,8 +36,7 @@ def library_of(dep: Column, extra: dict[str, tuple[str, str, str]] | None = None
 def framework_of(dep: Column, extra: dict[str, str] | None = None) -> Column:
     known = dict(vocab.rows(vocab.FRAMEWORKS)) | (extra or {})
     families = [d for d in known if "/" in d]
-    exact = {d: F.lit(f) for d, f in known.items()}
-    return let(normalize_dependency(dep), lambda n: _exact_or_family(n, exact, families))
+    return let(normalize_dependency(dep), lambda n: _exact_or_family(n, known, families))
 
 
 def is_vendor(tech: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from archgraph import vocab
-from archgraph.functions.text import array_first, let, lookup, strip
+from archgraph.functions.text import array_first, constants, let, lookup, strip
 
 
 def parse_image(ref: Column) -> Column:
@@ -40,7 +40,7 @@ def name_variants(name: Column) -> Column:
 def image_kind(ref: Column, extra: dict[str, tuple[str, str]] | None = None) -> Column:
     """struct(kind, tech, recognised); ``extra`` adds image names."""
     known = {n: (k, t) for n, k, t in vocab.rows(vocab.IMAGES)} | (extra or {})
-    entries = {n: F.struct(F.lit(k).alias("kind"), F.lit(t).alias("tech")) for n, (k, t) in known.items()}
+    entries = {n: {"kind": k, "tech": t} for n, (k, t) in known.items()}
     hit = array_first(F.filter(
         F.transform(name_variants(parse_image(ref)["name"]), lambda v: lookup(entries, v)),
         lambda h: h.isNotNull()))
@@ -68,5 +68,5 @@ def base_image_is_os(ref: Column) -> Column:
     return (
         (F.lower(strip(ref)) == "scratch")
         | F.contains(F.lower(image["repository"]), F.lit("distroless"))
-        | F.arrays_overlap(name_variants(image["name"]), F.array(*[F.lit(s) for s in systems]))
+        | F.arrays_overlap(name_variants(image["name"]), constants(systems))
     )

@@ -29,7 +29,7 @@ def valid_port(text: Column) -> Column:
 
 def port_convention(port: Column) -> Column:
     """struct(protocol, edge) of a well-known port, else NULL."""
-    entries = {p: F.struct(F.lit(proto).alias("protocol"), F.lit(edge).alias("edge"))
+    entries = {p: {"protocol": proto, "edge": edge}
                for p, proto, edge in vocab.rows(vocab.PORT_CONVENTIONS)}
     return lookup(entries, port.cast("string"))
 
@@ -77,7 +77,7 @@ def dns_names(name: Column, namespace: Column) -> Column:
 
 
 def _url_reference(value: Column) -> Column:
-    schemes = {s: F.struct(F.lit(p).alias("protocol"), F.lit(e).alias("edge"), F.lit(int(n)).alias("port"))
+    schemes = {s: {"protocol": p, "edge": e, "port": int(n)}
                for s, p, e, n in vocab.rows(vocab.SCHEMES)}
     readable = (value.rlike(_URL) & ~value.rlike(r"[\x00-\x1f\x7f]")
                 & ~F.regexp_replace(value, r"\?[^#]*", "").rlike(_BAD_ESCAPE))

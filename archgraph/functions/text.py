@@ -36,13 +36,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return array_first(F.transform(F.array(value), body))
 
 
+def _spelled(value: object) -> str:
+    """A constant as SQL: text, numbers, lists, and records (dict) as structs."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"{_spelled(k)}, {_spelled(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(_spelled, value)) + ")"
+    return str(value)
+
+
+def constants(words: list[str]) -> Column:
+    """A constant list as an array."""
+    return F.expr(_spelled(words))
+
+
 def lookup(entries: dict[str, object], key: Column) -> Column:
-    """A constant map probed by ``key``. The map is a literal, so there is no
-    join and nothing to shuffle; use it for vocabulary-sized tables only."""
-    pairs: list[Column] = []
-    for word, value in entries.items():
-        pairs += [F.lit(word), value if isinstance(value, Column) else F.lit(value)]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """A constant map probed by ``key``: text, number or record (dict) per word.
+    The map is a literal, parsed at once, so there is no join and nothing to
+    shuffle; use it for vocabulary-sized tables only."""
+    return F.try_element_at(F.expr("map(" + ", ".join(f"{_spelled(k)}, {_spelled(v)}" for k, v in entries.items()) + ")"), key)
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -3,10 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from archgraph.operators import merge
 from archgraph.operators import scan as sc
 from archgraph.operators.diagnostics import FORMATTERS, counted
-from archgraph.sources.builtin import built_in
+from archgraph.sources.builtin import built_in, shaped
 
 
 def workload(name, image, ns="prod", env=(), kind="Deployment", labels=None, **spec):
@@ -47,17 +49,70 @@ def cluster_repo():
     }
 
 
-@pytest.fixture
-def files_of(spark):
-    def make(repos):
-        rows = [(repo, path, len(str(body)), 0, body if isinstance(body, str) else json.dumps(body))
-                for repo, files in repos.items() for path, body in files.items()]
-        return spark.createDataFrame(rows, "repo string, path string, size long, mtime long, content string")
-    return make
+def environments():
+    """One name in three namespaces."""
+    repo = {f"env/{ns}/users.yaml": workload("users", "acme/users:1", ns) for ns in ("dev", "staging", "prod")}
+    repo["env/dev/web.yaml"] = workload("web", "acme/web:1", "dev", env=[("USERS_URL", "http://users:80")])
+    repo["tools/cron.yaml"] = workload("cron", "acme/cron:1", "tools", env=[("USERS_URL", "http://users:80")])
+    return repo
+
+
+def two_projects():
+    """The same stack with the same namespace in two trees."""
+    use = {"valueFrom": {"configMapKeyRef": {"name": "cfg", "key": "DB_HOST"}}}
+    one = {"web.yaml": workload("web", "acme/web:1", env=[("API_URL", "http://api-svc:80"), ("DB_HOST", use)]), "svc.yaml": service("api-svc", {"app": "api"}),
+           "api.yaml": workload("api", "acme/api:1"), "db.yaml": workload("db", "postgres:16"),
+           "cfg.yaml": {"apiVersion": "v1", "kind": "ConfigMap", "metadata": {"name": "cfg", "namespace": "prod"}, "data": {"DB_HOST": "db:5432"}}}
+    return {f"{p}/{name}": body for p in ("shop", "blog/x") for name, body in one.items()}
+
+
+def files_of(spark, repos):
+    rows = [(repo, path, len(str(body)), 0, body if isinstance(body, str) else json.dumps(body))
+            for repo, files in repos.items() for path, body in files.items()]
+    return spark.createDataFrame(rows, "repo string, path string, size long, mtime long, content string")
+
+
+def graphs_of(tables):
+    """{repo: {table: rows}} of a scan."""
+    rows = {name: df.collect() for name, df in tables.items()}
+    return {r.repo: {name: [x for x in found if x.repo == r.repo] for name, found in rows.items()} for r in rows["stats"]}
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    """Several repositories in one scan, nothing declared."""
+    return graphs_of(sc.scan(files_of(spark, {
+        "r": cluster_repo(), "s": cluster_repo(), "env": environments(), "twins": two_projects(), "empty": {"README.md": "hello"}})))
+
+
+@pytest.fixture(scope="module")
+def declared(spark):
+    """Several repositories in one scan with projects, resources, corrections, a further job and its message."""
+    jobs = built_in()
+
+    def procfile(files):
+        return {"diagnostics": shaped(files, "diagnostics", severity="info", code="procfile_seen", message="web")}
+
+    jobs.register("procfile", F.col("name") == "Procfile", procfile)
+    resources = spark.createDataFrame([
+        ("infra", "infra/a.tf", "aws_lambda_function", "fn", "resource", "aws_sqs_queue.jobs", "queue_url", 0, None, 1),
+        ("infra", "infra/b.tf", "aws_sqs_queue", "jobs", "resource", None, None, 1, None, 1),
+        ("infra", "infra/a.tf", "aws_iam_thing", "x", "resource", None, None, 0, None, 9)],
+        "repo string, path string, type string, name string, block string, ref_address string, ref_attr string, has_count int, source string, line int")
+    same = spark.createDataFrame([("r", 1, 0, "users.prod"), ("r", 1, 1, "orders")], sc.SAME)
+    rules = spark.createDataFrame([
+        ("r", 2, "add", "users", "pg", "persists_to", "mysql", "it does"), ("r", 3, "remove", "api-gateway", "api.stripe.com", "", None, ""),
+        ("r", 4, "add", "edge", "pg", "", "tcp", ""), ("r", 5, "add", "orders", "pg", "", None, "folded away"),
+        ("r", 6, "remove", "edge", "pg", "", None, ""), ("r", 7, "add", "api-gateway", "pg", "calls", "grpc", " why ")], sc.RULES)
+    repos = {"r": cluster_repo(), "twins": two_projects(), "infra": {"Procfile": "x", "a/Procfile": "y"}}
+    projects = spark.createDataFrame([("twins", "shop"), ("twins", "blog/x")], "repo string, root string")
+    formatters = FORMATTERS | {"procfile_seen": counted("one process file", "{n} process files", listed=True)}
+    return graphs_of(sc.scan(files_of(spark, repos), resources, projects, rules, same, jobs, formatters))
 
 
-def graph_of(tables):
-    return {name: df.collect() for name, df in tables.items()}
+@pytest.fixture
+def cluster(plain):
+    return plain["r"]
 
 
 def arrows(graph):
@@ -68,12 +123,6 @@ def codes(graph):
     return {r.code for r in graph["diagnostics"]}
 
 
-@pytest.fixture(scope="module")
-def cluster(spark):
-    rows = [("r", p, len(str(b)), 0, b if isinstance(b, str) else json.dumps(b)) for p, b in cluster_repo().items()]
-    return graph_of(sc.scan(spark.createDataFrame(rows, "repo string, path string, size long, mtime long, content string")))
-
-
 def test_a_cluster_repository_is_connected(cluster):
     at = "container:@prod/"
     want = {(at + "api-gateway", "calls", at + "users"), (at + "api-gateway", "calls", at + "orders"),
@@ -114,64 +163,39 @@ def test_what_could_not_be_read_is_said(cluster):
     assert stats.files_scanned == len(cluster_repo()) and stats.files_parsed == len(cluster_repo()) - 1
 
 
-def test_repositories_do_not_touch(files_of, cluster):
+def test_repositories_do_not_touch(plain):
     """The same files in two repositories give the same graph twice."""
-    tables = sc.scan(files_of({"r": cluster_repo(), "s": cluster_repo(), "empty": {"README.md": "x"}}))
-    got = tables["edges"].collect()
-    alone = {(r.src, r.dst, r.kind, r.protocol, r.conf_pct) for r in cluster["edges"]}
-    for repo in "rs":
-        assert {(r.src, r.dst, r.kind, r.protocol, r.conf_pct) for r in got if r.repo == repo} == alone
+    one, two = ({(r.src, r.dst, r.kind, r.protocol, r.conf_pct) for r in plain[repo]["edges"]} for repo in "rs")
+    assert one == two and len(one) > 10
+    assert plain["empty"]["nodes"] == [] and plain["empty"]["edges"] == [] and plain["empty"]["stats"][0].files_scanned == 1
 
 
-def test_environments_are_not_mixed(files_of):
-    """One name in three namespaces: a reference from outside all of them is refused, one from inside is not."""
-    repo = {f"env/{ns}/users.yaml": workload("users", "acme/users:1", ns) for ns in ("dev", "staging", "prod")}
-    repo["env/dev/web.yaml"] = workload("web", "acme/web:1", "dev", env=[("USERS_URL", "http://users:80")])
-    repo["tools/cron.yaml"] = workload("cron", "acme/cron:1", "tools", env=[("USERS_URL", "http://users:80")])
-    graph = graph_of(sc.scan(files_of({"r": repo})))
+def test_environments_are_not_mixed(plain):
+    """A reference from outside all namespaces that have the name is refused, one from inside is not."""
+    graph = plain["env"]
     assert arrows(graph) == {("container:@dev/web", "calls", "container:@dev/users")}
     assert {r.code for r in graph["diagnostics"] if r.path == "tools/cron.yaml"} == {"ambiguous_reference"}
 
 
-def test_projects_keep_apart(files_of, spark):
-    """Two projects with one namespace each: ids, edges, aliases and config maps are qualified together."""
-    use = {"valueFrom": {"configMapKeyRef": {"name": "cfg", "key": "DB_HOST"}}}
-    one = {"web.yaml": workload("web", "acme/web:1", env=[("API_URL", "http://api-svc:80"), ("DB_HOST", use)]), "svc.yaml": service("api-svc", {"app": "api"}),
-           "api.yaml": workload("api", "acme/api:1"), "db.yaml": workload("db", "postgres:16"),
-           "cfg.yaml": {"apiVersion": "v1", "kind": "ConfigMap", "metadata": {"name": "cfg", "namespace": "prod"}, "data": {"DB_HOST": "db:5432"}}}
-    repo = {f"{p}/{name}": body for p in ("shop", "blog/x") for name, body in one.items()}
-    projects = spark.createDataFrame([("r", "shop"), ("r", "blog/x")], "repo string, root string")
-    graph = graph_of(sc.scan(files_of({"r": repo}), projects=projects))
+def test_projects_keep_apart(plain, declared):
+    """Ids, edges, aliases and config maps of a project are qualified together; undeclared, two trees are read as one."""
     want = set()
     for label in ("shop-prod", "blog-x-prod"):
         want |= {(f"container:@{label}/web", "calls", f"container:@{label}/api"), (f"container:@{label}/web", "persists_to", f"container:@{label}/db")}
-    assert arrows(graph) == want
-    assert {r.project for r in graph["nodes"]} == {"shop", "blog/x"}
-    # undeclared, the two are read as one
-    merged = graph_of(sc.scan(files_of({"r": repo})))
-    assert len([r for r in merged["nodes"] if r.kind == "service"]) == 2
-
-
-def test_resources_resolve_across_files(files_of, spark):
-    rows = [("r", "infra/a.tf", "aws_lambda_function", "fn", "resource", "aws_sqs_queue.jobs", "queue_url", 0, None, 1),
-            ("r", "infra/b.tf", "aws_sqs_queue", "jobs", "resource", None, None, 1, None, 1),
-            ("r", "infra/a.tf", "aws_iam_thing", "x", "resource", None, None, 0, None, 9)]
-    resources = spark.createDataFrame(rows, "repo string, path string, type string, name string, block string, ref_address string, "
-                                            "ref_attr string, has_count int, source string, line int")
-    graph = graph_of(sc.scan(files_of({"r": {"x.env": ""}}), resources))
+    assert arrows(declared["twins"]) == want
+    assert {r.project for r in declared["twins"]["nodes"]} == {"shop", "blog/x"}
+    assert len([r for r in plain["twins"]["nodes"] if r.kind == "service"]) == 2
+
+
+def test_resources_resolve_across_files(declared):
+    graph = declared["infra"]
     assert arrows(graph) == {("container:aws_lambda_function.fn", "publishes_to", "container:aws_sqs_queue.jobs")}
     assert "terraform_unexpanded" in codes(graph)
 
 
-def test_corrections_come_in_order(files_of, spark, cluster):
+def test_corrections_come_in_order(declared):
     """Components are folded first; rules then name what is left, and their notes and protocols become evidence."""
-    same = spark.createDataFrame([("r", 1, 0, "users.prod"), ("r", 1, 1, "orders")], sc.SAME)
-    rules = spark.createDataFrame([
-        ("r", 2, "add", "users", "pg", "persists_to", "mysql", "it does"), ("r", 3, "remove", "api-gateway", "api.stripe.com", "", None, ""),
-        ("r", 4, "add", "edge", "pg", "", "tcp", ""), ("r", 5, "add", "orders", "pg", "", None, "folded away"),
-        ("r", 6, "remove", "edge", "pg", "", None, ""), ("r", 7, "add", "api-gateway", "pg", "calls", "grpc", " why ")], sc.RULES)
-    graph = graph_of(sc.scan(files_of({"r": cluster_repo()}), rules=rules, same=same))
-    at = "container:@prod/"
+    graph, at = declared["r"], "container:@prod/"
     nodes = {r.id: r for r in graph["nodes"]}
     assert at + "orders" not in nodes and "context:api.stripe.com" not in nodes
     users = nodes[at + "users"]
@@ -181,27 +205,28 @@ def test_corrections_come_in_order(files_of, spark, cluster):
     known, new = edges[(users.id, "persists_to", at + "pg")], edges[(at + "api-gateway", "calls", at + "pg")]
     assert (known.protocol, known.conf_pct, new.protocol) == ("postgres", 100, "grpc")
     assert (users.id, "calls", users.id) not in edges and (at + "edge", "depends_on", at + "pg") not in edges
-    notes = {r.detail for r in graph["evidence"] if r.rule == "declared_override"}
-    assert notes == {"it does", "why"}
+    assert {r.detail for r in graph["evidence"] if r.rule == "declared_override"} == {"it does", "why"}
     assert ("override_unresolved", "rule 5: a component it names is not in the graph") in {(r.code, r.message) for r in graph["diagnostics"]}
 
 
-def test_own_jobs_and_messages(files_of):
-    """A further job, and a message of its own for a code."""
-    jobs = built_in()
-
-    def procfile(files):
-        from archgraph.sources.builtin import shaped
-        return {"diagnostics": shaped(files, "diagnostics", severity="info", code="procfile_seen", message="web")}
-
-    from pyspark.sql import functions as F
-    jobs.register("procfile", F.col("name") == "Procfile", procfile)
-    formatters = FORMATTERS | {"procfile_seen": counted("one process file", "{n} process files", listed=True)}
-    graph = graph_of(sc.scan(files_of({"r": {"Procfile": "x", "a/Procfile": "y"}}), jobs=jobs, formatters=formatters))
-    assert {(r.path, r.message) for r in graph["diagnostics"] if r.code == "procfile_seen"} == {
+def test_own_jobs_and_messages(declared):
+    assert {(r.path, r.message) for r in declared["infra"]["diagnostics"] if r.code == "procfile_seen"} == {
         ("Procfile", "one process file: web"), ("a/Procfile", "one process file: web")}
 
 
-def test_an_empty_repository(files_of):
-    graph = graph_of(sc.scan(files_of({"r": {"README.md": "hello"}})))
-    assert graph["nodes"] == [] and graph["edges"] == [] and graph["stats"][0].files_scanned == 1
+def test_donors_fill_gaps_in_order(spark):
+    """Per field and attribute the first donor that knows it; what is known stays, what describes the donor's own file too."""
+    layout = ("repo string, id string, tech struct<language:string,framework:string,runtime:string>, images array<string>, ports array<int>, "
+              "labels map<string,string>, directory string, build_context string, attrs map<string,string>")
+    nodes = spark.createDataFrame([
+        ("r", "z", ("go", "", ""), [], [], {}, None, None, {"version": "1"}),
+        ("r", "a", ("py", "", "k8s"), ["i"], [], {"l": "1"}, "d", "b", {"version": "2", "module": "m", "own": "x"}),
+        ("r", "b", ("", "flask", "vm"), [], [80], {}, "e", None, {"module": "n", "package": "p"})], layout)
+    merges = spark.createDataFrame([("r", "a", "z"), ("r", "b", "z")], "repo string, absorbed string, survivor string")
+    got = {r.id: r for r in merge.contribute_all(nodes, merges).collect()}
+    z = got["z"]
+    assert (tuple(z.tech), z.directory, z.ports, z.images, z.attrs) == (
+        ("go", "flask", "k8s"), "d", [80], [], {"version": "1", "module": "m", "package": "p"})
+    assert got["a"].attrs == {"version": "2", "module": "m", "own": "x"}
+    whole = {r.id: r for r in merge.contribute_all(nodes, merges, None).collect()}["z"]
+    assert (tuple(whole.tech), whole.images, whole.build_context, whole.attrs["own"], whole.labels) == (("go", "", ""), ["i"], "b", "x", {"l": "1"})
