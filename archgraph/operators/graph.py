@@ -149,53 +149,88 @@ def impact_summary(reach: DataFrame, nodes: DataFrame, starts: DataFrame, max_de
         "note": F.when(F.col("affected") == 0, "nothing reached").otherwise("")})
 
 
-def trace_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_depth: int = MAX_DEPTH) -> DataFrame:
+#: Partial routes grown for one pair before its search is given up as exhausted.
+ROUTE_BUDGET = 200_000
+_PAIR = ["repo", "start", "goal"]
+
+
+def trace_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 10, max_depth: int = MAX_DEPTH, budget: int = ROUTE_BUDGET) -> DataFrame:
     """Routes of each (repo, start, goal): nodes, legs (kind:protocol per edge),
-    hops, weakest_pct and the route's rank.
-
-    All simple routes of up to ``max_depth`` edges, shortest first, then by
-    strongest weakest link, then by node sequence; parallel edges of different
-    kinds are different routes. Routes grow one edge per round, only through
-    nodes that can still reach the goal in the remaining hops. Because length
-    ranks first, a pair is finished as soon as a round leaves it with
-    ``max_paths`` routes; longer ones could not be listed any more.
+    hops, weakest_pct, the route's rank, and the pair's total and exhausted.
+
+    The first ``max_paths`` simple routes of up to ``max_depth`` edges, shortest
+    first, then by strongest weakest link, then by node sequence; parallel edges
+    of different kinds are different routes. ``total`` counts all of them, also
+    those not listed; where ``exhausted`` it is what was found before the
+    pair's budget ended the search. ``trace_totals`` tells the totals of all
+    pairs, also of those without a route.
+    """
+    listed, totals = _trace(edges, pairs, max_paths, max_depth, budget)
+    return listed.join(totals, _PAIR)
+
+
+def trace_totals(edges: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH, budget: int = ROUTE_BUDGET) -> DataFrame:
+    """(repo, start, goal, total, exhausted) of every pair."""
+    return _trace(edges, pairs, 1, max_depth, budget)[1]
+
+
+def _trace(edges: DataFrame, pairs: DataFrame, max_paths: int, max_depth: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Routes grow by one edge per round, for all pairs at once, only through
+    nodes that can still reach the goal in the remaining hops.
+
+    Before a round, the rows it would make are counted per pair from the number
+    of ways on from each open end; a pair that would go over its budget is
+    closed, so no round holds more than pairs x budget rows. Of the routes that
+    arrive, a pair keeps as many as it may still list and a count of the rest.
     """
-    rel = durable(relationships(edges).select("repo", "src", "dst", "kind", "protocol", "conf_pct"), "routes")
-    pairs = pairs.where("start <> goal").distinct()
+    pairs = durable(pairs.where("start <> goal").select(*_PAIR).distinct(), "pairs")
     goals = pairs.select("repo", F.col("goal").alias("start")).distinct()
     back = impact_of(edges, goals, dependents=True, max_depth=max_depth).select(
-        "repo", F.col("start").alias("goal"), F.col("id").alias("node"), F.col("depth").alias("to_go"))
-    back = durable(back.unionByName(goals.select("repo", F.col("start").alias("goal"), F.col("start").alias("node"),
-                                                 F.lit(0).alias("to_go"))), "to_go")
-    open_ = pairs.select(
-        "repo", "start", "goal", F.col("start").alias("at"), F.array("start").alias("nodes"),
-        F.array().cast("array<string>").alias("legs"), F.lit(100).alias("weakest_pct"))
-    found: list[DataFrame] = []
+        "repo", F.col("start").alias("goal"), F.col("id").alias("dst"), F.col("depth").alias("to_go"))
+    back = back.unionByName(goals.select("repo", F.col("start").alias("goal"), F.col("start").alias("dst"), F.lit(0).alias("to_go")))
+    leg = F.concat_ws(":", "kind", F.coalesce("protocol", F.lit(""))).alias("leg")
+    ways = durable(relationships(edges).select("repo", F.col("src").alias("at"), "dst", leg, "conf_pct").join(back, ["repo", "dst"])
+                   .where("at <> goal"), "ways")
+    widths = durable(ways.groupBy("repo", "goal", "at", "to_go").agg(F.count("*").alias("ways")), "widths")
+    open_ = pairs.select(*_PAIR, F.col("start").alias("at"), F.array("start").alias("nodes"),
+                         F.array().cast("array<string>").alias("legs"), F.lit(100).alias("weakest_pct"))
+    # per pair: rows grown, routes found, whether the budget ended the search
+    state = pairs.select(*_PAIR, F.lit(0).cast("bigint").alias("grown"), F.lit(0).cast("bigint").alias("total"), F.lit(False).alias("exhausted"))
+    found: DataFrame | None = None
     for depth in range(1, max_depth + 1):
+        left = max_depth - depth
+        reach = widths.where(F.col("to_go") <= left).groupBy("repo", "goal", "at").agg(F.sum("ways").alias("ways"))
+        ends = open_.groupBy(*_PAIR, "at").agg(F.count("*").alias("n"))
+        due = ends.join(reach, ["repo", "goal", "at"]).groupBy(*_PAIR).agg(F.sum(F.col("n") * F.col("ways")).alias("due"))
+        spent = F.col("grown") + F.coalesce("due", F.lit(0))
+        state = durable(state.join(due, _PAIR, "left").select(
+            *_PAIR, F.when(spent <= budget, spent).otherwise(F.col("grown")).alias("grown"), "total",
+            (F.col("exhausted") | (spent > budget)).alias("exhausted")), "pairs")
+        on = state.where("NOT exhausted").select(*_PAIR, "total")
         grown = (
-            open_.join(rel.withColumnRenamed("src", "at"), ["repo", "at"])
-            .where(~F.array_contains("nodes", F.col("dst")))
-            .join(back.withColumnRenamed("node", "dst"), ["repo", "goal", "dst"])
-            .where(F.col("to_go") <= max_depth - depth)
-            .select("repo", "start", "goal", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"),
-                    F.concat("legs", F.array(F.concat_ws(":", "kind", F.coalesce("protocol", F.lit(""))))).alias("legs"),
-                    F.least("weakest_pct", "conf_pct").alias("weakest_pct")))
+            open_.join(on.drop("total"), _PAIR, "left_semi").join(ways, ["repo", "goal", "at"])
+            .where((F.col("to_go") <= left) & ~F.array_contains("nodes", F.col("dst")))
+            .select(*_PAIR, F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"),
+                    F.concat("legs", F.array("leg")).alias("legs"), F.least("weakest_pct", "conf_pct").alias("weakest_pct")))
         grown = durable(grown, "grown")
         done = grown.where("at = goal")
-        found.append(done.select("repo", "start", "goal", "nodes", "legs", F.lit(depth).alias("hops"), "weakest_pct"))
-        so_far = found[0]
-        for f in found[1:]:
-            so_far = so_far.unionByName(f)
-        full = so_far.groupBy("repo", "start", "goal").agg(F.count("*").alias("n")).where(F.col("n") >= max_paths)
-        open_ = grown.where("at <> goal").join(full, ["repo", "start", "goal"], "left_anti")
+        arrived = done.groupBy(*_PAIR).agg(F.count("*").alias("n"))
+        wanted = done.join(on.where(F.col("total") < max_paths).select(*_PAIR), _PAIR, "left_semi").select(
+            *_PAIR, "nodes", "legs", F.lit(depth).alias("hops"), "weakest_pct")
+        kept = durable(_best_routes(wanted, max_paths).drop("route"), "routes")
+        found = kept if found is None else found.unionByName(kept)
+        state = state.join(arrived, _PAIR, "left").withColumn("total", F.col("total") + F.coalesce("n", F.lit(0))).drop("n")
+        open_ = grown.where("at <> goal")
         if depth < max_depth and is_empty(open_):
             break
+    return _best_routes(found, max_paths), durable(state.select(*_PAIR, "total", "exhausted"), "pairs")
+
+
+def _best_routes(routes: DataFrame, k: int) -> DataFrame:
     from archgraph.operators.ranking import top_per_group
 
-    best = top_per_group(
-        so_far, ["repo", "start", "goal"],
-        [F.col("hops"), F.desc("weakest_pct"), F.array_join("nodes", "\x00"), F.array_join("legs", "\x00")], max_paths)
-    return best.withColumnRenamed("rank", "route")
+    order = [F.col("hops"), F.desc("weakest_pct"), F.array_join("nodes", "\x00"), F.array_join("legs", "\x00")]
+    return top_per_group(routes, _PAIR, order, k).withColumnRenamed("rank", "route")
 
 
 def weakest_link(confidences: Column) -> Column:

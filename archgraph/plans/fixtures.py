@@ -140,6 +140,10 @@ SELECT 'b', 'container:@ns-' || (s_suppkey % 5) || '/svc-' || s_suppkey,
          || cast(floor(s_suppkey / 2) as bigint), 'calls', 'grpc', 80, 'dns_exact',
        'deploy/b/svc-' || s_suppkey || '.yaml', 3, 'chain', 'k8s'
 FROM {supplier} WHERE s_suppkey > 0
+UNION ALL
+SELECT 'a', 'container:services/svc-' || s_suppkey, 'container:@ns-' || (s_suppkey % 5) || '/svc-' || s_suppkey, 'depends_on', NULL, 40,
+       'image_basename', 'services/svc-' || s_suppkey || '/package.json', 1, 'code of ' || s_suppkey, 'manifest'
+FROM {supplier} WHERE s_suppkey % 4 = 1
 """
 
 # One environment row per order.

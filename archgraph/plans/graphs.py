@@ -417,8 +417,8 @@ def impact_summary(t):
 
 
 M["dk_pairs"] = """
-    SELECT DISTINCT x.repo, a.id AS start, b.id AS goal FROM {fx_expected} x JOIN {fx_nodes} a ON a.repo = x.repo AND a.name = x.src_name AND a.image IS NOT NULL
-    JOIN {fx_nodes} b ON b.repo = x.repo AND b.name = x.dst_name AND b.image IS NOT NULL WHERE x.mode = 'expected'"""
+    SELECT DISTINCT x.repo, a.id AS start, b.id AS goal FROM {fx_expected} x JOIN {fx_nodes} a ON a.repo = x.repo AND a.name = x.src_name
+    JOIN {fx_nodes} b ON b.repo = x.repo AND b.name = x.dst_name WHERE x.mode = 'expected'"""
 M["dk_paths"] = """
     SELECT repo, start, goal, start AS cur, [start] AS nodes, []::VARCHAR[] AS legs, 100 AS w FROM {dk_pairs}
     UNION ALL SELECT p.repo, p.start, p.goal, e.dst, list_append(p.nodes, e.dst), list_append(p.legs, e.kind || ':' || e.protocol), least(p.w, e.conf_pct)
@@ -427,16 +427,27 @@ M["dk_paths"] = """
 
 
 @query("trace_path", """
-    SELECT repo, start, goal, array_to_string(nodes, ' > ') AS nodes, array_to_string(legs, ' > ') AS legs, len(legs)::INTEGER AS hops, w AS weakest_pct, rn::INTEGER AS route
-    FROM (SELECT *, row_number() OVER (PARTITION BY repo, start, goal ORDER BY len(legs), w DESC, array_to_string(nodes, chr(0)), array_to_string(legs, chr(0))) AS rn
+    SELECT repo, start, goal, array_to_string(nodes, ' > ') AS nodes, array_to_string(legs, ' > ') AS legs, len(legs)::INTEGER AS hops, w AS weakest_pct, rn::INTEGER AS route, total, false AS exhausted
+    FROM (SELECT *, count(*) OVER (PARTITION BY repo, start, goal) AS total, row_number() OVER (PARTITION BY repo, start, goal ORDER BY len(legs), w DESC, array_to_string(nodes, chr(0)), array_to_string(legs, chr(0))) AS rn
           FROM {dk_paths} WHERE cur = goal) WHERE rn <= 10""", M)
 def trace_path(t):
-    x = t.fx_expected.where("mode = 'expected'")
-    n = typed(t).where(F.size("images") > 0)
-    pairs = x.join(n.select("repo", F.col("name").alias("src_name"), F.col("id").alias("start")), ["repo", "src_name"]).join(
+    return g.trace_paths(merged(t), _wanted_routes(t)).select(
+        "repo", "start", "goal", F.array_join("nodes", " > ").alias("nodes"), F.array_join("legs", " > ").alias("legs"), "hops", "weakest_pct", "route",
+        "total", "exhausted")
+
+
+def _wanted_routes(t):
+    """Every component that has the name, with an image or without."""
+    x, n = t.fx_expected.where("mode = 'expected'"), typed(t)
+    return x.join(n.select("repo", F.col("name").alias("src_name"), F.col("id").alias("start")), ["repo", "src_name"]).join(
         n.select("repo", F.col("name").alias("dst_name"), F.col("id").alias("goal")), ["repo", "dst_name"]).select("repo", "start", "goal")
-    return g.trace_paths(merged(t), pairs).select(
-        "repo", "start", "goal", F.array_join("nodes", " > ").alias("nodes"), F.array_join("legs", " > ").alias("legs"), "hops", "weakest_pct", "route")
+
+
+@query("trace_totals", """
+    SELECT p.repo, p.start, p.goal, count(x.cur) AS total, false AS exhausted FROM {dk_pairs} p
+    LEFT JOIN (SELECT * FROM {dk_paths} WHERE cur = goal) x ON x.repo = p.repo AND x.start = p.start AND x.goal = p.goal WHERE p.start <> p.goal GROUP BY ALL""", M)
+def trace_totals(t):
+    return g.trace_totals(merged(t), _wanted_routes(t))
 
 
 @query("weakest_link", """

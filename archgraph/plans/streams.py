@@ -56,20 +56,59 @@ def refresh_affected(t):
     def summary(files):
         return files.groupBy("repo").agg(F.count("*").alias("n_files"), F.sum(F.length("content")).alias("n_chars"))
 
-    def refresh(batch, _number):
+    def refresh(batch, number):
         spark = batch.sparkSession
-        fd.refresh_affected(batch, fd.latest_file_state(spark, where), summary, target)
+        fd.refresh_affected(batch, fd.latest_file_state(spark, where, repos=batch), summary, target, number)
 
     _finish(fd.start_latest_file_state(_feed(t), where, _place(t, "ckpt"), after=refresh))
-    return t.spark.read.parquet(target).select(F.col("repo").cast("string").alias("repo"), "n_files", "n_chars")
+    return fd.read_refreshed(t.spark, target, "repo string, n_files long, n_chars long")
 
 
-@query("drift_stream", """
+@query("change_counts", """
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, repo, count(*) AS changes, count(*) FILTER (deleted) AS deletions FROM {fx_changes} GROUP BY ALL""")
+def change_counts(t):
+    where = _place(t, "counts")
+    _finish(fd.start_count_stream(_feed(t), where, _place(t, "ckpt")))
+    return fd.change_counts(t.spark, where).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "repo", "changes", "deletions")
+
+
+def _file_edges(files):
+    """What a file of the feed says: its service calls one of five stores, more or less surely."""
+    k = F.get_json_object("content", "$.k").cast("int")
+    return files.where("NOT deleted").select(
+        "repo", F.concat(F.lit("container:"), F.regexp_replace("path", "[.]yaml$", "")).alias("src"), F.concat(F.lit("container:db-"), (k % 5).cast("string")).alias("dst"),
+        k.alias("conf_pct"))
+
+
+@query("drift_stream", """
+    WITH days AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM {fx_changes}),
+    newest AS (SELECT d.day, c.repo, c.path, arg_max(c.deleted, (c.ts, c.event_id)) AS deleted, arg_max(c.content, (c.ts, c.event_id)) AS content
+               FROM days d JOIN {fx_changes} c ON date_trunc('day', c.ts) <= d.day GROUP BY ALL),
+    edges AS (SELECT day, repo, path, json_extract_string(content, '$.k')::INTEGER % 5 AS dst, json_extract_string(content, '$.k')::INTEGER AS pct FROM newest WHERE NOT deleted),
+    next AS (SELECT day, lead(day) OVER (ORDER BY day) AS after FROM days),
+    seen AS (SELECT day, repo, path, dst, pct, NULL::INTEGER AS was FROM edges
+             UNION ALL SELECT n.after, repo, path, dst, NULL, pct FROM edges JOIN next n USING (day) WHERE n.after IS NOT NULL),
+    diff AS (SELECT day, repo, max(pct) AS pct, max(was) AS was FROM seen GROUP BY day, repo, path, dst)
+    SELECT strftime(day, '%Y-%m-%d') AS day, repo, count(*) FILTER (was IS NULL) AS added, count(*) FILTER (pct IS NULL) AS removed, count(*) FILTER (pct <> was) AS changed
+    FROM diff GROUP BY day, repo HAVING count(*) FILTER (was IS NULL OR pct IS NULL OR pct <> was) > 0""")
 def drift_stream(t):
     where = _place(t, "drift")
-    _finish(fd.start_drift_stream(_feed(t), where, _place(t, "ckpt")))
-    return fd.drift(t.spark, where).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "repo", "changes", "deletions")
+    _finish(fd.start_drift_stream(_days(t), where, _place(t, "ckpt"), _file_edges, ["src", "dst"], ["conf_pct"]))
+    return fd.drift(t.spark, where).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "repo", "added", "removed", "changed")
+
+
+def _days(t):
+    """The feed in three files, one after the other in event time, ended by one
+    event of a month later that closes all windows before it."""
+    src = _place(t, "feed")
+    changes = t.fx_changes.withColumn("ts", F.col("ts").cast("timestamp")).select(*[f.name for f in fd.FEED.fields])
+    third = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    last = changes.agg(F.max("ts").alias("ts")).select(
+        F.lit("end").alias("repo"), F.lit("end").alias("path"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(-1).cast("long").alias("event_id"),
+        F.lit(True).alias("deleted"), F.lit("").alias("content"))
+    for part in [*(changes.where(third == i) for i in range(3)), last]:
+        part.coalesce(1).write.mode("append").parquet(src)
+    return fd.read_feed(t.spark, src, files_per_batch=1)
 
 
 @query("staleness", """

@@ -1,16 +1,18 @@
 """Change feed of files: latest state, affected repositories, drift.
 
-Each micro-batch writes one partition of a log (``batch=N``), reduced to one
-row per key first. Reading takes the newest row per key over the log, so a
-batch that is retried after a failure replaces its own partition and nothing is
-counted twice; ``compact`` folds old partitions into one.
+The state is a keyed table in buckets by repository, each cut into slices by
+path. A micro-batch reads the buckets and slices it touches, merges its newest
+rows and writes new versions of just those; a commit names them. Readers take
+the newest committed version of each, so they never aggregate history, a batch
+that is retried after a failure writes the same versions again, and ``vacuum``
+deletes what no reader needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -37,6 +39,60 @@ def _log(df: DataFrame, location: str, batch: int) -> None:
         "batch").parquet(location)
 
 
+#: Buckets by repository, and slices of each by path: a repository of any share of the files is as many slices.
+BUCKETS, SLICES = 64, 8
+_STATE = T.StructType([*FEED.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType()),
+                       T.StructField("slice", T.IntegerType())])
+_COMMIT = "bucket int, slice int, batch long"
+
+
+def bucket_of(repo: Column) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"bucket": bucket_of(F.col("repo")), "slice": F.pmod(F.xxhash64("path"), F.lit(SLICES)).cast("int")})
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def versions(spark: SparkSession, location: str, before: int | None = None) -> dict[tuple[int, int], int]:
+    """Newest committed batch per (bucket, slice); at most BUCKETS x SLICES entries."""
+    if not _exists(spark, f"{location}/commits"):
+        return {}
+    commits = spark.read.schema(_COMMIT).parquet(f"{location}/commits")
+    if before is not None:
+        commits = commits.where(F.col("batch") < before)
+    return {(r.bucket, r.slice): r.batch for r in commits.groupBy("bucket", "slice").agg(F.max("batch").alias("batch")).collect()}
+
+
+def read_state(spark: SparkSession, location: str, known: dict[tuple[int, int], int]) -> DataFrame:
+    """The rows of the given versions, and of no other files."""
+    root = f"{location}/state"
+    places = [f"{root}/batch={batch}/bucket={b}/slice={s}" for (b, s), batch in sorted(known.items())]
+    if not places:
+        return spark.createDataFrame([], _STATE)
+    return spark.read.schema(_STATE).option("basePath", root).parquet(*places)
+
+
+def merge_batch(batch: DataFrame, number: int, location: str) -> None:
+    """Fold a batch into the state: only what it touches is read and written again."""
+    spark = batch.sparkSession
+    fresh = durable(_placed(_newest(batch)), "batch")
+    touched = {(r.bucket, r.slice) for r in fresh.select("bucket", "slice").distinct().collect()}
+    if not touched:
+        return
+    known = {k: v for k, v in versions(spark, location, before=number).items() if k in touched}
+    old = read_state(spark, location, known).drop("batch")
+    merged = _placed(_newest(old.unionByName(fresh).select(*[f.name for f in FEED.fields])))
+    merged.write.mode("overwrite").partitionBy("bucket", "slice").parquet(f"{location}/state/batch={number}")
+    commit = spark.createDataFrame([(b, s) for b, s in sorted(touched)], "bucket int, slice int").coalesce(1)
+    _log(commit, f"{location}/commits", number)
+
+
 def start_latest_file_state(feed: DataFrame, location: str, checkpoint: str,
                             after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep the newest version of every file; ``after`` sees each batch too."""
@@ -44,7 +100,7 @@ def start_latest_file_state(feed: DataFrame, location: str, checkpoint: str,
     def upsert(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            _log(_newest(batch), location, number)
+            merge_batch(batch, number, location)
             if after is not None:
                 after(batch, number)
         finally:
@@ -54,33 +110,63 @@ def start_latest_file_state(feed: DataFrame, location: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def latest_file_state(spark: SparkSession, location: str, with_deleted: bool = False) -> DataFrame:
-    state = _newest(spark.read.parquet(location))
+def latest_file_state(spark: SparkSession, location: str, with_deleted: bool = False, repos: DataFrame | None = None) -> DataFrame:
+    """Newest version per file, of all repositories or of those named: then only their buckets are read."""
+    known = versions(spark, location)
+    if repos is not None:
+        wanted = {r.bucket for r in repos.select(bucket_of(F.col("repo")).alias("bucket")).distinct().collect()}
+        known = {k: v for k, v in known.items() if k[0] in wanted}
+    state = read_state(spark, location, known).select(*[f.name for f in FEED.fields])
+    if repos is not None:
+        state = state.join(repos.select("repo").distinct(), "repo", "left_semi")
     return state if with_deleted else state.where("NOT deleted")
 
 
-def compact(spark: SparkSession, location: str, target: str, below: int) -> None:
-    """Write the log again with all batches under ``below`` as one."""
-    log = spark.read.parquet(location)
-    old = _newest(log.where(F.col("batch") < below)).withColumn("batch", F.lit(below - 1))
-    old.unionByName(log.where(F.col("batch") >= below)).write.mode("overwrite").partitionBy("batch").parquet(target)
+def vacuum(spark: SparkSession, location: str) -> int:
+    """Delete versions that a newer commit replaces; returns how many. Not to be run beside a reader of an older version."""
+    known = versions(spark, location)
+    written = spark.read.schema(_COMMIT).parquet(f"{location}/commits").distinct().toLocalIterator()
+    gone = 0
+    for r in written:
+        if known[r.bucket, r.slice] != r.batch:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/state/batch={r.batch}/bucket={r.bucket}/slice={r.slice}")
+            gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
 
 
-def refresh_affected(changed: DataFrame, state: DataFrame, resolve: Callable[[DataFrame], DataFrame], target: str) -> None:
+def refresh_affected(changed: DataFrame, state: DataFrame, resolve: Callable[[DataFrame], DataFrame], target: str, number: int = 0) -> None:
     """Recompute the repositories a batch touched, all others stay as they are.
+
     ``resolve`` turns the touched repositories' files into a table with
-    ``repo``, which replaces just those partitions; a repository that has
-    nothing left loses its partition."""
-    repos = changed.select("repo").distinct()
-    fresh = durable(resolve(state.join(repos, "repo", "left_semi")), "refreshed")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(target)
+    ``repo``. The results are a new version of the buckets those repositories
+    are in, beside the rows of the buckets' other repositories, so that a
+    repository that has nothing left simply has no rows; ``read_refreshed``
+    reads the newest versions."""
     spark = changed.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    # one name at a time: a batch may empty any number of repositories
-    for row in repos.join(fresh.select("repo").distinct(), "repo", "left_anti").toLocalIterator():
-        place = jvm.org.apache.hadoop.fs.Path(f"{target}/repo={escape(row.repo)}")
-        place.getFileSystem(conf).delete(place, True)
+    repos = durable(changed.select("repo").distinct().withColumn("bucket", bucket_of(F.col("repo"))), "repos")
+    touched = [r.bucket for r in repos.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    fresh = resolve(state.join(repos.select("repo"), "repo", "left_semi")).withColumn("bucket", bucket_of(F.col("repo")))
+    known = {b: v for (b, _), v in versions(spark, target, before=number).items() if b in touched}
+    if known:
+        others = _refreshed(spark, target, known, fresh.schema).join(repos.select("repo"), "repo", "left_anti")
+        fresh = fresh.unionByName(others)
+    fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/state/batch={number}")
+    _log(spark.createDataFrame([(b, 0) for b in sorted(touched)], "bucket int, slice int").coalesce(1), f"{target}/commits", number)
+
+
+def _refreshed(spark: SparkSession, target: str, known: dict[int, int], schema: T.StructType) -> DataFrame:
+    places = [f"{target}/state/batch={v}/bucket={b}" for b, v in sorted(known.items()) if _exists(spark, f"{target}/state/batch={v}/bucket={b}")]
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{target}/state").parquet(*places).select(*[f.name for f in schema.fields])
+
+
+def read_refreshed(spark: SparkSession, target: str, layout: str) -> DataFrame:
+    """What ``refresh_affected`` keeps; ``layout`` names the columns of the resolved table."""
+    schema = T.StructType.fromDDL(layout + ", bucket int")
+    return _refreshed(spark, target, {b: v for (b, _), v in versions(spark, target).items()}, schema).drop("bucket")
 
 
 def drift_counts(changes: DataFrame, width: str = "1 day") -> DataFrame:
@@ -90,7 +176,7 @@ def drift_counts(changes: DataFrame, width: str = "1 day") -> DataFrame:
             .select(F.col("window.start").alias("window_start"), "repo", "changes", "deletions"))
 
 
-def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
+def start_count_stream(feed: DataFrame, location: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
     """Log each batch's counts under the batch's number. Counts add up, so no
     state is kept between batches, a change counts however late it comes, and a
     batch that is retried replaces its own counts."""
@@ -102,12 +188,77 @@ def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, width: s
             .trigger(availableNow=True).start())
 
 
-def drift(spark: SparkSession, location: str) -> DataFrame:
+def change_counts(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location).groupBy("window_start", "repo").agg(
         F.sum("changes").alias("changes"), F.sum("deletions").alias("deletions"))
 
 
+# ------------------------------------------------------------------------ drift
+#: A closed window's newest version of a file.
+_WINDOWED = [f.name for f in FEED.fields]
+
+
+def closed_windows(feed: DataFrame, width: str, lateness: str) -> DataFrame:
+    """The newest version per file and window, once the watermark has passed the window: redelivered and repeated
+    events fold into it, later ones are too late. The state holds open windows only."""
+    unique = unique_deliveries(feed, lateness)
+    newest = F.max_by(F.struct("ts", "event_id", "deleted", "content"), F.struct("ts", "event_id")).alias("v")
+    return unique.groupBy(F.window("ts", width).alias("w"), "repo", "path").agg(newest).select(
+        F.col("w.start").alias("window_start"), "repo", "path", "v.*")
+
+
+def edge_changes(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Per repo: how many edges were added, removed and changed between two tables of edges."""
+    from archgraph.operators.overrides import snapshot_diff
+
+    diff = snapshot_diff(old, new, ["repo", *key], columns)
+    count = lambda what: F.count_if(F.col("change") == what).alias(what)
+    return diff.groupBy("repo").agg(count("added"), count("removed"), count("changed"))
+
+
+def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame], key: list[str],
+                       columns: list[str], width: str = "1 day", lateness: str = "1 day") -> StreamingQuery:
+    """Compare what each closed window made of the graph with the graph before it.
+
+    ``resolve`` turns files into edges. Windows are taken in order: their newest
+    file versions go into the keyed state, the touched repositories' edges are
+    worked out again, held against the previous ones, counted under the window
+    (``drift``), and become the next window's previous edges. A window that is
+    retried reads the versions before it, so it counts the same again.
+    """
+
+    def compare(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = durable(batch, "windows")
+        # closed windows of one trigger: as many as its time span has
+        for (start,) in sorted(tuple(r) for r in rows.select("window_start").distinct().collect()):
+            number = int(start.timestamp())
+            here = rows.where(F.col("window_start") == F.lit(start)).select(*_WINDOWED)
+            repos = durable(here.select("repo").distinct(), "repos")
+            old = durable(_edges_before(spark, f"{location}/edges", repos, resolve, number), "before")
+            merge_batch(here, number, f"{location}/files")
+            refresh_affected(here, latest_file_state(spark, f"{location}/files", repos=repos), resolve, f"{location}/edges", number)
+            new = _edges_before(spark, f"{location}/edges", repos, resolve, number + 1)
+            counts = edge_changes(old, new, key, columns).withColumn("window_start", F.lit(start))
+            _log(counts, f"{location}/drift", number)
+
+    return (closed_windows(feed, width, lateness).writeStream.outputMode("append").foreachBatch(compare)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def _edges_before(spark: SparkSession, target: str, repos: DataFrame, resolve: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
+    schema = resolve(spark.createDataFrame([], FEED)).schema.add(T.StructField("bucket", T.IntegerType()))
+    wanted = {r.bucket for r in repos.select(bucket_of(F.col("repo")).alias("bucket")).distinct().collect()}
+    known = {b: v for (b, _), v in versions(spark, target, before=number).items() if b in wanted}
+    return _refreshed(spark, target, known, schema).drop("bucket").join(repos, "repo", "left_semi")
+
+
+def drift(spark: SparkSession, location: str) -> DataFrame:
+    """(window_start, repo, added, removed, changed) of the windows closed so far; repositories without a change have no row."""
+    return spark.read.parquet(f"{location}/drift").drop("batch")
+
+
 def unique_deliveries(feed: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Drop redelivered events within the watermark, for append-mode sinks.
-    ``latest_file_state`` is idempotent and does not need it."""
+    """Drop redelivered events within the watermark. ``latest_file_state`` is
+    idempotent and does not need it."""
     return feed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
