@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -110,9 +110,11 @@ def start_latest_file_state(feed: DataFrame, location: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def latest_file_state(spark: SparkSession, location: str, with_deleted: bool = False, repos: DataFrame | None = None) -> DataFrame:
-    """Newest version per file, of all repositories or of those named: then only their buckets are read."""
-    known = versions(spark, location)
+def latest_file_state(spark: SparkSession, location: str, with_deleted: bool = False, repos: DataFrame | None = None,
+                      before: int | None = None) -> DataFrame:
+    """Newest version per file, of all repositories or of those named: then only
+    their buckets are read. ``before``: as it was before that batch."""
+    known = versions(spark, location, before)
     if repos is not None:
         wanted = {r.bucket for r in repos.select(bucket_of(F.col("repo")).alias("bucket")).distinct().collect()}
         known = {k: v for k, v in known.items() if k[0] in wanted}
@@ -136,18 +138,22 @@ def vacuum(spark: SparkSession, location: str) -> int:
 
 def refresh_affected(changed: DataFrame, state: DataFrame, resolve: Callable[[DataFrame], DataFrame], target: str, number: int = 0) -> None:
     """Recompute the repositories a batch touched, all others stay as they are.
-
     ``resolve`` turns the touched repositories' files into a table with
-    ``repo``. The results are a new version of the buckets those repositories
-    are in, beside the rows of the buckets' other repositories, so that a
-    repository that has nothing left simply has no rows; ``read_refreshed``
-    reads the newest versions."""
-    spark = changed.sparkSession
-    repos = durable(changed.select("repo").distinct().withColumn("bucket", bucket_of(F.col("repo"))), "repos")
+    ``repo``; ``read_refreshed`` reads what is kept."""
+    repos = changed.select("repo").distinct()
+    store_affected(resolve(state.join(repos, "repo", "left_semi")), repos, target, number)
+
+
+def store_affected(fresh: DataFrame, repos: DataFrame, target: str, number: int) -> None:
+    """Put new rows in the place of all rows of ``repos``: as new versions of
+    the buckets those are in, beside the rows of the buckets' other
+    repositories. A repository that has nothing left has no rows."""
+    spark = repos.sparkSession
+    repos = durable(repos.select("repo", bucket_of(F.col("repo")).alias("bucket")).distinct(), "repos")
     touched = [r.bucket for r in repos.select("bucket").distinct().collect()]
     if not touched:
         return
-    fresh = resolve(state.join(repos.select("repo"), "repo", "left_semi")).withColumn("bucket", bucket_of(F.col("repo")))
+    fresh = fresh.withColumn("bucket", bucket_of(F.col("repo")))
     known = {b: v for (b, _), v in versions(spark, target, before=number).items() if b in touched}
     if known:
         others = _refreshed(spark, target, known, fresh.schema).join(repos.select("repo"), "repo", "left_anti")
@@ -207,47 +213,65 @@ def closed_windows(feed: DataFrame, width: str, lateness: str) -> DataFrame:
         F.col("w.start").alias("window_start"), "repo", "path", "v.*")
 
 
-def edge_changes(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Per repo: how many edges were added, removed and changed between two tables of edges."""
+def window_drift(rows: DataFrame, base: DataFrame, before: DataFrame, resolve: Callable[[DataFrame], DataFrame], key: list[str],
+                 columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(counts, edges): what each closed window did to the edges of the repositories it touched, and their edges at the end.
+
+    ``rows``: newest file versions per window; ``base`` and ``before``: files and
+    edges as they were. Every (repository, window) is resolved as if it were a
+    repository of its own, all in one pass, and held against the one before it.
+    """
     from archgraph.operators.overrides import snapshot_diff
 
-    diff = snapshot_diff(old, new, ["repo", *key], columns)
+    w = Window.partitionBy("repo").orderBy("window_start")  # a row per window of a trigger
+    steps = durable(rows.select("repo", "window_start").distinct().withColumn("step", F.row_number().over(w)), "steps")
+    known = rows.withColumn("since", F.col("window_start")).drop("window_start").unionByName(
+        base.withColumn("since", F.lit(None).cast("timestamp")))
+    seen = steps.join(known, "repo").where("since IS NULL OR since <= window_start")
+    tag = F.concat_ws("\x00", "repo", F.col("step").cast("string"))
+    files = _newest(seen.withColumn("repo", tag))
+    parts = F.split("repo", "\x00")
+    edges = resolve(files.where("NOT deleted").select(*_WINDOWED)).withColumns({
+        "step": F.get(parts, F.lit(1)).cast("int"), "repo": F.get(parts, F.lit(0))})
+    edges = durable(edges, "edges")
+    previous = before.withColumn("step", F.lit(0)).unionByName(edges).withColumn("step", F.col("step") + 1)
+    diff = snapshot_diff(previous.join(steps.select("repo", "step"), ["repo", "step"], "left_semi"), edges, ["repo", "step", *key], columns)
     count = lambda what: F.count_if(F.col("change") == what).alias(what)
-    return diff.groupBy("repo").agg(count("added"), count("removed"), count("changed"))
+    counts = diff.join(steps, ["repo", "step"]).groupBy("window_start", "repo").agg(count("added"), count("removed"), count("changed"))
+    last = steps.groupBy("repo").agg(F.max("step").alias("step"))
+    return counts, edges.join(last, ["repo", "step"], "left_semi").drop("step")
 
 
 def start_drift_stream(feed: DataFrame, location: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame], key: list[str],
                        columns: list[str], width: str = "1 day", lateness: str = "1 day") -> StreamingQuery:
     """Compare what each closed window made of the graph with the graph before it.
 
-    ``resolve`` turns files into edges. Windows are taken in order: their newest
-    file versions go into the keyed state, the touched repositories' edges are
-    worked out again, held against the previous ones, counted under the window
-    (``drift``), and become the next window's previous edges. A window that is
-    retried reads the versions before it, so it counts the same again.
+    ``resolve`` turns files into edges. Per trigger, the windows that closed are
+    worked out together (``window_drift``) and counted; then their newest file
+    versions go into the keyed state, and the last edges of the repositories
+    touched become the previous ones. A trigger that is retried reads the
+    versions before it, so it counts the same again. ``drift`` reads the counts.
     """
 
-    def compare(batch: DataFrame, _: int) -> None:
+    def compare(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = durable(batch, "windows")
-        # closed windows of one trigger: as many as its time span has
-        for (start,) in sorted(tuple(r) for r in rows.select("window_start").distinct().collect()):
-            number = int(start.timestamp())
-            here = rows.where(F.col("window_start") == F.lit(start)).select(*_WINDOWED)
-            repos = durable(here.select("repo").distinct(), "repos")
-            old = durable(_edges_before(spark, f"{location}/edges", repos, resolve, number), "before")
-            merge_batch(here, number, f"{location}/files")
-            refresh_affected(here, latest_file_state(spark, f"{location}/files", repos=repos), resolve, f"{location}/edges", number)
-            new = _edges_before(spark, f"{location}/edges", repos, resolve, number + 1)
-            counts = edge_changes(old, new, key, columns).withColumn("window_start", F.lit(start))
-            _log(counts, f"{location}/drift", number)
+        if rows.isEmpty():
+            return
+        repos = durable(rows.select("repo").distinct(), "repos")
+        base = latest_file_state(spark, f"{location}/files", with_deleted=True, repos=repos, before=number)
+        before = _edges_before(spark, f"{location}/edges", repos, resolve, number)
+        counts, edges = window_drift(rows, base, before, resolve, key, columns)
+        _log(counts, f"{location}/drift", number)
+        store_affected(edges, repos, f"{location}/edges", number)
+        merge_batch(rows.select(*_WINDOWED), number, f"{location}/files")
 
     return (closed_windows(feed, width, lateness).writeStream.outputMode("append").foreachBatch(compare)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def _edges_before(spark: SparkSession, target: str, repos: DataFrame, resolve: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
-    schema = resolve(spark.createDataFrame([], FEED)).schema.add(T.StructField("bucket", T.IntegerType()))
+    schema = T.StructType([*resolve(spark.createDataFrame([], FEED)).schema.fields, T.StructField("bucket", T.IntegerType())])
     wanted = {r.bucket for r in repos.select(bucket_of(F.col("repo")).alias("bucket")).distinct().collect()}
     known = {b: v for (b, _), v in versions(spark, target, before=number).items() if b in wanted}
     return _refreshed(spark, target, known, schema).drop("bucket").join(repos, "repo", "left_semi")
