@@ -8,9 +8,10 @@ not unique is refused, never guessed.
 Shape of the plan. Candidates are never paired with references. Forms are
 pre-aggregated to one row per (repo, form, reach) holding how many components
 answer and, when that is one or two, which. ``reach`` says who may see them: a
-scope inside a project, a whole project, or everyone (externals). A reference
-probes a bounded number of those rows by equi-join, so a name shared by a third
-of all components costs as much as any other name.
+scope inside a project, a whole project, or everyone (externals). References
+that ask the same from the same place are one question; a question probes a
+bounded number of those rows by equi-join, so a name shared by a third of all
+components costs as much as any other name.
 """
 
 from __future__ import annotations
@@ -57,17 +58,45 @@ def _reach(kind: Column, project: Column, namespace: Column) -> Column:
         F.when(namespace != "", F.concat(F.lit("s|"), project, F.lit("|"), namespace)))))
 
 
-def _referrers(hints: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Rules) -> DataFrame:
-    """Hints with what the decision needs to know about their own component:
-    where it lives, and the forms it answers to itself (to be discounted)."""
-    own = forms.where(F.col("form_kind").isin(*[r[3] for r in rules])).groupBy("repo", "node_id").agg(
-        F.collect_set(F.concat_ws(":", "form_kind", "form")).alias("own_forms"))
+def _own(forms: DataFrame, rules: Rules) -> DataFrame:
+    """(repo, self_node, normed, form, mine): which rules a component itself answers to under a spelling, as bits."""
+    bit = F.create_map(*[F.lit(x) for _, i, _, form in rules for x in (form, 1 << i)])
+    kinds = [form for *_, form in rules]
+    return forms.where(F.col("form_kind").isin(*kinds)).groupBy(
+        "repo", F.col("node_id").alias("self_node"), (F.col("form_kind") == "norm").alias("normed"), "form").agg(
+        F.sum(bit[F.col("form_kind")]).alias("mine"))
+
+
+def _spellings(token: Column) -> Column:
+    return F.explode(F.array(F.struct(F.lit(False).alias("normed"), F.lower(token).alias("form")),
+                             F.struct(F.lit(True).alias("normed"), ids.normalize_name(token).alias("form"))))
+
+
+def _asked(hints: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Hints with where their component lives and the question they ask.
+
+    Hints of one place that name the same thing ask the same question: it is
+    decided once, however many ask. Only where a component answers to one of
+    its own tokens does the question name it (``self_node``), so that it can be
+    discounted; that is found by joining spellings, not by carrying forms.
+    """
     referrer = nodes.select(
         "repo", F.col("id").alias("from_node"), F.col("namespace").alias("from_namespace"),
-        F.col("project").alias("from_project"), F.col("kind").alias("from_kind"), F.col("ports").alias("from_ports"),
-    ).join(own.withColumnRenamed("node_id", "from_node"), ["repo", "from_node"], "left")
-    return hints.join(referrer, ["repo", "from_node"]).withColumn(
-        "own_forms", F.coalesce("own_forms", F.array().cast("array<string>")))
+        F.col("project").alias("from_project"), F.col("kind").alias("from_kind"), F.col("ports").alias("from_ports"))
+    named = hints.select("repo", "from_node", "tokens").distinct()
+    spelled = named.select("*", F.explode("tokens").alias("token")).select(
+        "repo", F.col("from_node").alias("self_node"), "tokens", _spellings(F.col("token")).alias("s")).select("repo", "self_node", "tokens", "s.*")
+    selfish = spelled.join(own, ["repo", "self_node", "normed", "form"], "left_semi").select(
+        "repo", F.col("self_node").alias("from_node"), "tokens", F.lit(True).alias("_self")).distinct()
+    out = hints.join(referrer, ["repo", "from_node"]).join(selfish, ["repo", "from_node", "tokens"], "left")
+    mine = lambda c: F.when(F.col("_self"), F.col(c))
+    asks = {"port_asked": F.when(F.col("port") > 0, F.col("port")), "kind_asked": ids.kind_for_edge(F.col("suggested_edge")),
+            "self_node": mine("from_node"), "self_kind": mine("from_kind"), "self_ports": mine("from_ports")}
+    out = out.withColumns(asks).drop("_self", "from_kind", "from_ports")
+    return out.withColumn("ask", F.md5(F.to_json(F.struct("tokens", "from_namespace", "from_project", *asks), {"ignoreNullFields": "false"})))
+
+
+_QUESTION = ["repo", "ask", "tokens", "from_namespace", "from_project", "port_asked", "kind_asked", "self_node", "self_kind", "self_ports"]
 
 
 def _answers(forms: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
@@ -94,62 +123,61 @@ def match_ladder(hints: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Ru
     outcome: matched, ambiguous, out_of_scope or none.
     """
     rules = rules or match_rules()
-    referred = _referrers(hints, nodes, forms, rules)
+    own = _own(forms, rules)
+    asked = durable(_asked(hints, nodes, own), "asked")
     # read twice below: once for the ties, once for the result
-    decided = durable(_decide(referred, _answers(forms, nodes, rules), rules), "decided")
-    return _tie_break(decided, nodes, forms, rules)
+    decided = durable(_decide(asked.select(*_QUESTION).distinct(), _answers(forms, nodes, rules), own, rules), "decided")
+    answered = _tie_break(decided, nodes, forms, rules)
+    out = asked.join(answered, ["repo", "ask"])
+    return out.select(
+        "repo", "hint_id", "from_node", "kind", "raw", "tokens", "port", "protocol", "suggested_edge", "path", "line", "detail",
+        "from_namespace", "from_project", "outcome", "rule", "node_id",
+        F.when(F.col("outcome") == "matched", ids.base_confidence(F.col("kind")) - F.col("penalty")).cast("int").alias("match_pct"),
+        "n_candidates", "form_kind", "form", "reach")
 
 
-def _decide(referred: DataFrame, answers: DataFrame, rules: Rules) -> DataFrame:
+def _decide(questions: DataFrame, answers: DataFrame, own: DataFrame, rules: Rules) -> DataFrame:
     scoped = F.col("from_namespace") != ""
     reaches = F.array_compact(F.array(
         F.lit("*"), F.concat(F.lit("p|"), "from_project"),
         F.when(scoped, F.concat(F.lit("s|"), "from_project", F.lit("|"), "from_namespace"))))
-    # the referrer itself is never an answer: which rules it answers to under a
-    # spelling is noted as bits, so that the probes stay narrow
-    held = lambda rule, form: F.array_contains("own_forms", F.concat(F.lit(rule + ":"), form)).cast("int")
-    bits = {form: 1 << i for _, i, _, form in rules}
-
-    def spelling(normed: bool, form: Column) -> Column:
-        mine = F.lit(0)
-        for rule in bits:
-            if (rule == "norm") == normed:
-                mine = mine + held(rule, form) * bits[rule]
-        return F.struct(F.lit(normed).alias("normed"), form.alias("form"), mine.alias("mine"))
-
-    spellings = F.array(spelling(False, F.lower("token")), spelling(True, ids.normalize_name(F.col("token"))))
-    probes = (
-        referred.select("hint_id", "repo", "own_forms", scoped.alias("scoped"), (F.col("from_kind") == "external").alias("outer"),
-                        F.posexplode("tokens").alias("pos", "token"), reaches.alias("reaches"))
-        .select("hint_id", "repo", "scoped", "outer", "pos", F.explode(spellings).alias("s"), "reaches")
-        .select("hint_id", "repo", "scoped", "outer", "pos", "s.normed", "s.form", "s.mine", F.explode("reaches").alias("reach")))
+    spelled = (questions.select("repo", "ask", "self_node", scoped.alias("scoped"), (F.col("self_kind") == "external").alias("outer"),
+                                reaches.alias("reaches"), F.posexplode("tokens").alias("pos", "token"))
+               .select("*", _spellings(F.col("token")).alias("s")).select("*", "s.*").drop("s", "token"))
+    # the referrer itself is never an answer: which rules it answers to under a spelling is noted as bits
+    mine = spelled.where("self_node IS NOT NULL").join(own, ["repo", "self_node", "normed", "form"], "left").withColumn(
+        "mine", F.coalesce("mine", F.lit(0)).cast("bigint"))
+    spelled = mine.unionByName(spelled.where("self_node IS NULL").withColumn("mine", F.lit(0).cast("bigint")))
+    probes = spelled.select("repo", "ask", "scoped", "outer", "pos", "normed", "form", "mine", F.explode("reaches").alias("reach"))
     rank = F.create_map(*[x for _, i, _, form in rules for x in (F.lit(form), F.lit(i))])
-    bit = F.create_map(*[x for form, b in bits.items() for x in (F.lit(form), F.lit(b))])
-    own = ((F.col("mine").bitwiseAND(bit[F.col("r.form_kind")]) > 0) & ((F.col("reach") == "*") == F.col("outer"))).cast("int")
+    bit = F.create_map(*[F.lit(x) for _, i, _, form in rules for x in (form, 1 << i)])
+    discount = F.coalesce((F.col("mine").bitwiseAND(bit[F.col("r.form_kind")]) > 0) & ((F.col("reach") == "*") == F.col("outer")),
+                          F.lit(False)).cast("int")
     hits = (
         probes.join(answers, ["repo", "reach", "normed", "form"])
-        .select("hint_id", "repo", "scoped", "pos", "form", "reach", "mine", "outer", F.explode("rules").alias("r"))
-        .select("hint_id", "repo", "scoped", "pos", "form", "reach", F.col("r.form_kind").alias("form_kind"),
-                rank[F.col("r.form_kind")].alias("rule_rank"), (F.col("r.n") - own).alias("n"),
-                "r.lo", "r.hi", own.alias("own"))
+        .select("repo", "ask", "scoped", "pos", "form", "reach", "mine", "outer", F.explode("rules").alias("r"))
+        .select("repo", "ask", "scoped", "pos", "form", "reach", "mine", F.col("r.form_kind").alias("form_kind"),
+                rank[F.col("r.form_kind")].alias("rule_rank"), (F.col("r.n") - discount).alias("n"),
+                "r.lo", "r.hi", discount.alias("own"))
         .where("n > 0"))
     local = F.col("reach").startswith("s|") | (F.col("reach") == "*")
     wide = ~F.col("reach").startswith("s|")
-    per_rule = hits.groupBy("repo", "hint_id", "pos", "scoped", "rule_rank", "form_kind", "form").agg(
+    per_rule = hits.groupBy("repo", "ask", "pos", "scoped", "rule_rank", "form_kind", "form").agg(
+        (F.max("mine").bitwiseAND(bit[F.col("form_kind")]) > 0).alias("owned"),
         *[F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0)).alias(f"n_{tag}") for tag, flag in (("local", local), ("wide", wide))],
         *[F.min(F.when(flag, F.struct("n", "lo", "hi", "own"))).alias(f"one_{tag}") for tag, flag in (("local", local), ("wide", wide))])
     ranked = per_rule.select(
-        "repo", "hint_id", "scoped", "form_kind", "form",
+        "repo", "ask", "scoped", "form_kind", "form", "owned",
         F.explode(F.array(
             F.struct("pos", F.lit(0).alias("is_wide"), "rule_rank", F.col("n_local").alias("n"), F.col("one_local").alias("one")),
             F.struct("pos", F.lit(1).alias("is_wide"), "rule_rank", F.col("n_wide").alias("n"), F.col("one_wide").alias("one")))).alias("c"),
     ).where("c.n > 0")
     # a reference without a scope has no local reading, only the whole project
-    return referred.join(
+    return questions.drop("tokens").join(
         ranked.where("scoped OR c.is_wide = 1")
-        .groupBy("repo", "hint_id")
-        .agg(F.min_by(F.struct("c.*", "form_kind", "form"), F.struct("c.pos", "c.is_wide", "c.rule_rank")).alias("best")),
-        ["repo", "hint_id"], "left")
+        .groupBy("repo", "ask")
+        .agg(F.min_by(F.struct("c.*", "form_kind", "form", "owned"), F.struct("c.pos", "c.is_wide", "c.rule_rank")).alias("best")),
+        ["repo", "ask"], "left")
 
 
 def _tie_break(decided: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Rules) -> DataFrame:
@@ -159,7 +187,7 @@ def _tie_break(decided: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Ru
     penalty = F.create_map(*[x for _, i, pct, _ in rules for x in (F.lit(i), F.lit(pct))])
     scoped = F.col("from_namespace") != ""
     d = decided.select(
-        "*", F.col("best.n").alias("n_candidates"), F.col("best.rule_rank").alias("rule_rank"),
+        "*", F.col("best.n").alias("n_candidates"), F.col("best.rule_rank").alias("rule_rank"), F.col("best.owned").alias("owned"),
         F.coalesce((F.col("best.is_wide") == 1) & scoped, F.lit(False)).alias("outside"),
         F.col("best.form_kind").alias("form_kind"), F.col("best.form").alias("form"),
         F.when(F.col("best.is_wide") == 0, F.concat(F.lit("s|"), "from_project", F.lit("|"), "from_namespace"))
@@ -167,33 +195,31 @@ def _tie_break(decided: DataFrame, nodes: DataFrame, forms: DataFrame, rules: Ru
         # two ids are known per counted group; with the referrer discounted
         # from a pair, the other one remains
         F.when(F.col("best.n") == 1, F.when(
-            (F.col("best.one.own") == 1) & (F.col("best.one.lo") == F.col("from_node")), F.col("best.one.hi"))
+            (F.col("best.one.own") == 1) & (F.col("best.one.lo") == F.col("self_node")), F.col("best.one.hi"))
             .otherwise(F.col("best.one.lo"))).alias("single"),
     ).drop("best")
     tied = d.where((F.col("n_candidates") > 1) & ~F.col("outside"))
     narrowed = _narrow(tied, nodes, forms)
-    out = d.join(narrowed, ["repo", "hint_id"], "left")
+    out = d.join(narrowed, ["repo", "ask"], "left")
     matched = (F.col("n_candidates") == 1) & ~F.col("outside")
     by_scope = F.col("narrow_id").isNotNull()
-    base = ids.base_confidence(F.col("kind")) - penalty[F.col("rule_rank")]
     return out.select(
-        "repo", "hint_id", "from_node", "kind", "raw", "tokens", "port", "protocol", "suggested_edge",
-        "path", "line", "detail", "from_namespace", "from_project",
+        "repo", "ask",
         F.when(matched | by_scope, F.lit("matched"))
         .when(F.col("n_candidates").isNull(), F.lit("none"))
         .when(F.col("n_candidates") > 1, F.lit("ambiguous")).otherwise("out_of_scope").alias("outcome"),
         F.concat(rule_name[F.col("rule_rank")], F.when(by_scope, F.lit("+scoped")).otherwise("")).alias("rule"),
         F.when(matched, F.col("single")).otherwise(F.col("narrow_id")).alias("node_id"),
-        F.when(matched, base).when(by_scope, base - vocab.SCOPED_PENALTY).cast("int").alias("match_pct"),
+        (penalty[F.col("rule_rank")] + F.when(matched, F.lit(0)).otherwise(vocab.SCOPED_PENALTY)).alias("penalty"),
         F.coalesce("n_candidates", F.lit(0)).cast("int").alias("n_candidates"),
         "form_kind", "form", "reach")
 
 
 def _narrow(tied: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """(repo, hint_id, narrow_id) for ties that narrow to one candidate.
+    """(repo, ask, narrow_id) for ties that narrow to one candidate.
 
     Tied forms are counted once per combination of the three narrowing
-    signals ('' = not used); a hint then probes at most seven combinations.
+    signals ('' = not used); a question then probes at most seven combinations.
     """
     any_ = F.lit("")
     keys = tied.select("repo", "form_kind", "form").distinct()
@@ -211,31 +237,30 @@ def _narrow(tied: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
         .groupBy("repo", "form_kind", "form", "reach", "by_ns", "by_port", "by_kind")
         .agg(F.count("*").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi")))
     ns = F.when(F.col("from_namespace") != "", F.concat(F.lit("n"), "from_namespace"))
-    port = F.when(F.col("port") > 0, F.col("port").cast("string"))
-    kind = ids.kind_for_edge(F.col("suggested_edge"))
+    port, kind = F.col("port_asked").cast("string"), F.col("kind_asked")
     combos = F.array(*[
         F.struct(F.lit(tag).alias("tag"), (ns if "n" in tag else any_).alias("by_ns"),
                  (port if "p" in tag else any_).alias("by_port"), (kind if "k" in tag else any_).alias("by_kind"))
         for tag in ("n", "p", "k", "np", "nk", "pk", "npk")])
     probes = (
-        tied.select("repo", "hint_id", "from_node", "form_kind", "form", "from_namespace", "from_kind", "from_ports",
-                    "own_forms", "reach", F.explode(combos).alias("c"))
+        tied.select("repo", "ask", "form_kind", "form", "from_namespace", "self_node", "self_kind", "self_ports", "owned", "reach",
+                    F.explode(combos).alias("c"))
         .where("c.by_ns IS NOT NULL AND c.by_port IS NOT NULL AND c.by_kind IS NOT NULL")
         .withColumn("reach", F.explode(F.array("reach", F.lit("*"))))
         .select("*", "c.*").drop("c"))
-    own = (
-        F.array_contains("own_forms", F.concat_ws(":", "form_kind", "form"))
-        & ((F.col("reach") == "*") == (F.col("from_kind") == "external"))
+    own = F.coalesce(
+        F.col("owned")
+        & ((F.col("reach") == "*") == (F.col("self_kind") == "external"))
         & ((F.col("by_ns") == "") | (F.col("by_ns") == F.concat(F.lit("n"), "from_namespace")))
-        & ((F.col("by_port") == "") | F.array_contains(F.transform("from_ports", lambda p: p.cast("string")), F.col("by_port")))
-        & ((F.col("by_kind") == "") | (F.col("by_kind") == F.col("from_kind")))).cast("int")
+        & ((F.col("by_port") == "") | F.array_contains(F.transform("self_ports", lambda p: p.cast("string")), F.col("by_port")))
+        & ((F.col("by_kind") == "") | (F.col("by_kind") == F.col("self_kind"))), F.lit(False)).cast("int")
     found = (
         probes.join(counted, ["repo", "form_kind", "form", "reach", "by_ns", "by_port", "by_kind"])
-        .select("repo", "hint_id", "tag", (F.col("n") - own).alias("n"),
-                F.when((own == 1) & (F.col("lo") == F.col("from_node")), F.col("hi")).otherwise(F.col("lo")).alias("id"))
+        .select("repo", "ask", "tag", (F.col("n") - own).alias("n"),
+                F.when((own == 1) & (F.col("lo") == F.col("self_node")), F.col("hi")).otherwise(F.col("lo")).alias("id"))
         .where("n > 0")
-        .groupBy("repo", "hint_id", "tag").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-        .groupBy("repo", "hint_id").agg(F.map_from_entries(F.collect_list(
+        .groupBy("repo", "ask", "tag").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+        .groupBy("repo", "ask").agg(F.map_from_entries(F.collect_list(
             F.struct("tag", F.struct("n", "id")))).alias("m")))  # at most seven entries
     m = F.col("m")
 
@@ -248,7 +273,7 @@ def _narrow(tied: DataFrame, nodes: DataFrame, forms: DataFrame) -> DataFrame:
                            .when(at(F.concat("t1", F.lit("p"))).isNotNull(), F.concat("t1", F.lit("p"))).otherwise(F.col("t1")))
     step = step.withColumn("t3", F.when(at(F.col("t2"))["n"] == 1, F.col("t2"))
                            .when(at(F.concat("t2", F.lit("k"))).isNotNull(), F.concat("t2", F.lit("k"))).otherwise(F.col("t2")))
-    return step.where(at(F.col("t3"))["n"] == 1).select("repo", "hint_id", at(F.col("t3"))["id"].alias("narrow_id"))
+    return step.where(at(F.col("t3"))["n"] == 1).select("repo", "ask", at(F.col("t3"))["id"].alias("narrow_id"))
 
 
 # ------------------------------------------------------------ candidate filters
