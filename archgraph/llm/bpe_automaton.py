@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -49,25 +49,32 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Automaton:
     """The deterministic automaton of a list of merges over numbered tokens."""
 
-    def __init__(self, base: int, merges: list[tuple[int, int, int]]):
-        """``base`` symbols are numbered first by ``merges``' own numbering; (left, right, made) in rank order."""
-        n = max([base, *(c + 1 for _, _, c in merges)])
-        self.size, self.left, self.right = n, [-1] * n, [-1] * n
-        self.gadget = [-1] * n
+    def __init__(self, base: Iterable[int], merges: list[tuple[int, int, int]]):
+        """``base`` symbols and (left, right, made) in rank order, all as small numbers."""
+        known = set(base)
+        n = 1 + max([*known, *(c for _, _, c in merges)])
+        self.size, self.left, self.right, self.gadget = n, [-1] * n, [-1] * n, [-1] * n
         self.lost: list[dict[int, int]] = [{} for _ in range(n)]
+        self.never: set[int] = set()
+        self._arcs: dict[int, bool] = {}
         for rank, (a, b, c) in enumerate(merges):
+            if a not in known or b not in known:
+                raise ValueError(f"merge {rank} uses a token before it is made")
+            if c in known:
+                raise ValueError(f"token {c} is made twice")
+            known.add(c)
             self._gadget(rank, a, b, c)
-        self._arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        if self.gadget[c] >= 0:
-            raise ValueError(f"token {c} is made by two merges")
-        for part in (a, b):
-            if self.left[part] >= 0 and self.gadget[part] >= rank:
-                raise ValueError(f"merge {rank} uses token {part} before it is made")
+        # Earlier merges may leave no path of the two arcs; then nothing makes the token.
+        if a in self.never or not self._find_arc(a, b):
+            self.never.add(c)
         self.lost[a][b] = rank
         self.gadget[c], self.left[c], self.right[c] = rank, a, b
 
+    def accepts(self, tokens: Sequence[int]) -> bool:
+        return not any(t in self.never for t in tokens[:1]) and all(map(self.has_arc, tokens, tokens[1:]))
+
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state that token ``state`` leads to has an arc ``token``."""
         key = state * self.size + token
@@ -81,6 +88,8 @@ class Automaton:
     def _find_arc(self, state: int, token: int) -> bool:
         # The state is that of its right part as it stood before gadget ``until``; a merged arc is there if that of its
         # left part was there at the merged arc's own gadget ``made``.
+        if token in self.never:
+            return False
         until = _NEVER
         while state >= 0:
             lost, arc, made = self.lost[state], token, _NEVER
@@ -120,7 +129,8 @@ class Tokenizer:
         self.latin = split["pattern"].get("Regex") == _PATTERN
 
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(max(vocab.values()) + 1, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        base = [vocab[c + end] for c in alphabet for end in ("", self.end)]
+        self.automaton = Automaton(base, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.label = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         # The trie of the tokens' symbols; -1 keys a node's own token.
         self.trie: dict = {}

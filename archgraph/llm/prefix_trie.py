@@ -53,7 +53,8 @@ def paths(rows: DataFrame, scratch: Scratch, group: int = 20, heads: int = 4) ->
     """(conv_id, path, words): the rebuilt conversations, a digest of 16 bytes and a number of words for each turn.
 
     Of h = crc32(conv_id) % ``heads`` opening turns, each conversation takes those
-    of the first conversation of its ``group``, in place of its own.
+    of the first conversation of its ``group``, in place of its own; a negative
+    id's remainder is negative, as in SQL.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     digest = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text))
