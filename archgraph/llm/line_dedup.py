@@ -29,23 +29,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import Scratch, join_hot, shingles
+from archgraph.llm.common import Scratch, join_hot, row_groups, shingles, text_bytes
 
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
-_WORD = re.compile(r"\S+")
+#: Words remembered per task.
+REMEMBERED = 300_000
 _ENDS = " .,;:!?'\"()[]-*#|"
 
 
-def _digest(words: str) -> bytes:
-    return blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+#: What ``str.split`` splits at.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+# Two polynomials over word hashes make a digest of 128 bits; the inverses shift a stretch of words to the front.
+_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+_INVERSES = [np.uint64(pow(int(p), -1, 1 << 64)) for p in _BASES]
 
 
-def _unit(start: int, part: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    words = part.lower().split()
-    if len(words) >= min_words:
-        inner = part.strip()
-        start += part.index(inner)
-        yield start, start + len(inner), _digest(" ".join(words).strip(_ENDS))
+class Words:
+    """Distinct words of a task with the hashes of their forms: as they stand (lower case), without punctuation at the
+    left, at the right, and at both ends. Forms are hashed to 128 bits, of which the first half of the last one also
+    decides which runs are chosen. Emptied by its owner."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows: list[bytes] = []
+
+    def number(self, words: list[str]) -> np.ndarray:
+        index = self.index
+        for w in set(words).difference(index):
+            index[w] = len(self.rows)
+            low = w.lower()
+            left, right = low.lstrip(_ENDS), low.rstrip(_ENDS)
+            one = _word_digest(low)
+            if left is low and right is low:
+                self.rows.append(one * 4 + bytes(8))
+                continue
+            two = one if left == low else _word_digest(left)
+            three = one if right == low else _word_digest(right)
+            four = two if right == low else three if left == low else _word_digest(left.rstrip(_ENDS))
+            self.rows.append(one + two + three + four + bytes([not left]) + bytes(7))
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def forms(self, words: list[str]) -> np.ndarray:
+        """(words, 9): two halves of each of the four forms, and whether nothing but punctuation is there."""
+        ids = self.number(words)
+        if len(ids) < 1000:
+            return np.frombuffer(b"".join(map(self.rows.__getitem__, ids.tolist())), "<u8").reshape(-1, 9)
+        some, place = np.unique(ids, return_inverse=True)
+        return np.frombuffer(b"".join(map(self.rows.__getitem__, some.tolist())), "<u8").reshape(-1, 9)[place]
+
+
+def _word_digest(word: str) -> bytes:
+    raw = word.encode("utf-8", "surrogatepass")
+    # the first half as it has always been, so that the same runs are chosen
+    return blake2b(raw, digest_size=8).digest() + blake2b(raw, digest_size=8, salt=b"2").digest()
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Sums:
+    """Polynomial sums of stretches of a row of word hashes."""
+
+    def __init__(self, hashes: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
+        self.powers, self.inverse = powers, inverse
+        self.total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers[:len(hashes)], dtype=np.uint64, out=self.total[1:])
+
+    def stretch(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.total[hi] - self.total[lo]) * self.inverse[lo]
 
 
 def chosen(hashes: np.ndarray, width: int) -> list[int]:
@@ -65,39 +119,156 @@ def chosen(hashes: np.ndarray, width: int) -> list[int]:
     return out
 
 
-def runs(text: str, k: int, known: dict[str, tuple[str, int]]) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of chosen runs of ``k`` words; ``known`` keeps words with their normal form and hash."""
-    raw = text.split()
-    if len(raw) < 2 * k - 1:
-        return
-    for w in set(raw).difference(known):
-        normal = w.lower().strip(_ENDS)
-        known[w] = normal, int.from_bytes(blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    hashes = np.fromiter((known[w][1] for w in raw), np.uint64, len(raw))
-    spans = [m.span() for m in _WORD.finditer(text)]
-    for i in chosen(shingles(hashes, k), k):
-        yield spans[i][0], spans[i + k - 1][1], _digest(" ".join(known[w][0] for w in raw[i:i + k]))
+def _split_sentences(codes: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places after each run of closing marks, whether a word goes on there)."""
+    mark = (codes == 46) | (codes == 33) | (codes == 63)
+    after = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1
+    return after, ~space[after]
 
 
-def units(text: str, min_words: int, known: dict[str, tuple[str, int]] | None = None) -> list[tuple[int, int, bytes]]:
+def units(text: str, min_words: int, known: Words | None = None) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a whole text, by their start."""
-    at, out, lines = 0, [], []
-    for line in [*text.split("\n"), ""]:
-        if line.strip():
-            lines.append((at, line))
-            if line.count(" ") + 1 >= min_words or len(line.split()) >= min_words:
-                out += _unit(at, line, min_words)
-                ends = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
-                if len(ends) > 1:
-                    for a, b in ends:
-                        out += _unit(at + a, line[a:b], min_words)
-        else:
-            if len(lines) > 1:
-                out += _unit(lines[0][0], text[lines[0][0]:lines[-1][0] + len(lines[-1][1])], min_words)
-            lines = []
-        at += len(line) + 1
-    out += runs(text, 2 * min_words, {} if known is None else known)
-    return sorted(out, key=lambda u: u[:2])
+    start, end, one, two, _ = batch_units([text], min_words, known or Words())
+    both = np.stack([one, two], 1).astype("<u8")
+    return [(int(a), int(b), both[i].tobytes()) for i, (a, b) in enumerate(zip(start, end))]
+
+
+def batch_units(texts: list[str], min_words: int, known: Words) -> tuple[np.ndarray, ...]:
+    """Units of several texts, by text and start: start, end, the two halves of the digest, number of the text.
+
+    All texts are one row of words; stretches of it are paragraphs, lines,
+    sentences and runs, and no stretch leaves its text.
+    """
+    joined = "\n\n".join(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(sizes + 2) - sizes - 2
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    none = np.zeros(0, np.int64)
+    if not len(codes):
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    space = _SPACE[np.minimum(codes, 0x3001)]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    w_start, w_end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    forms = known.forms(joined.split())
+    n = len(forms)
+    powers, inverses = [_powers(p, n) for p in _BASES], [_powers(p, n) for p in _INVERSES]
+    sums = [[_Sums(forms[:, 2 * form + half], powers[half], inverses[half]) for half in (0, 1)] for form in (0, 3)]
+
+    # Lines that hold words, as stretches of words; blank lines part paragraphs, and texts are parted by blank lines.
+    breaks = np.flatnonzero(codes == 10)
+    l_start, l_end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(codes)]])
+    lo, hi = np.searchsorted(w_start, l_start), np.searchsorted(w_start, l_end)
+    full = hi > lo
+    new = np.concatenate([[True], ~full[:-1]]) & full
+    group = np.cumsum(new)[full]
+    l_lo, l_hi = lo[full], hi[full]
+    p_at = np.flatnonzero(np.diff(group, prepend=-1))
+    p_n = np.diff(np.append(p_at, len(group)))
+    several = p_n > 1
+    p_lo, p_hi = l_lo[p_at[several]], l_hi[(p_at + p_n - 1)[several]]
+
+    # Sentences, where a line has more than one; where a mark stands inside a word the line is cut by hand below.
+    after, inside = _split_sentences(codes, space) if len(codes) > 1 else (none, none.astype(bool))
+    line_of = np.searchsorted(l_start, after, "right") - 1
+    within = after < l_end[line_of]
+    after, inside, line_of = after[within], inside[within], line_of[within]
+    odd_lines = np.unique(line_of[inside])
+    plain = ~np.isin(line_of, odd_lines)
+    cut_lines = np.unique(line_of[plain])
+    s_at = np.sort(np.concatenate([l_start[cut_lines], after[plain]]))
+    s_line = np.searchsorted(l_start, s_at, "right") - 1
+    s_end = np.append(s_at[1:], len(codes))
+    s_end = np.minimum(s_end, l_end[s_line])
+    s_lo, s_hi = np.searchsorted(w_start, s_at), np.searchsorted(w_start, s_end)
+
+    # A sentence's words must end inside it: marks are followed by white space in plain lines, so they do.
+    u_lo, u_hi = (np.concatenate(x) for x in ((p_lo, l_lo, s_lo), (p_hi, l_hi, s_hi)))
+    long = u_hi - u_lo >= min_words
+    u_lo, u_hi = u_lo[long], u_hi[long]
+    # Words of punctuation alone at the ends go with the punctuation.
+    bare = forms[:, 8] != 0
+    left, right = u_lo.copy(), u_hi - 1
+    while (more := (left < u_hi - 1) & bare[left]).any():
+        left[more] += 1
+    while (more := (right > left) & bare[right]).any():
+        right[more] -= 1
+    halves = []
+    for half in (0, 1):
+        inner = sums[0][half].stretch(np.minimum(left + 1, right), right) * _BASES[half]
+        ends = forms[left, 2 + half] + inner + forms[right, 4 + half] * powers[half][right - left]
+        halves.append(np.where(left == right, forms[left, 6 + half], ends))
+    start, end = w_start[u_lo], w_end[u_hi - 1]
+
+    # Runs of k words of one text, chosen by their own hashes.
+    k = 2 * min_words
+    bounds = np.searchsorted(w_start, np.append(first, len(codes)))
+    picked = _chosen_runs(forms[:, 6], bounds, k)
+    start, end = np.concatenate([start, w_start[picked]]), np.concatenate([end, w_end[picked + k - 1]])
+    for half in (0, 1):
+        halves[half] = np.concatenate([halves[half], sums[1][half].stretch(picked, picked + k)])
+
+    by_hand = [(int(l_start[i]), u) for i in odd_lines.tolist() for u in _odd_sentences(joined[l_start[i]:l_end[i]], min_words, known)]
+    if by_hand:
+        start = np.concatenate([start, [at + u[0] for at, u in by_hand]])
+        end = np.concatenate([end, [at + u[1] for at, u in by_hand]])
+        for half in (0, 1):
+            halves[half] = np.concatenate([halves[half], np.array([u[2 + half] for _, u in by_hand], np.uint64)])
+    text = np.searchsorted(first, start, "right") - 1
+    order = np.lexsort((end, start))
+    return (start - first[text])[order], (end - first[text])[order], halves[0][order], halves[1][order], text[order]
+
+
+def _odd_sentences(line: str, min_words: int, known: Words) -> list[tuple[int, int, int, int]]:
+    """Sentences of a line in which closing marks stand inside words: (start, end, digest halves)."""
+    out = []
+    cuts = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
+    for a, b in cuts if len(cuts) > 1 else ():
+        words = line[a:b].split()
+        if len(words) < min_words:
+            continue
+        inner = line[a:b].strip()
+        at = a + line[a:b].index(inner)
+        forms = known.forms(words)
+        left, right = 0, len(words) - 1
+        while left < right and forms[left, 8]:
+            left += 1
+        while right > left and forms[right, 8]:
+            right -= 1
+        both = []
+        for half in (0, 1):
+            if left == right:
+                both.append(int(forms[left, 6 + half]))
+                continue
+            total, power, base = int(forms[left, 2 + half]), 1, int(_BASES[half])
+            for i in range(left + 1, right + 1):
+                power = power * base % (1 << 64)
+                total += int(forms[i, (4 if i == right else 0) + half]) * power
+            both.append(total % (1 << 64))
+        out.append((at, at + len(inner), *both))
+    return out
+
+
+def _chosen_runs(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """First words of the chosen runs of ``k`` words of every text; texts with equal runs nearby are chosen one by one."""
+    if len(hashes) < 2 * k - 1:
+        return np.zeros(0, np.int64)
+    run = shingles(hashes, k)
+    m = len(run)
+    text = np.searchsorted(bounds, np.arange(m), "right") - 1
+    whole = np.arange(m) + k <= bounds[np.minimum(text + 1, len(bounds) - 1)]
+    twice = np.zeros(m, bool)
+    for step in range(1, k):
+        twice[:-step] |= (run[:-step] == run[step:]) & whole[:-step] & whole[step:] & (text[:-step] == text[step:])
+    slow = np.unique(text[twice])
+    windows = np.lib.stride_tricks.sliding_window_view(run[::-1], k)[::-1]
+    last = np.arange(len(windows)) + k - 1 - windows.argmin(1)
+    end = np.arange(len(windows)) + k - 1
+    good = whole[end] & (text[:len(windows)] == text[end]) & ~np.isin(text[:len(windows)], slow)
+    out = [np.unique(last[good])]
+    for t in slow.tolist():
+        lo, hi = int(bounds[t]), int(bounds[t + 1]) - k + 1
+        out.append(lo + np.array(chosen(run[lo:hi], k), np.int64))
+    return np.sort(np.concatenate(out))
 
 
 def row_key() -> Column:
@@ -108,20 +279,20 @@ def row_key() -> Column:
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, row, place (of the unit in its text), start, end, digest."""
     names = ["doc_id", "row", "place", "start", "end", "digest"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            known: dict[str, tuple[str, int]] = {}
-            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for place, (start, end, digest) in enumerate(units(text, min_words, known)):
-                    for column, value in zip(out, (doc, row, place, start, end, digest)):
-                        column.append(value)
-                if len(out[0]) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                    out, known = [[] for _ in names], {}
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            doc, row, text = (batch.column(i) for i in range(3))
+            for lo, hi in row_groups(text_bytes(text)[1], 1 << 20):
+                if len(known.rows) > REMEMBERED:
+                    known = Words()
+                start, end, one, two, at = batch_units(text[lo:hi].to_pylist(), min_words, known)
+                digest = pa.Array.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(np.stack([one, two], 1).astype("<u8").tobytes())])
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                take = pa.array(at + lo)
+                columns = [doc.take(take), row.take(take), *(pa.array(c.astype(np.int32)) for c in (place, start, end)), digest.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.where("text is not null").select("doc_id", row_key().alias("row"), "text")
     return rows.mapInArrow(run, "doc_id long, row long, place int, start int, end int, digest binary")
