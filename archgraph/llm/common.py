@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.session import shared_dir
@@ -83,6 +83,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how
     return out
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a table as one, so that they may have any names beside those an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """A digest of a set of edges."""
     return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import Scratch, join_hot, row_groups, shingles, text_bytes
+from archgraph.llm.common import Scratch, as_row, join_hot, row_groups, shingles, text_bytes
 
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
 #: Words remembered per task.
@@ -347,5 +347,6 @@ def clean(docs: DataFrame, min_words: int = 10) -> DataFrame:
         a -> concat(a.out, substring(text, a.at + 1)))""")
     rest = F.regexp_replace(F.regexp_replace(rest, r"\n[\x20\x09]*(?=\n)", ""), r"^\n|\n$", "")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
-    out = docs.withColumn("_row", row_key()).hint("merge").join(spans, same, "left")
-    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    out = docs.select("doc_id", "text", row_key().alias("_row"), as_row(docs)).hint("merge").join(spans, same, "left")
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -54,8 +54,12 @@ def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None, alpha: float,
-         tolerance: float, max_rounds: int) -> DataFrame:
-    """``cells`` with the factor that brings all marginals to their targets."""
+         tolerance: float, patience: int) -> DataFrame:
+    """``cells`` with the factor that brings all marginals to their targets, however many rounds that takes.
+
+    Raises ValueError where ``patience`` rounds bring them no nearer: targets
+    that contradict each other, or that the cells cannot meet.
+    """
     columns = cells.columns
     for c in MARGINALS:
         target = (targets or {}).get(c) or tempered(cells, c, alpha)
@@ -63,7 +67,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | Non
         cells = cells.join(target, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     total = cells.agg(F.sum("tokens").alias("total"))
     now = scratch.save(cells.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0)), "cells")
-    for _ in range(max_rounds):
+    nearest, stalled = float("inf"), 0
+    while True:
         after = now
         for c in MARGINALS:
             sums = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(c))
@@ -78,6 +83,9 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | Non
         now.scratch_path = after.scratch_path
         if off is None or off <= tolerance:
             break
+        nearest, stalled = (off, 0) if off < 0.99 * nearest else (nearest, stalled + 1)
+        if stalled >= patience:
+            raise ValueError(f"the targets cannot be met together: a marginal stays {off:.3g} off its own")
     return now.select(*columns, "factor")
 
 
@@ -97,11 +105,11 @@ def rate(cells: DataFrame, share: float) -> float:
 
 
 def calibrate(rows: DataFrame, scratch: Scratch, share: float = 0.8, alpha: float = 0.7,
-              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-12, max_rounds: int = 60) -> DataFrame:
+              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-12, patience: int = 50) -> DataFrame:
     """(cell, n, factor, chance) from the rows of ``measured``."""
     cells = scratch.save(rows.groupBy(*MARGINALS, "cell").agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sums")
-    cells = scratch.save(rake(cells, scratch, targets, alpha, tolerance, max_rounds), "raked")
+    cells = scratch.save(rake(cells, scratch, targets, alpha, tolerance, patience), "raked")
     chance = F.least(F.lit(1.0), F.col("factor") * rate(cells, share))
     return scratch.save(cells.select("cell", "n", "factor", chance.alias("chance")), "calibrated")
 

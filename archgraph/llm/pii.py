@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import Scratch, join_hot
+from archgraph.llm.common import as_row, Scratch, join_hot
 
 # Fixed patterns of the base kinds. Possessive repeats and look-behinds only keep searches linear in long runs.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -159,7 +159,10 @@ def redact(docs: DataFrame, **parameters) -> DataFrame:
     hidden = F.expr("""aggregate(_spans, struct('' AS out, 0 AS at), (a, x) -> CASE
         WHEN x.s >= a.at THEN struct(concat(a.out, substring(text, a.at + 1, x.s - a.at), '[', upper(x.kind), ']') AS out, x.e AS at)
         ELSE struct(a.out AS out, greatest(a.at, x.e) AS at) END, a -> concat(a.out, substring(text, a.at + 1)))""")
-    out = docs.withColumn("_key", key).hint("merge").join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(hidden))
-    return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars"))
-                          .otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    rows = docs.select(key.alias("_key"), "text", as_row(docs))
+    out = rows.hint("merge").join(spans.withColumnRenamed("key", "_key"), "_key", "left")
+    found = F.col("_spans").isNotNull()
+    out = out.withColumn("_hidden", F.when(found, hidden).otherwise(F.col("text")))
+    new = {"text": F.col("_hidden"), "n_chars": F.when(found, F.length("_hidden").cast("long"))}
+    own = lambda c: F.col(f"row.`{c}`")
+    return out.select(*(F.coalesce(new[c], own(c)).alias(c) if c in new else own(c).alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import (Scratch, components, join_hot, lists, mix, row_groups, shingles, sorted_groups,
+from archgraph.llm.common import (as_row, Scratch, components, join_hot, lists, mix, row_groups, shingles, sorted_groups,
                                   spanning, text_bytes, words)
 
 #: Classes of a block where classes meet by shingle, and shingles of a block of sets.
@@ -390,4 +390,5 @@ def cluster(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100) -> DataF
 def keep_one(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100) -> DataFrame:
     """The rows of ``docs`` without those that link, at any remove, to a smaller doc_id; rows of a null id stay."""
     gone = cluster(docs, k, part, of).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_id"), as_row(docs))
+    return rows.hint("merge").join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
