@@ -18,7 +18,8 @@ named_alias_join external_synthesis merge_nodes merge_kind kind_conflicts merge_
 budget_prefix most_connected clusters impact_of trace_path resolve_ref basename_join cross_project_report
 directory_owner_join vendor_synthesis suspect_projects project_label_collisions override_add rule_diagnostics
 precision_recall ignore_filter route_files dotenv_hints dockerfile_instructions k8s_workloads compose_services
-walk_values resource_references latest_file_state drift_stream
+walk_values resource_references latest_file_state drift_stream trace_totals diagnostic_messages scan_nodes scan_edges
+scan_evidence scan_diagnostics
 """.split()
 NAMES = list(entry.oracle_sql()) if os.environ.get("ARCHGRAPH_ALL") else SELECTED
 
