@@ -82,24 +82,49 @@ def resolve_refs(asks: DataFrame, nodes: DataFrame) -> DataFrame:
     asks = asks.withColumn("ref", F.trim("ref"))
     low = F.lower("ref")
     named = nodes.select("repo", "id", F.lower("name").alias("lname"), F.lower("namespace").alias("lns"))
-    by_id = named.select("repo", F.col("id").alias("form"), F.lit(0).alias("tier"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("lo"))
-    by_name = named.groupBy("repo", F.col("lname").alias("form")).agg(F.count("*").alias("n"), F.min("id").alias("lo")).select(
-        "repo", "form", F.lit(1).alias("tier"), "n", "lo")
-    by_full = named.where(~F.contains("lname", F.lit("."))).groupBy("repo", F.concat_ws(".", "lname", "lns").alias("form")).agg(
-        F.count("*").alias("n"), F.min("id").alias("lo")).select("repo", "form", F.lit(2).alias("tier"), "n", "lo")
-    forms = by_id.unionByName(by_name).unionByName(by_full)
-    probes = asks.where("ref <> ''").select("repo", "ask_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("tier"), F.col("ref").alias("form")), F.struct(F.lit(1).alias("tier"), low.alias("form")),
-        F.struct(F.lit(2).alias("tier"), low.alias("form")))).alias("p")).select("repo", "ask_id", "p.*")
-    exact = probes.join(forms, ["repo", "tier", "form"]).groupBy("repo", "ask_id").agg(
-        F.min_by(F.struct("n", "lo"), "tier").alias("hit"))
+    exact = _exact_hits(asks, named)
     rest = asks.where("ref <> ''").join(exact, ["repo", "ask_id"], "left_anti").select("repo", low.alias("needle")).distinct()
     partial = _containing(rest, named.select("repo", "id", "lname"))
     out = asks.withColumn("needle", low).join(exact, ["repo", "ask_id"], "left").join(
         partial.select("repo", "needle", F.struct("n", "lo").alias("loose")), ["repo", "needle"], "left")
-    hit = F.coalesce("hit", "loose")
-    return out.select("repo", "ask_id", "ref", F.coalesce(hit["n"], F.lit(0)).cast("int").alias("n_matches"),
-                      F.when(hit["n"] == 1, hit["lo"]).alias("node_id"))
+    n, lo = F.coalesce("hit.n", "loose.n"), F.coalesce("hit.lo", "loose.lo")
+    return out.select("repo", "ask_id", "ref", F.coalesce(n, F.lit(0)).cast("int").alias("n_matches"), F.when(n == 1, lo).alias("node_id"))
+
+
+def _tiers(named: DataFrame) -> DataFrame:
+    """(repo, tier, form, id): how components are named exactly."""
+    by_id = named.select("repo", F.lit(0).alias("tier"), F.col("id").alias("form"), "id")
+    by_name = named.select("repo", F.lit(1).alias("tier"), F.col("lname").alias("form"), "id")
+    by_full = named.where(~F.contains("lname", F.lit("."))).select("repo", F.lit(2).alias("tier"), F.concat_ws(".", "lname", "lns").alias("form"), "id")
+    return by_id.unionByName(by_name).unionByName(by_full)
+
+
+def _exact_hits(asks: DataFrame, named: DataFrame) -> DataFrame:
+    """(repo, ask_id, hit): count, least id, tier and form of the first tier that answers a reference."""
+    forms = _tiers(named).groupBy("repo", "tier", "form").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    low = F.lower("ref")
+    probes = asks.where("ref <> ''").select("repo", "ask_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("tier"), F.col("ref").alias("form")), F.struct(F.lit(1).alias("tier"), low.alias("form")),
+        F.struct(F.lit(2).alias("tier"), low.alias("form")))).alias("p")).select("repo", "ask_id", "p.*")
+    return probes.join(forms, ["repo", "tier", "form"]).groupBy("repo", "ask_id").agg(
+        F.min_by(F.struct("n", "lo", "tier", "form"), "tier").alias("hit"))
+
+
+def ref_candidates(asks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo, tier, form, node_id): the components that an ambiguous reference
+    may mean. Listed once per form, however many ask for it; tier 3 holds
+    names that contain the form."""
+    asks = asks.withColumn("ref", F.trim("ref"))
+    named = nodes.select("repo", "id", F.lower("name").alias("lname"), F.lower("namespace").alias("lns"))
+    exact = _exact_hits(asks, named)
+    forms = exact.where("hit.n > 1").select("repo", "hit.tier", "hit.form").distinct()
+    listed = _tiers(named).join(forms, ["repo", "tier", "form"], "left_semi").select("repo", "tier", "form", F.col("id").alias("node_id"))
+    rest = asks.where("ref <> ''").join(exact, ["repo", "ask_id"], "left_anti").select("repo", F.lower("ref").alias("needle")).distinct()
+    hits = _containing_names(rest, named.select("repo", "id", "lname"))
+    loose = hits.join(named.select("repo", "lname", "id"), ["repo", "lname"])
+    many = loose.groupBy("repo", "needle").agg(F.count("*").alias("n")).where("n > 1")
+    return listed.unionByName(loose.join(many.select("repo", "needle"), ["repo", "needle"], "left_semi").select(
+        "repo", F.lit(3).alias("tier"), F.col("needle").alias("form"), F.col("id").alias("node_id")))
 
 
 def _pieces(c: Column) -> Column:
@@ -113,6 +138,13 @@ def _pieces(c: Column) -> Column:
 def _containing(needles: DataFrame, names: DataFrame) -> DataFrame:
     """(repo, needle, n, lo): names that contain a needle."""
     spread = names.groupBy("repo", "lname").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    return _containing_names(needles, names).join(spread, ["repo", "lname"]).groupBy("repo", "needle").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"))
+
+
+def _containing_names(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, needle, lname): distinct names that contain a needle."""
+    spread = names.select("repo", "lname").distinct()
     pieces = spread.select("repo", "lname", F.explode(_pieces(F.col("lname"))).alias("piece"))
     sizes = pieces.groupBy("repo", "piece").agg(F.count("*").alias("size"))
     long_ = needles.where(F.length("needle") >= 3)
@@ -126,8 +158,7 @@ def _containing(needles: DataFrame, names: DataFrame) -> DataFrame:
     runs = spread.select("repo", "lname", F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(
         F.sequence(F.lit(1), F.length("lname")), lambda i, s=s: F.substring(F.col("lname"), i, F.lit(s))) for s in (1, 2)])))).alias("needle"))
     hits = hits.unionByName(short.join(runs, ["repo", "needle"]).select("repo", "needle", "lname"))
-    return hits.distinct().join(spread, ["repo", "lname"]).groupBy("repo", "needle").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"))
+    return hits.distinct()
 
 
 def describe_nodes(nodes: DataFrame, edges: DataFrame, diags: DataFrame) -> DataFrame:
@@ -175,3 +206,43 @@ def shape_report(nodes: DataFrame, edges: DataFrame, diags: DataFrame, labels: D
 
     return (sizes.unionByName(count(nodes, "kind", "kind")).unionByName(count(edges, "relationship", "kind"))
             .unionByName(count(diags, "diagnostic", "code")))
+
+
+def overview_parts(nodes: DataFrame, edges: DataFrame, diags: DataFrame, labels: DataFrame, files: DataFrame, top: int = 8) -> DataFrame:
+    """The parts of an overview, one labelled number per row: (repo, part, value, n).
+
+    Kinds and projects of components, kinds of relationships, severities, the
+    most connected components with their degrees, sizes, what kind of picture
+    they make, and files scanned and parsed. ``files``: repo, files_scanned, files_parsed.
+    """
+    def count(df: DataFrame, part: str, column: str) -> DataFrame:
+        return df.groupBy("repo", F.lit(part).alias("part"), F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+    def spread(df: DataFrame, part: str, columns: list[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("value"), F.col(c).cast("bigint").alias("n")) for c in columns]))
+        return df.select("repo", F.lit(part).alias("part"), each.alias("e")).select("repo", "part", "e.*")
+
+    stats = graph_stats(nodes, edges, labels)
+    degrees = most_connected(degree(nodes, edges), top)
+    parts = [
+        count(nodes, "kind", "kind"), count(nodes.where("kind <> 'boundary'"), "project", "project"), count(relationships(edges), "relationship", "kind"),
+        count(diags, "severity", "severity"), spread(stats, "size", ["components", "connected", "clusters"]),
+        stats.select("repo", F.lit("shape").alias("part"), F.col("shape").alias("value"), F.lit(1).cast("bigint").alias("n")),
+        degrees.select("repo", F.lit("most_connected").alias("part"), F.col("id").alias("value"), (F.col("n_in") + F.col("n_out")).cast("bigint").alias("n")),
+        spread(files, "files", ["files_scanned", "files_parsed"])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def node_edges(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every relationship of every component, seen from it: direction, peer, and
+    the first piece of evidence with how many there are."""
+    first = evidence.groupBy("repo", F.col("edge_id").alias("edge")).agg(
+        F.count("*").alias("n_evidence"), F.min(F.struct("rule", "path", "line", "detail", "extractor")).alias("e"))
+    rel = relationships(edges).select("repo", F.col("id").alias("edge"), "src", "dst", "kind", "protocol", "conf_pct").join(first, ["repo", "edge"])
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("peer")),
+                             F.struct(F.col("dst").alias("id"), F.lit("in").alias("direction"), F.col("src").alias("peer"))))
+    return rel.select("repo", ends.alias("x"), "edge", "kind", "protocol", "conf_pct", "n_evidence", "e.rule", "e.path", "e.line", "e.detail").select(
+        "repo", "x.*", "edge", "kind", "protocol", "conf_pct", "n_evidence", "rule", "path", "line", "detail")

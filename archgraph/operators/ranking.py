@@ -31,6 +31,15 @@ def running(df: DataFrame, group: list[str], order: list[Column], cost: Column |
             .withColumn(out, F.col("_run") + F.col("_before")).drop("_w", "_pid", "_run", "_before"))
 
 
+#: The canonical order of a graph's tables.
+CANONICAL = {"nodes": ["id"], "edges": ["src", "dst", "kind", "protocol", "id"], "diagnostics": ["path", "line", "code", "severity", "message"]}
+
+
+def canonical_order(df: DataFrame, table: str) -> DataFrame:
+    """Rows of one of a graph's tables with their position in their repository."""
+    return running(df, ["repo"], [F.col(c) for c in CANONICAL[table]])
+
+
 def page(df: DataFrame, group: list[str], order: list[Column], cursor: int, size: int) -> DataFrame:
     """``size`` rows per group from offset ``cursor``; an offset outside the
     group starts again at 0. Only the rows up to the page's end are ranked."""

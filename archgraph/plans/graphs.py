@@ -278,6 +278,16 @@ def canonical_order(t):
                       [F.col(c) for c in ("src", "dst", "kind", "protocol", "id")]).select("repo", "id", "position")
 
 
+@query("canonical_order_of_all", """
+    SELECT repo, 'node' AS part, id AS key, row_number() OVER (PARTITION BY repo ORDER BY id) AS position FROM {fx_nodes}
+    UNION ALL SELECT repo, 'diagnostic', path || '|' || line || '|' || code || '|' || severity || '|' || message,
+      row_number() OVER (PARTITION BY repo ORDER BY path, line, code, severity, message) FROM {fx_diagnostics}""", M)
+def canonical_order_of_all(t):
+    nodes = rk.canonical_order(typed(t).select("repo", "id"), "nodes").select("repo", F.lit("node").alias("part"), F.col("id").alias("key"), "position")
+    diags = rk.canonical_order(t.fx_diagnostics, "diagnostics")
+    return nodes.unionByName(diags.select("repo", F.lit("diagnostic").alias("part"), F.concat_ws("|", "path", "line", "code", "severity", "message").alias("key"), "position"))
+
+
 M["dk_degree"] = """
     SELECT n.repo, n.id, n.kind, (SELECT count(*) FROM {dk_rel} e WHERE e.repo = n.repo AND e.src = n.id)::INTEGER AS n_out,
            (SELECT count(*) FROM {dk_rel} e WHERE e.repo = n.repo AND e.dst = n.id)::INTEGER AS n_in FROM {fx_nodes} n"""
@@ -497,11 +507,54 @@ M["dk_asks"] = """SELECT repo, rule_id AS ask_id, trim(from_ref) AS ref FROM {fx
     k AS (SELECT ask_id, count(*) AS n, min(id) AS lo FROM b WHERE tier = best GROUP BY ask_id)
     SELECT a.repo, a.ask_id, a.ref, coalesce(n, 0)::INTEGER AS n_matches, CASE WHEN n = 1 THEN lo END AS node_id FROM {dk_asks} a LEFT JOIN k USING (ask_id)""", M)
 def resolve_ref(t):
-    asks = t.fx_rules.select("repo", F.col("rule_id").alias("ask_id"), F.trim("from_ref").alias("ref")).unionByName(
+    return q.resolve_refs(_asks(t), typed(t))
+
+
+def _asks(t):
+    return t.fx_rules.select("repo", F.col("rule_id").alias("ask_id"), F.trim("from_ref").alias("ref")).unionByName(
         t.fx_rules.select("repo", (F.col("rule_id") + 1000000000).alias("ask_id"), F.col("to_ref").alias("ref"))).unionByName(
         t.customer.selectExpr("'a' AS repo", "c_custkey + 2000000000 AS ask_id",
                               "CASE c_custkey % 3 WHEN 0 THEN 'vc-' || c_custkey WHEN 1 THEN 'SVC-' || c_custkey ELSE 'db-' || c_custkey || '.NS-1' END AS ref"))
-    return q.resolve_refs(asks, typed(t))
+
+
+@query("ref_candidates", """
+    WITH c AS (
+      SELECT a.ask_id, a.repo, a.ref, n.id, CASE WHEN n.id = a.ref THEN 0 WHEN lower(n.name) = lower(a.ref) THEN 1
+               WHEN contains(a.ref, '.') AND lower(n.name) = lower(split_part(a.ref, '.', 1)) AND lower(coalesce(n.namespace, '')) = lower(a.ref[strpos(a.ref, '.') + 1:]) THEN 2
+               WHEN contains(lower(n.name), lower(a.ref)) THEN 3 END AS tier
+      FROM {dk_asks} a JOIN {fx_nodes} n ON n.repo = a.repo WHERE a.ref <> ''),
+    b AS (SELECT *, min(tier) OVER (PARTITION BY ask_id) AS best FROM c WHERE tier IS NOT NULL),
+    k AS (SELECT *, count(*) OVER (PARTITION BY ask_id) AS n FROM b WHERE tier = best)
+    SELECT DISTINCT repo, tier, CASE WHEN tier = 0 THEN ref ELSE lower(ref) END AS form, id AS node_id FROM k WHERE n > 1""", M)
+def ref_candidates(t):
+    return q.ref_candidates(_asks(t), typed(t))
+
+
+@query("node_edges", f"""
+    WITH v AS (SELECT DISTINCT repo, {D.edge_id('src', 'dst', 'kind', 'protocol')} AS edge, rule, path, line, detail, extractor FROM {{fx_edges}}),
+    f AS (SELECT * FROM (SELECT *, count(*) OVER w AS n_evidence, row_number() OVER (PARTITION BY repo, edge ORDER BY rule, path, line, detail, extractor) AS rn FROM v WINDOW w AS (PARTITION BY repo, edge)) WHERE rn = 1)
+    SELECT e.repo, unnest([e.src, e.dst]) AS id, unnest(['out', 'in']) AS direction, unnest([e.dst, e.src]) AS peer, e.id AS edge, e.kind, e.protocol, e.conf_pct, f.n_evidence, f.rule, f.path, f.line, f.detail
+    FROM {{dk_rel}} e JOIN f ON f.repo = e.repo AND f.edge = e.id""", M)
+def node_edges(t):
+    return q.node_edges(merged(t), mg.edge_evidence(t.fx_edges))
+
+
+@query("overview_parts", """
+    SELECT repo, 'kind' AS part, kind AS value, count(*) AS n FROM {fx_nodes} GROUP BY ALL
+    UNION ALL SELECT repo, 'project', project, count(*) FROM {fx_nodes} WHERE kind <> 'boundary' GROUP BY ALL
+    UNION ALL SELECT repo, 'relationship', kind, count(*) FROM {dk_rel} GROUP BY ALL
+    UNION ALL SELECT repo, 'severity', severity, count(*) FROM {fx_diagnostics} GROUP BY ALL
+    UNION ALL SELECT repo, 'size', unnest(['components', 'connected', 'clusters']), unnest([components::BIGINT, connected::BIGINT, clusters::BIGINT]) FROM {dk_stats}
+    UNION ALL SELECT repo, 'shape', CASE WHEN components >= 8 AND connected * 4 < components AND clusters > components // 4 THEN 'inventory' WHEN components > 0 AND connected * 2 < components THEN 'sparse' ELSE 'connected' END, 1 FROM {dk_stats}
+    UNION ALL SELECT repo, 'most_connected', id, n_in + n_out FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_in + n_out DESC, id) AS rank FROM {dk_degree} WHERE kind <> 'boundary' AND n_in + n_out > 0) WHERE rank <= 8
+    UNION ALL SELECT repo, 'files', unnest(['files_scanned', 'files_parsed']), unnest([count(DISTINCT path), count(DISTINCT CASE WHEN path IN (SELECT path FROM {fx_nodes}) THEN path END)])
+      FROM (SELECT repo, path FROM {fx_nodes} UNION ALL SELECT repo, path FROM {fx_diagnostics}) GROUP BY repo""", M)
+def overview_parts(t):
+    nodes = typed(t)
+    seen = nodes.select("repo", "path").unionByName(t.fx_diagnostics.select("repo", "path")).distinct()
+    given = nodes.select("path").distinct().withColumn("given", F.lit(True))
+    files = seen.join(given, "path", "left").groupBy("repo").agg(F.count("*").alias("files_scanned"), F.count("given").alias("files_parsed"))
+    return q.overview_parts(nodes, merged(t), t.fx_diagnostics, labels(t), files)
 
 
 @query("overview", """
