@@ -9,13 +9,13 @@ token that enters it, and two tables hold the whole automaton: ``lost[a][b]``,
 the gadget that took arc ``b`` from the state of ``a``; and for a merged token
 its gadget and its two parts, of which the right one's state, as it then stood,
 is where the token leads. It accepts exactly the sequences that merging by rank
-makes, so a word has one accepted path, found in one pass over its symbols and
-the vocabulary's trie. That takes time in proportion to the word's length,
+makes, so a word has one accepted path, found along the
+vocabulary's trie. That takes time in proportion to the word's length,
 whatever the word; a word of a million letters needs no quadratic merging.
 
 Words are split off as the tokenizer's file says. White space never stands
 inside a word, so texts are taken apart at spaces and line feeds and results
-are remembered per piece, in a memory that is emptied when full.
+are remembered per piece, in a memory of bounded size.
 
 Null texts read as empty and give no ids; ids of null stay null. Texts of any
 length are encoded whole. Repeated rows give repeated results and no order
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from archgraph.llm.common import row_groups, text_bytes
 
-#: Pieces of text, words and arcs remembered per Python worker.
-REMEMBERED = 300_000
+#: Pieces of text and words remembered per Python worker, twice over at most; arcs four times that.
+REMEMBERED = 250_000
 _NEVER = 1 << 62
 # What the file's pattern splits printable lower-case Latin-1 text without white space into.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
@@ -103,6 +104,29 @@ class Automaton:
         return True
 
 
+class Memory(dict):
+    """A dictionary of what was met lately: when full, what was not asked for since it was last full is forgotten."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.before[key]
+        return value
+
+    def get(self, key, default=None):
+        try:
+            return self[key]
+        except KeyError:
+            return default
+
+    def room(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Tokenizer:
     """Encodes and decodes by the automaton of a tokenizer's file (byte-level BPE whose words end in a suffix)."""
 
@@ -146,7 +170,7 @@ class Tokenizer:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in seen}
         self.shown |= {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
-        self.words: dict[str, list[int]] = {}
+        self.words = Memory()
 
     def symbols(self, stem: str, ended: bool = True) -> list[str]:
         out = list(stem)
@@ -154,34 +178,43 @@ class Tokenizer:
             out[-1] += self.end
         return out
 
-    def word(self, shown: str) -> list[int]:
-        """The one accepted path of a word given by its stand-ins."""
-        found = self.words.get(shown)
-        if found is not None:
-            return found
-        symbols, has_arc = self.symbols(shown), self.automaton.has_arc
-        n = len(symbols)
-        last, start = [-1] * (n + 1), [0] * (n + 1)  # the token that ends at a place on the accepted path to it
-        for i in range(n):
-            state, node = last[i], self.trie
-            for j in range(i, n):
-                node = node.get(symbols[j])
-                if node is None:
+    def path(self, symbols: list[str]) -> list[int]:
+        """The one accepted path of a word. The longest token is tried first; of every opening of the word there is
+        one path, so a place from which the word cannot be finished is tried once."""
+        has_arc, n = self.automaton.has_arc, len(symbols)
+        at, state, out, stack, dead = 0, -1, [], [], set()
+        options: list[tuple[int, int]] | None = None
+        while at < n:
+            if options is None:
+                options, node = [], self.trie
+                for j in range(at, n):
+                    node = node.get(symbols[j])
+                    if node is None:
+                        break
+                    if -1 in node:
+                        options.append((j + 1, node[-1]))
+            while options:
+                end, token = options.pop()
+                if end not in dead and (state < 0 or has_arc(state, token)):
+                    stack.append((at, state, options))
+                    out.append(token)
+                    at, state, options = end, token, None
                     break
-                token = node.get(-1, -1)
-                if token >= 0 and last[j + 1] < 0 and (not i or has_arc(state, token)):
-                    last[j + 1], start[j + 1] = token, i
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = start[at]
-        out.reverse()
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        if n <= 64:
-            self.words[shown] = out
+            else:
+                dead.add(at)
+                at, state, options = stack.pop()
+                out.pop()
         return out
 
+    def word(self, shown: str) -> list[int]:
+        """The path of a word given by its stand-ins, remembered."""
+        found = self.words.get(shown)
+        if found is None:
+            found = self.path(self.symbols(shown))
+            if len(shown) <= 64:
+                self.words[shown] = found
+        return found
+
     def piece(self, text: str) -> list[int]:
         """Ids of a text between spaces and line feeds."""
         if self.latin and _LATIN.fullmatch(text) and "<|" not in text:
@@ -218,18 +251,21 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tokenizer(tokenizer_path)
-        ids_of, labels_of = {"": b""}, {"": ""}
+        # of a piece: its ids as bytes, and their labels
+        known = Memory()
+        known[""] = (b"", "")
 
-        def learn(parts: list[str]) -> None:
-            if len(ids_of) > REMEMBERED:
-                ids_of.clear()
-                labels_of.clear()
-                ids_of[""], labels_of[""] = b"", ""
+        def learn(parts: list[str]) -> list[tuple[bytes, str]]:
+            out = []
             for p in parts:
-                if p not in ids_of:
+                found = known.get(p)
+                if found is None:
                     ids = code.piece(p)
-                    ids_of[p] = np.array(ids, "<i4").tobytes()
-                    labels_of[p] = " " + code.decode(ids) if decoded and ids else ""
+                    found = known[p] = (array("i", ids).tobytes(), " " + " ".join(map(code.label.__getitem__, ids)) if decoded and ids else "")
+                out.append(found)
+            known.room()
+            code.words.room()
+            return out
 
         for batch in batches:
             text = batch.column(1)
@@ -238,12 +274,12 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
                 for t in text[lo:hi].to_pylist():
                     parts = (t or "").replace("\n", " ").split(" ")
                     try:
-                        raw.append(b"".join(map(ids_of.__getitem__, parts)))
+                        found = list(map(known.__getitem__, parts))
                     except KeyError:
-                        learn(parts)
-                        raw.append(b"".join(map(ids_of.__getitem__, parts)))
+                        found = learn(parts)
+                    raw.append(b"".join([f[0] for f in found]))
                     if decoded:
-                        labels.append("".join(map(labels_of.__getitem__, parts))[1:])
+                        labels.append("".join([f[1] for f in found])[1:])
                 bounds = np.cumsum([0, *map(len, raw)]) // 4
                 flat = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(raw))])
                 columns = [batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)]
