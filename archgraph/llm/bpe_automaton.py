@@ -115,12 +115,6 @@ class Memory(dict):
         value = self[key] = self.before[key]
         return value
 
-    def get(self, key, default=None):
-        try:
-            return self[key]
-        except KeyError:
-            return default
-
     def room(self) -> None:
         if len(self) > REMEMBERED:
             self.before = dict(self)
@@ -208,11 +202,14 @@ class Tokenizer:
 
     def word(self, shown: str) -> list[int]:
         """The path of a word given by its stand-ins, remembered."""
-        found = self.words.get(shown)
+        words = self.words
+        if shown in words:
+            return words[shown]
+        found = words.before.get(shown)
         if found is None:
             found = self.path(self.symbols(shown))
-            if len(shown) <= 64:
-                self.words[shown] = found
+        if len(shown) <= 64:
+            words[shown] = found
         return found
 
     def piece(self, text: str) -> list[int]:
@@ -255,17 +252,13 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
         known = Memory()
         known[""] = (b"", "")
 
-        def learn(parts: list[str]) -> list[tuple[bytes, str]]:
-            out = []
-            for p in parts:
-                found = known.get(p)
+        def learn(parts: list[str]) -> None:
+            for p in [p for p in set(parts) if p not in known]:
+                found = known.before.get(p)
                 if found is None:
                     ids = code.piece(p)
-                    found = known[p] = (array("i", ids).tobytes(), " " + " ".join(map(code.label.__getitem__, ids)) if decoded and ids else "")
-                out.append(found)
-            known.room()
-            code.words.room()
-            return out
+                    found = array("i", ids).tobytes(), " " + " ".join(map(code.label.__getitem__, ids)) if decoded and ids else ""
+                known[p] = found
 
         for batch in batches:
             text = batch.column(1)
@@ -273,10 +266,10 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
                 raw, labels = [], []
                 for t in text[lo:hi].to_pylist():
                     parts = (t or "").replace("\n", " ").split(" ")
-                    try:
-                        found = list(map(known.__getitem__, parts))
-                    except KeyError:
-                        found = learn(parts)
+                    known.room()
+                    code.words.room()
+                    learn(parts)
+                    found = list(map(known.__getitem__, parts))
                     raw.append(b"".join([f[0] for f in found]))
                     if decoded:
                         labels.append("".join([f[1] for f in found])[1:])
