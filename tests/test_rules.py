@@ -321,14 +321,14 @@ def test_selectors_of_any_label_are_counted(spark):
 
 
 def test_an_emptied_repository_loses_its_rows(spark, tmp_path):
-    from archgraph.streaming.feed import refresh_affected
+    from archgraph.streaming.feed import read_refreshed, refresh_affected
 
     target, where = str(tmp_path / "t"), "repo string, path string"
     count = lambda files: files.groupBy("repo").agg(F.count("*").alias("n"))
     both = spark.createDataFrame([("a b", "x"), ("c", "y")], where)
     refresh_affected(both, both, count, target)
-    refresh_affected(both, both.where("repo = 'c'"), count, target)
-    assert [r["repo"] for r in spark.read.parquet(target).collect()] == ["c"]
+    refresh_affected(both, both.where("repo = 'c'"), count, target, 1)
+    assert [r["repo"] for r in read_refreshed(spark, target, "repo string, n long").collect()] == ["c"]
 
 
 def test_oversize_files_are_reported_by_the_jobs(spark):
