@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths
+from archgraph.session import parts_for
 
 ANY = "*"
 
@@ -18,13 +19,22 @@ SOURCE_EXTENSIONS = ".go .cs .py .js .ts .java .rb .php".split()
 VENDORED = "node_modules vendor genproto /bin/ /obj/ site-packages third_party /proto/ /gen/".split()
 
 
+def _named(edges: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """Distinct (repo, src_name, dst_name) relationships, with ``more`` columns of the edges.
+
+    Pairs are short and alike: cut by their bytes, tens of millions of them
+    would be made distinct in one task, so tasks are cut by rows.
+    """
+    parts, name = parts_for(edges), nodes.select("repo", "id", "name")
+    ends = (edges.where("kind <> 'contains'").select("repo", "src", "dst", *more).repartition(parts, "repo", "src", "dst").distinct()
+            .join(name.select("repo", F.col("id").alias("src"), F.col("name").alias("src_name")), ["repo", "src"])
+            .join(name.select("repo", F.col("id").alias("dst"), F.col("name").alias("dst_name")), ["repo", "dst"]))
+    return ends.select("repo", "src_name", "dst_name", *more).repartition(parts, "repo", "src_name", "dst_name").distinct()
+
+
 def found_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (repo, src_name, dst_name) relationships."""
-    name = nodes.select("repo", "id", "name")
-    return (edges.where("kind <> 'contains'").select("repo", "src", "dst").distinct()
-            .join(name.select("repo", F.col("id").alias("src"), F.col("name").alias("src_name")), ["repo", "src"])
-            .join(name.select("repo", F.col("id").alias("dst"), F.col("name").alias("dst_name")), ["repo", "dst"])
-            .select("repo", "src_name", "dst_name").distinct())
+    return _named(edges, nodes)
 
 
 def _by_form(wants: DataFrame, src: str, dst: str) -> list[tuple[DataFrame, list[str]]]:
@@ -65,11 +75,7 @@ def precision_recall(judged: DataFrame, expected: DataFrame) -> DataFrame:
 
 def precision_by_rule(judged: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Over all repos: how many pairs each rule found, and how many are wrong."""
-    name = nodes.select("repo", "id", "name")
-    ruled = (edges.where("kind <> 'contains'").select("repo", "src", "dst", "rule").distinct()
-             .join(name.select("repo", F.col("id").alias("src"), F.col("name").alias("src_name")), ["repo", "src"])
-             .join(name.select("repo", F.col("id").alias("dst"), F.col("name").alias("dst_name")), ["repo", "dst"])
-             .select("repo", "src_name", "dst_name", "rule").distinct())
+    ruled = _named(edges, nodes, "rule")
     return ruled.join(judged, ["repo", "src_name", "dst_name"]).groupBy("rule").agg(
         F.count("*").alias("found"), F.sum((~F.col("is_expected") & ~F.col("is_allowed")).cast("int")).alias("wrong")).withColumn(
         "precision", F.lit(1.0) - F.col("wrong") / F.col("found"))
