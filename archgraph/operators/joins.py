@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions import ids, paths
+from archgraph.session import by_shuffle
 
 
 # ------------------------------------------------------- code <-> deployments
@@ -120,12 +121,12 @@ def directory_owner_join(hints: DataFrame, nodes: DataFrame, merges: DataFrame)
     where = nodes.where("kind = 'service'").select("repo", "id", F.explode(F.array_compact(F.array(
         F.when(F.col("directory") != "", F.col("directory")),
         F.when(F.col("build_context") != "", paths.normalize_dir(F.col("build_context")))))).alias("dir"))
-    moved = where.join(merges.select("repo", F.col("absorbed").alias("id"), "survivor"), ["repo", "id"], "left")
+    moved = where.join(by_shuffle(merges.select("repo", F.col("absorbed").alias("id"), "survivor")), ["repo", "id"], "left")
     kinds = nodes.select("repo", F.col("id").alias("owner"), F.col("kind").alias("owner_kind"))
     owners = (moved.select("repo", "dir", F.coalesce("survivor", "id").alias("owner")).distinct()
-              .join(kinds, ["repo", "owner"]).where("owner_kind = 'service'")
+              .join(by_shuffle(kinds), ["repo", "owner"]).where("owner_kind = 'service'")
               .groupBy("repo", "dir").agg(F.count("*").alias("n_owners"), F.min("owner").alias("owner")))
-    return (hints.withColumn("dir", paths.normalize_dir(F.col("owner_dir"))).join(owners, ["repo", "dir"], "left")
+    return (hints.withColumn("dir", paths.normalize_dir(F.col("owner_dir"))).join(by_shuffle(owners), ["repo", "dir"], "left")
             .withColumn("n_owners", F.coalesce("n_owners", F.lit(0)).cast("int"))
             .withColumn("from_node", F.when(F.col("n_owners") == 1, F.col("owner"))).drop("owner", "dir"))
 
