@@ -15,6 +15,8 @@ alike; extra columns are ignored by ``weigh`` and kept by ``sample``.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,13 @@ def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None, alpha: float,
-         tolerance: float, patience: int) -> DataFrame:
+         tolerance: float, patience: int, rounds: int | None) -> DataFrame:
     """``cells`` with the factor that brings all marginals to their targets, however many rounds that takes.
 
     Raises ValueError where ``patience`` rounds bring them no nearer: targets
-    that contradict each other, or that the cells cannot meet.
+    that contradict each other, or that the cells cannot meet. With ``rounds``
+    such targets are only approached: the factors are those of that round, at
+    which the last marginal is met, and a warning says how far others stay off.
     """
     columns = cells.columns
     for c in MARGINALS:
@@ -67,7 +71,7 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | Non
         cells = cells.join(target, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     total = cells.agg(F.sum("tokens").alias("total"))
     now = scratch.save(cells.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0)), "cells")
-    nearest, stalled = float("inf"), 0
+    nearest, stalled, done = float("inf"), 0, 0
     while True:
         after = now
         for c in MARGINALS:
@@ -83,8 +87,12 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | Non
         now.scratch_path = after.scratch_path
         if off is None or off <= tolerance:
             break
+        done += 1
+        if done == rounds:
+            warnings.warn(f"after {rounds} rounds a marginal is {off:.3g} off its target", stacklevel=2)
+            break
         nearest, stalled = (off, 0) if off < 0.99 * nearest else (nearest, stalled + 1)
-        if stalled >= patience:
+        if rounds is None and stalled >= patience:
             raise ValueError(f"the targets cannot be met together: a marginal stays {off:.3g} off its own")
     return now.select(*columns, "factor")
 
@@ -105,11 +113,12 @@ def rate(cells: DataFrame, share: float) -> float:
 
 
 def calibrate(rows: DataFrame, scratch: Scratch, share: float = 0.8, alpha: float = 0.7,
-              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-12, patience: int = 50) -> DataFrame:
+              targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-12, patience: int = 50,
+              rounds: int | None = None) -> DataFrame:
     """(cell, n, factor, chance) from the rows of ``measured``."""
     cells = scratch.save(rows.groupBy(*MARGINALS, "cell").agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sums")
-    cells = scratch.save(rake(cells, scratch, targets, alpha, tolerance, patience), "raked")
+    cells = scratch.save(rake(cells, scratch, targets, alpha, tolerance, patience, rounds), "raked")
     chance = F.least(F.lit(1.0), F.col("factor") * rate(cells, share))
     return scratch.save(cells.select("cell", "n", "factor", chance.alias("chance")), "calibrated")
 

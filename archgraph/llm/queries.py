@@ -63,7 +63,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(mixing.SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(table(spark, sf_dir, "documents"), share=0.8, alpha=0.7)
+    return mixing.weigh(table(spark, sf_dir, "documents"), share=0.8, alpha=0.7, rounds=60)
 
 
 @query(warc.SQL)
