@@ -65,13 +65,16 @@ class Scratch:
 def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """Equi-join of ``left`` with ``right`` (one row per key) where single keys may hold any share of ``left``.
 
-    ``counts`` (key, n) counts the rows of ``left``. Keys with 1/HOT of all
-    rows or more are at most HOT many, so their rows of ``right`` are broadcast;
-    all others join by a shuffle in which no key is large. Null keys match
-    nothing; a left join keeps their rows beside the shuffle.
+    ``counts`` (key, n), a written table, counts the rows of ``left``. Keys with
+    1/HOT of all rows or more are at most HOT many, so their rows of ``right``
+    are broadcast; all others join by a shuffle in which no key is large. Null
+    keys match nothing; a left join keeps their rows beside the shuffle.
     """
-    total = counts.agg(F.sum("n").alias("_total"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") * HOT >= F.col("_total")).select(key)
+    # Two numbers settle here whether a key is hot, so that plans carry no sum over all counts, nor a broadcast without need.
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if total is None or most * HOT < total:
+        return left.join(right, key, how)
+    hot = counts.where(F.col("n") * HOT >= F.lit(total)).select(key)
     hot_right = right.join(F.broadcast(hot), key, "left_semi")
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     near = marked.where("_hot").drop("_hot").join(F.broadcast(hot_right), key, how)

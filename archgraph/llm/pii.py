@@ -131,7 +131,7 @@ def find(docs: DataFrame, rounds: int = 3, confidence: float = 0.7, support: int
     rows = base_spans(docs)
     found = scratch.save(_candidates(rows), "candidates")
     trusted = confident_patterns(found, scratch, rounds, confidence, support)
-    often = found.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    often = scratch.save(found.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")), "often")
     open_ = found.where("not seed").select("key", "s", "e", F.explode("patterns").alias("pattern"))
     new = join_hot(open_, trusted.select("pattern"), "pattern", often)
     new = scratch.save(new.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("found")), "found")
