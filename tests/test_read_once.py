@@ -1,11 +1,11 @@
 """What several tables of a scan need is worked out once."""
 
-import pytest
-from pyspark.sql import functions as F
+import threading
 
 from archgraph.functions import net
 from archgraph.operators import merge, scan
-from archgraph.sources import builtin, dockerfile, dotenv
+from archgraph.session import together
+from archgraph.sources import dockerfile, dotenv
 
 FILE = "repo string, path string, size bigint, mtime bigint, content string"
 
@@ -45,11 +45,17 @@ def test_a_stored_setting_is_masked(spark):
 
 
 def test_libraries_read_written_hints(spark, monkeypatch):
-    asked = counted(monkeypatch, scan, "corroborate")
+    asked, crossed = counted(monkeypatch, scan, "corroborate"), counted(monkeypatch, scan.joins, "cross_project_report")
     rows = [("r", "a/package.json", 9, 0, '{"name":"a","dependencies":{"pg":"8","stripe":"1"}}')]
     made = scan.scan(spark.createDataFrame(rows, FILE))
     assert {r["dst"] for r in made["edges"].collect()} == {"context:stripe"}
     assert "sha2" not in plan(asked[0][0])
+    assert not crossed  # only diagnostics ask for it
+
+
+def test_independent_steps_run_at_the_same_time(spark):
+    met = threading.Barrier(2, timeout=60)
+    assert together(spark, lambda: met.wait() >= 0 and spark.range(3).count(), lambda: met.wait() >= 0 and spark.range(5).count()) == [3, 5]
 
 
 def test_kind_name_and_place_come_from_one_pass(spark):
