@@ -5,7 +5,7 @@ import threading
 from archgraph.functions import net
 from archgraph.operators import merge, scan
 from archgraph.session import together
-from archgraph.sources import dockerfile, dotenv
+from archgraph.sources import builtin, dockerfile, dotenv
 
 FILE = "repo string, path string, size bigint, mtime bigint, content string"
 
@@ -68,3 +68,10 @@ def test_kind_name_and_place_come_from_one_pass(spark):
     assert [(g["kind"], g["name"], g["namespace"]) for g in got] == [(a["kind"], a["name"], a["namespace"]) for a in apart]
     assert [(g["path"], g["line"]) for g in got] == [("a", 2), ("c", 3)]
     assert plan(merge.merge_place(r)).count("Aggregate") == 1
+
+
+def test_dependency_lists_are_dealt_before_they_are_read(spark, monkeypatch):
+    written = counted(monkeypatch, builtin, "durable")
+    rows = [("r", f"a{i}/requirements.txt", 9, 0, "redis==1") for i in range(40)]
+    scan.extract(spark.createDataFrame(rows, FILE))
+    assert "Repartition 8" in plan(next(df for df, label, *_ in written if label == "lists"))
